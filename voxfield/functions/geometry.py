@@ -38,20 +38,6 @@ def approach_vector(qx: Column, qy: Column, qz: Column, qw: Column) -> tuple[Col
     return (2.0 * (qx * qz + qw * qy), 2.0 * (qy * qz - qw * qx), 1.0 - 2.0 * (qx * qx + qy * qy))
 
 
-def sphere_bin_columns(df, vx: Column, vy: Column, vz: Column, out: str, n: int = SPHERE_BINS):
-    """Add the number of the lattice direction nearest to (vx, vy, vz); the lowest number wins a tie.
-
-    The directions have unit length, so the nearest one has the largest dot product. Plain expressions instead of an
-    array of candidates keep the projection in generated code.
-    """
-    dots = [vx * x + vy * y + vz * z for x, y, z in sphere_points(n)]
-    df = df.withColumn("_best", F.greatest(*dots))
-    pick = F.when(F.col("_best") == dots[0], 0)
-    for i, dot in enumerate(dots[1:], start=1):
-        pick = pick.when(F.col("_best") == dot, i)
-    return df.withColumn(out, pick).drop("_best")
-
-
 def limit_margin(q: Column, limits: Column) -> Column:
     """Mean over joints of the distance to the nearer limit as a share of half the range; outside counts 0."""
     def one(value: Column, limit: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import SPHERE_BINS, clip
+from ..functions.kernels import squared_distance_pass
 from ..functions.joins import lookup_join
 from ..functions.store import materialize
 from .grid import assign_cells, build_grid, grid_cells, scout_bounds
@@ -67,18 +68,19 @@ def representatives(samples: DataFrame, payload: list[str], w_man: float = 1.0,
             .agg(best.alias("_b"), F.max(utility).alias("utility")).select(*CELL, "utility", "_b.*"))
 
 
-def _pass_along(field: DataFrame, axis: str, others: tuple[str, str]) -> DataFrame:
-    """One pass of the separable squared distance transform: a whole grid line per row."""
-    line = F.array_sort(F.collect_list(F.struct(F.col(f"i{axis}").alias("i"), F.col("d2"))))
-    lines = (field.groupBy("variant_id", *[f"i{o}" for o in others])
-             .agg(line.alias("line"), F.first(f"res_{axis}").alias("res"),
-                  *[F.first(f"res_{o}").alias(f"res_{o}") for o in others]))
-    best = F.transform("line", lambda c: F.struct(
-        c["i"].alias("i"),
-        F.array_min(F.transform("line", lambda o: o["d2"] + F.pow((c["i"] - o["i"]) * F.col("res"), 2))).alias("d2")))
-    return (lines.withColumn("c", F.explode(best))
-            .select("variant_id", *[f"i{o}" for o in others], F.col("c.i").alias(f"i{axis}"), F.col("c.d2").alias("d2"),
-                    F.col("res").alias(f"res_{axis}"), *[f"res_{o}" for o in others]))
+def along_lines(field: DataFrame, axis: str, value: str, work, keep: list[str]) -> DataFrame:
+    """Replace ``value`` along every grid line of ``axis`` by ``work(line)``.
+
+    Rows carry variant_id, ix, iy, iz; lines are grouped by the other two indices, so a task holds single lines,
+    whose length is a side of the grid. ``keep`` names per-variant columns passed through.
+    """
+    others = [f"i{o}" for o in ("x", "y", "z") if o != axis]
+    line = F.array_sort(F.collect_list(F.struct(F.col(f"i{axis}").alias("i"), F.col(value).alias("v"))))
+    lines = field.groupBy("variant_id", *others).agg(line.alias("_line"), *[F.first(c).alias(c) for c in keep])
+    lines = lines.select("variant_id", *others, *keep, F.transform("_line", lambda s: s["i"]).alias("_i"),
+                         work(F.transform("_line", lambda s: s["v"])).alias("_v"))
+    return (lines.select("variant_id", *others, *keep, F.explode(F.arrays_zip("_i", "_v")).alias("_c"))
+            .select("variant_id", *others, F.col("_c._i").alias(f"i{axis}"), *keep, F.col("_c._v").alias(value)))
 
 
 def boundary_distance(cells: DataFrame) -> DataFrame:
@@ -89,9 +91,9 @@ def boundary_distance(cells: DataFrame) -> DataFrame:
     """
     field = cells.select("variant_id", "ix", "iy", "iz", "res_x", "res_y", "res_z",
                          F.when(F.col("valid"), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("d2"))
-    field = _pass_along(field, "z", ("x", "y"))
-    field = _pass_along(field, "y", ("x", "z"))
-    field = _pass_along(field, "x", ("y", "z"))
+    for axis in ("z", "y", "x"):
+        field = along_lines(field, axis, "d2", lambda line: squared_distance_pass(line, F.col(f"res_{axis}")),
+                            ["res_x", "res_y", "res_z"])
     distance = F.when(F.col("d2") < float("inf"), F.sqrt("d2")).otherwise(F.lit(0.0))
     field = materialize(field.select("variant_id", "ix", "iy", "iz", distance.alias("distance")), "boundary")
     peaks = field.groupBy("variant_id").agg(F.max("distance").alias("_peak"))
@@ -109,8 +111,8 @@ def build_map(samples: DataFrame, resolution: float | tuple, margin: float = 1.1
     """
     if grids is None:
         grids = materialize(build_grid(scout_bounds(samples, margin), resolution), "grids")
-    touched = materialize(log_density(survey_cells(assign_cells(samples, grids)), "passes", "_red"), "touched")
-    dense = grid_cells(grids).join(touched, CELL, "left")
+    touched = materialize(survey_cells(assign_cells(samples, grids)), "touched")
+    dense = grid_cells(grids).join(log_density(touched, "passes", "_red"), CELL, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     dense = dense.select(
         "variant_id", "cell_idx", "ix", "iy", "iz", "cx", "cy", "cz", "res_x", "res_y", "res_z",

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
+from ..functions.kernels import sphere_bin
 from ..functions.scan import ordered_row_numbers
 from ..functions.store import materialize
 from ..operators.survey import build_map
@@ -54,12 +55,12 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_indicators(samples: DataFrame) -> DataFrame:
-    vx, vy, vz = G.approach_vector(*[F.col(c) for c in ("qx", "qy", "qz", "qw")])
-    scored = samples.select(
+    direction = G.approach_vector(*[F.col(c) for c in ("qx", "qy", "qz", "qw")])
+    return samples.select(
         "*", G.limit_margin(F.col("q"), joint_limits(0.6, 2)).alias("g_lim"),
         G.clearance_score(F.col("clearance")).alias("g_self"),
-        G.isotropy(F.col("sigmas")).alias("g_iso"), G.smallest_singular(F.col("sigmas")).alias("g_sigma"))
-    return G.sphere_bin_columns(scored, vx, vy, vz, "sphere_bin")
+        G.isotropy(F.col("sigmas")).alias("g_iso"), G.smallest_singular(F.col("sigmas")).alias("g_sigma"),
+        sphere_bin(*direction).alias("sphere_bin"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

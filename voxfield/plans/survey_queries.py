@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import geometry as G, kernels as K
 from ..functions.store import materialize
 from ..operators import convergence as C, grid as V, survey as S
 from . import bindings as B, sql as Q
@@ -135,7 +135,7 @@ def directions(spark, sf_dir):
     df = B.table(spark, sf_dir, "embeddings").select("vec_id", "label", *[v.alias(f"_{i}") for i, v in enumerate(vec)])
     a, b, c = F.col("_0"), F.col("_1"), F.col("_2")
     df = df.withColumn("_n", F.sqrt(a * a + b * b + c * c))
-    return G.sphere_bin_columns(df, a / F.col("_n"), b / F.col("_n"), c / F.col("_n"), "sphere_bin")
+    return df.select("vec_id", "label", K.sphere_bin(a / F.col("_n"), b / F.col("_n"), c / F.col("_n")).alias("sphere_bin"))
 
 
 @query("d13_sphere_bin", Q.with_(SPHERE + "," + DIRECTIONS, "SELECT vec_id, sphere_bin FROM dbins"))

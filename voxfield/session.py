@@ -22,6 +22,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
         .appName("voxfield")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():
