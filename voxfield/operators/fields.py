@@ -10,7 +10,8 @@ from ..functions.kernels import gaussian_pass
 from ..functions.quantile import exact_quantiles
 from ..functions.store import materialize
 from ..schemas import AUDIT_LABELS
-from .grid import AXES, grid_cells
+from .grid import AXES, box_of_centres, grid_cells
+from .stats import reachable_summary
 from .survey import along_lines
 
 # Fixed values of the score definitions.
@@ -156,10 +157,12 @@ def lattices(points: DataFrame, resolution: int = 80, pad: float = 0.05) -> Data
 def resampled_field(points: DataFrame, values: list[str], lattice: DataFrame, sharpness: float = 2.0) -> DataFrame:
     """Gaussian-kernel mean of scattered values at the lattice points within the kernel radius of any point.
 
-    The lattice is regular, so each point reaches its lattice neighbours by arithmetic; contributions are summed
-    before they are shuffled. Lattice points without a neighbour have no row (their value is 0).
+    The lattice is regular, so each point reaches its lattice neighbours by arithmetic. Points are first brought
+    together by place, so that most contributions to a lattice point are summed before they are shuffled. Lattice points without a neighbour have no row (their value is 0).
     """
-    rows = lookup_join(points.select("variant_id", "cx", "cy", "cz", *values), lattice, ["variant_id"])
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = points.select("variant_id", "cx", "cy", "cz", *values).repartitionByRange(parts, "variant_id", "cx", "cy")
+    rows = lookup_join(near, lattice, ["variant_id"])
     reach2 = F.col("radius") * F.col("radius")
     d2 = F.lit(0.0)
     for a in AXES:
@@ -193,13 +196,15 @@ def smoothed_field(field: DataFrame, value: str, sigma: float = 1.5) -> DataFram
     return out
 
 
-def axis_slice(field: DataFrame, lattice: DataFrame, axis: str, at: Column, value: str,
-               min_value: float = 0.001) -> DataFrame:
-    """Lattice points of the plane nearest to ``at`` (an expression over the lattice row) scored above a minimum."""
-    index = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor((at - F.col(f"o_{axis}")) / F.col(f"h_{axis}") + 0.5)))
-    planes = lattice.select("variant_id", index.cast("int").alias("_plane"))
-    return (lookup_join(field, planes, ["variant_id"])
-            .filter((F.col(f"i{axis}") == F.col("_plane")) & (F.col(value) > min_value)).drop("_plane"))
+def nearest_plane(at: Column, origin: Column, step: Column, n: Column) -> Column:
+    """Lattice index along an axis nearest to a coordinate."""
+    return F.greatest(F.lit(0), F.least(n - 1, F.floor((at - origin) / step + 0.5))).cast("int")
+
+
+def axis_slice(field: DataFrame, planes: DataFrame, axis: str, value: str, min_value: float = 0.001) -> DataFrame:
+    """Points of one lattice plane per variant (``planes``: variant_id, plane) scored above a minimum."""
+    return (lookup_join(field, planes.select("variant_id", "plane"), ["variant_id"])
+            .filter((F.col(f"i{axis}") == F.col("plane")) & (F.col(value) > min_value)).drop("plane"))
 
 
 def plane_projection(cells: DataFrame, indicator: str) -> DataFrame:
@@ -213,3 +218,12 @@ def ratio_field(cells: DataFrame, numerator: str = "g_self_qstar", denominator:
     if numerator not in cells.columns or denominator not in cells.columns:
         return cells
     return cells.withColumn(out, F.col(numerator) / (F.col(denominator) + 1e-6))
+
+
+def family_audit(cells: DataFrame, grids: DataFrame, baseline: str, pattern: str = ".*", low_margin_k: int = 5,
+                 max_distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Global summary and probe comparison of every variant whose id matches, probes taken from the baseline."""
+    chosen = cells.filter(F.col("variant_id").rlike(pattern))
+    overall = box_of_centres(chosen).join(reachable_summary(chosen).drop("n_cells"), "variant_id")
+    probes = materialize(select_probes(cells, baseline, low_margin_k), "probes")
+    return overall, nearest_cells(chosen, grids.filter(F.col("variant_id").rlike(pattern)), probes, max_distance)
