@@ -125,7 +125,7 @@ def graph_nodes(specs: DataFrame, use_index: bool = True) -> DataFrame:
         "_moved": F.transform(F.filter("_joints", lambda j: F.coalesce(j["is_actuated"], F.lit(False))
                                        | F.coalesce(F.array_contains("actuated_joint_names", j["name"]), F.lit(False))),
                               lambda j: j["child_link"])})
-    df = df.select("*", F.posexplode("_links").alias("node_id", "_l"))
+    df = df.select("*", F.posexplode_outer("_links").alias("node_id", "_l")).filter(F.col("node_id").isNotNull())
     reached = F.get(F.filter("_walk", lambda w: w["name"] == F.col("_l.name")), F.lit(0))
     df = df.withColumn("_w", reached)
     df = df.withColumns({
@@ -157,7 +157,7 @@ def graph_edges(specs: DataFrame, bidirectional: bool = True) -> DataFrame:
     pairs = F.when(F.size("joints") > 0, by_joint).when(F.size("_links") > 1, chain)
     total = F.aggregate("_links", F.lit(0.0), lambda a, l: a + l["length"])
     df = df.select("variant_id", F.when(total > 1e-8, total).otherwise(F.lit(1.0)).alias("_total"),
-                   F.posexplode(pairs).alias("_k", "_e"))
+                   F.posexplode_outer(pairs).alias("_k", "_e")).filter(F.col("_k").isNotNull())
     ways = [1, -1] if bidirectional else [1]
     df = df.select("*", F.explode(F.array(*[F.lit(w) for w in ways])).alias("dir"))
     joint = lambda name: F.col(f"_e.j.{name}")

@@ -41,8 +41,11 @@ def chain_scale(links: Column) -> Column:
 
 
 def exploded(specs: DataFrame, part: str, keys: list[str]) -> DataFrame:
-    """One row per link or joint in order."""
-    items = specs.select(*keys, F.posexplode(part).alias("pos", "_e"))
+    """One row per link or joint in order.
+
+    The outer form keeps Spark from pushing a size filter, with a copy of the array's whole expression, below.
+    """
+    items = specs.select(*keys, F.posexplode_outer(part).alias("pos", "_e")).filter(F.col("pos").isNotNull())
     return items.select(*keys, "pos", "_e.*")
 
 
@@ -188,7 +191,7 @@ def cascade_radius(link: Column, length: Column, min_radius: float = CASCADE_MIN
 def collision_radii(descriptions: DataFrame) -> DataFrame:
     """(variant_id, name, radius) of every link by the cascade."""
     pairs = F.transform("links", lambda l: F.struct(l.alias("l"), outgoing_length(F.col("joints"), l["name"]).alias("len")))
-    rows = named_only(descriptions).select("variant_id", F.explode(pairs).alias("e"))
+    rows = named_only(descriptions).select("variant_id", F.explode_outer(pairs).alias("e")).filter(F.col("e").isNotNull())
     link = F.col("e.l")
     return rows.select("variant_id", link["name"].alias("name"), cascade_radius(link, F.col("e.len")).alias("radius"))
 

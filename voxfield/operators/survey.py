@@ -79,7 +79,7 @@ def along_lines(field: DataFrame, axis: str, value: str, work, keep: list[str])
     lines = field.groupBy("variant_id", *others).agg(line.alias("_line"), *[F.first(c).alias(c) for c in keep])
     lines = lines.select("variant_id", *others, *keep, F.transform("_line", lambda s: s["i"]).alias("_i"),
                          work(F.transform("_line", lambda s: s["v"])).alias("_v"))
-    return (lines.select("variant_id", *others, *keep, F.explode(F.arrays_zip("_i", "_v")).alias("_c"))
+    return (lines.select("variant_id", *others, *keep, F.explode_outer(F.arrays_zip("_i", "_v")).alias("_c"))
             .select("variant_id", *others, F.col("_c._i").alias(f"i{axis}"), *keep, F.col("_c._v").alias(value)))
 
 

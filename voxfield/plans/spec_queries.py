@@ -175,12 +175,12 @@ def link_lengths(spark, sf_dir):
     df = X.walked(descriptions(spark, sf_dir))
     pairs = F.transform("lengths", lambda s: F.struct(s["name"].alias("name"), s["length"].alias("length"),
                                                       X.outgoing_length(F.col("joints"), s["name"]).alias("outgoing")))
-    return rounded(df.select("variant_id", F.inline(pairs)), "length", "outgoing")
+    return rounded(df.select("variant_id", F.inline_outer(pairs)), "length", "outgoing")
 
 
 @query("b10_inertia_radius", Q.with_(PARTS, f"SELECT variant_id, name, {Q.r6('radius')} FROM lr"))
 def inertia_radius(spark, sf_dir):
-    rows = X.walked(descriptions(spark, sf_dir)).select("variant_id", F.inline("link_list"))
+    rows = X.walked(descriptions(spark, sf_dir)).select("variant_id", F.inline_outer("link_list"))
     return rows.select("variant_id", "name", r6("radius_estimate").alias("radius"))
 
 
@@ -246,7 +246,7 @@ def variants(spark, sf_dir):
 @query("b14_variant_joints", Q.with_(PARTS + "," + VARIANTS, f"""
 SELECT vid AS variant_id, name, {Q.r6('nlo', 'limit_lower')}, {Q.r6('nhi', 'limit_upper')}, {Q.r6('x * ls', 'x')}, {Q.r6('y * ls', 'y')}, {Q.r6('z * ls', 'z')} FROM made"""))
 def variant_joints(spark, sf_dir):
-    rows = variants(spark, sf_dir).select(F.col("meta.variant_id").alias("variant_id"), F.inline("chain.joints"))
+    rows = variants(spark, sf_dir).select(F.col("meta.variant_id").alias("variant_id"), F.inline_outer("chain.joints"))
     return rows.select("variant_id", "name", r6("limit_lower").alias("limit_lower"), r6("limit_upper").alias("limit_upper"),
                        *[r6(F.col("origin_xyz")[i]).alias(a) for i, a in enumerate("xyz")])
 
@@ -255,7 +255,7 @@ def variant_joints(spark, sf_dir):
 SELECT v.vid AS variant_id, lr.name, {Q.r6('length * coalesce(ls, 1)', 'length_estimate')}, {Q.r6('radius * coalesce(ls, 1)', 'radius_estimate')}
 FROM (SELECT DISTINCT variant_id, vid FROM made) v JOIN lr USING (variant_id) LEFT JOIN made m ON m.vid = v.vid AND m.child = lr.name"""))
 def variant_links(spark, sf_dir):
-    rows = variants(spark, sf_dir).select(F.col("meta.variant_id").alias("variant_id"), F.inline("chain.links"))
+    rows = variants(spark, sf_dir).select(F.col("meta.variant_id").alias("variant_id"), F.inline_outer("chain.links"))
     return rounded(rows.select("variant_id", "name", "length_estimate", "radius_estimate"), "length_estimate", "radius_estimate")
 
 
@@ -264,9 +264,9 @@ SELECT vid AS variant_id, name, {Q.r6('ls', 'length_scale')}, {Q.r6('js', 'limit
 def parameters_only(spark, sf_dir):
     df = X.expand_variants(base_specs(spark, sf_dir), N_VARIANTS, VARIANT_SEED, materialize_chain=False)
     m = F.col("morphology")
-    rows = df.select(F.col("meta.variant_id").alias("variant_id"), F.inline(F.arrays_zip(
+    rows = df.select(F.col("meta.variant_id").alias("variant_id"), F.inline_outer(F.arrays_zip(
         m["actuated_joint_names"].alias("name"), m["length_scale"].alias("length_scale"), m["joint_limit_scale"].alias("limit_scale"),
-        m["joint_limit_shift"].alias("shift"))))
+        m["joint_limit_shift"].alias("shift")))).filter(F.col("name").isNotNull())
     return rounded(rows, "length_scale", "limit_scale", "shift")
 
 
@@ -469,7 +469,7 @@ def pairs(spark, sf_dir):
 def segments(spark, sf_dir):
     rows = posed(spark, sf_dir).select("variant_id", "sample_id", "points")
     rows = D.lookup_join(rows, segment_rows(spark, sf_dir).select("variant_id", "segs"), ["variant_id"])
-    rows = rows.select("variant_id", "sample_id", "points", F.inline("segs"))
+    rows = rows.select("variant_id", "sample_id", "points", F.inline_outer("segs"))
     point = lambda i: F.get("points", F.col(i))
     out = rows.select("variant_id", "sample_id", F.col("b").alias("child"), F.col("r").alias("radius"), point("a")["x"].alias("x0"),
                       point("b")["x"].alias("x1"), point("a")["z"].alias("z0"), point("b")["z"].alias("z1"))
@@ -479,8 +479,8 @@ def segments(spark, sf_dir):
 @query("d4_segment_distance", recursive(f"SELECT variant_id, sample_id, 'l' || c1 AS link_a, 'l' || c2 AS link_b, {Q.r6('dist')} FROM gap", ALL_PAIRS))
 def segment_distance(spark, sf_dir):
     rows = D.pair_distances(posed(spark, sf_dir).select("variant_id", "sample_id", "points"), pairs(spark, sf_dir))
-    each = rows.select("variant_id", "sample_id", F.explode(F.arrays_zip("pairs", "gaps")).alias("e"))
-    return each.select("variant_id", "sample_id", "e.pairs.link_a", "e.pairs.link_b", r6(F.col("e.gaps")).alias("dist"))
+    each = rows.select("variant_id", "sample_id", F.explode_outer(F.arrays_zip("pairs", "gaps")).alias("e"))
+    return each.filter(F.col("e").isNotNull()).select("variant_id", "sample_id", "e.pairs.link_a", "e.pairs.link_b", r6(F.col("e.gaps")).alias("dist"))
 
 
 CLEAR = """SELECT e.variant_id, e.sample_id, min(dist) IS NOT NULL AS tested, round(greatest(min(dist), 0), 6) + 0.0::DOUBLE AS clearance
@@ -552,9 +552,9 @@ def spec_scan(spark, sf_dir):
 @query("a2_file_selection", "SELECT p_brand AS family, count(*) AS n FROM part WHERE p_brand <> 'Brand#11' AND p_brand LIKE '%1' GROUP BY p_brand")
 def file_selection(spark, sf_dir):
     path = new_path(spark, "specs-by-family")
-    base_specs(spark, sf_dir).withColumn("f", F.col("meta.family")).write.partitionBy("f").json(path)
+    base_specs(spark, sf_dir).withColumn("f", F.translate("meta.family", "#", "-")).write.partitionBy("f").json(path)
     specs = A.scan_specs(spark, path, glob="part-*.json", exclude=("none.json",), pattern=r"^part-.*\.json$", one_per_file=False)
-    family = F.regexp_extract(F.url_decode("file_path"), r"/f=([^/]+)/", 1)
+    family = F.translate(F.regexp_extract("file_path", r"/f=([^/]+)/", 1), "-", "#")
     picked = specs.select(family.alias("family")).filter((F.col("family") != "Brand#11") & F.col("family").endswith("1"))
     return picked.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
@@ -589,7 +589,7 @@ SELECT variant_id, count(*) FILTER (moves) AS dof, {Q.r6('sum(len)', 'total')},
 def description_scan(spark, sf_dir):
     path = new_path(spark, "descriptions-xml")
     _xml(spark, sf_dir).write.text(path)
-    df = X.walked(XML.scan_descriptions(spark, path))
+    df = X.walked(XML.scan_descriptions(spark, path, one_per_line=True))
     add = lambda items, pick: F.aggregate(items, F.lit(0.0), lambda a, e: a + pick(e))
     tail = F.slice("link_list", 2, 100)
     return df.select(

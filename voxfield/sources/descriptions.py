@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..schemas import DESCRIPTION_XML
 
 
-def scan_descriptions(spark: SparkSession, path: str) -> DataFrame:
+def scan_descriptions(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """One row per <robot> element: variant_id, file_path, links and joints with their attributes as text.
 
-    Files are split and parsed by Spark's XML source with a declared schema.
+    Files are parsed by Spark's XML source with a declared schema: one document per file, or one element per line,
+    where large files are split.
     """
     raw = (spark.read.format("xml").option("rowTag", "robot").option("recursiveFileLookup", True)
+           .option("multiLine", not one_per_line)
            .schema(DESCRIPTION_XML).load(path).withColumn("file_path", F.col("_metadata.file_path")))
     inertia = lambda l, k: l["inertial"]["inertia"][f"_{k}"].alias(k)
     links = F.transform("link", lambda l: F.struct(
