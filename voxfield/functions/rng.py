@@ -32,4 +32,4 @@ def normal(*parts) -> Column:
 
 def hash_block(key: Column, digits: int = 3) -> Column:
     """Leading hex digits of a hash as a block number; blocks keep the order of the hash."""
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")

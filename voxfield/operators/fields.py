@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.geometry import clip, finite
 from ..functions.joins import lookup_join
 from ..functions.kernels import gaussian_pass
+from ..functions.rng import hash_block, hash_key
 from ..functions.quantile import exact_quantiles
 from ..functions.store import materialize
 from ..schemas import AUDIT_LABELS
@@ -220,6 +221,11 @@ def ratio_field(cells: DataFrame, numerator: str = "g_self_qstar", denominator:
     return cells.withColumn(out, F.col(numerator) / (F.col(denominator) + 1e-6))
 
 
+def downsample(points: DataFrame, rate: int, seed: int = 0) -> DataFrame:
+    """About one point in ``rate``, chosen by a hash of its key."""
+    return points.filter(hash_block(hash_key(seed, F.col("variant_id"), F.col("cell_idx")), 8) % rate == 0)
+
+
 def family_audit(cells: DataFrame, grids: DataFrame, baseline: str, pattern: str = ".*", low_margin_k: int = 5,
                  max_distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Global summary and probe comparison of every variant whose id matches, probes taken from the baseline."""

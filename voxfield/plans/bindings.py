@@ -39,9 +39,13 @@ def joint_limits(bound: float, dof: int) -> Column:
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_samples(table(spark, sf_dir, "lineitem"))
+
+
+def line_samples(lineitem: DataFrame) -> DataFrame:
     """Line items as samples: position, joint vector, clearance, singular values and orientation."""
     a, b, c = F.col("l_partkey") % 7 - 3, F.col("l_suppkey") % 7 - 3, F.col("l_partkey") % 5 - 2
-    lines = table(spark, sf_dir, "lineitem").withColumn("_norm", F.sqrt((a * a + b * b + c * c + 1).cast("double")))
+    lines = lineitem.withColumn("_norm", F.sqrt((a * a + b * b + c * c + 1).cast("double")))
     return lines.select(
         variant_of_line().alias("variant_id"), F.col("l_returnflag").alias("family"), *LINE_ORDER,
         F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"),
