@@ -8,22 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import lookup_join
 from .store import materialize
 
 BLOCK = "_block"
+PLACE_BITS = 33  # bits of a row's place inside its partition in Spark's monotonic ids
 BLOCK_ROWS = 1_000_000
 
 
-def range_blocks(df: DataFrame, order: list, name: str = "ranges") -> DataFrame:
-    """Range-partition by ``order`` and store the rows with their partition number as block.
-
-    The rows are written before the number is used: a recomputed range partitioning may choose other limits.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *order).withColumn(BLOCK, F.spark_partition_id())
-    return materialize(cut, name)
-
-
 def _before(block_totals: DataFrame, keys: list[str], value: Column, fn, alias: str) -> DataFrame:
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return block_totals.withColumn(alias, fn(value).over(earlier))
@@ -41,8 +33,20 @@ def row_numbers(df: DataFrame, keys: list[str], order: list, out: str, block: Co
 
 
 def ordered_row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Row numbers for any sortable order, through stored range partitions."""
-    return row_numbers(range_blocks(df, [*keys, *order], "ordered"), keys, order, out)
+    """Row numbers for any sortable order with one shuffle: range-partition, sort, number inside the partition.
+
+    The rows are stored with their place before it is used, as a recomputed range partitioning may choose other
+    limits. What remains is a small table: where each group starts in each partition and how many rows came before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn(BLOCK, F.shiftright("_place", PLACE_BITS))
+    totals = rows.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
+    starts = materialize(_before(totals, keys, F.col("_n"), F.sum, "_offset").drop("_n"), "starts")
+    number = F.col("_place") - F.col("_start") + 1 + F.coalesce("_offset", F.lit(0))
+    return lookup_join(rows, starts, [*keys, BLOCK]).withColumn(out, number).drop(BLOCK, "_place", "_start", "_offset")
 
 
 def running(df: DataFrame, keys: list[str], order: str, value: str, fn, out: str,

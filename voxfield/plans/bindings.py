@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small table over all cores before costly per-row work; a large scan already has enough tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived input written once per session and data folder, as the stages of the pipeline hand over files."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -39,7 +45,8 @@ def joint_limits(bound: float, dof: int) -> Column:
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_samples(table(spark, sf_dir, "lineitem"))
+    return line_samples(spread(table(spark, sf_dir, "lineitem").select(
+        *LINE_ORDER, "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")))
 
 
 def line_samples(lineitem: DataFrame) -> DataFrame:
@@ -74,7 +81,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with their position in the variant's stream."""
     def build():
-        return ordered_row_numbers(samples(spark, sf_dir), ["variant_id"], LINE_ORDER, "sample_id").drop(*LINE_ORDER)
+        raw = line_samples(table(spark, sf_dir, "lineitem"))
+        return with_indicators(ordered_row_numbers(raw, ["variant_id"], LINE_ORDER, "sample_id").drop(*LINE_ORDER))
     return stored_once(spark, sf_dir, "ordered-samples", build)
 
 

@@ -47,7 +47,7 @@ def descriptions(spark, sf_dir):
             F.when(turn == 1, "1 0 0").when(turn == 2, "0 1 0").when(turn == 3, "0 0 1").when(turn == 4, "0 -1 0").alias("axis"),
             F.when(((p + j) % 9 != 0) & ((p + j) % 17 != 0), _milli(-(500 + (p * 11 + j * 7) % 2000))).alias("lower"),
             F.when((p + j) % 9 != 0, _milli(400 + (p * 5 + j * 3) % 2200)).alias("upper"))
-    rows = B.table(spark, sf_dir, "part").withColumn("_n", 2 + F.col("p_size") % 4)
+    rows = B.spread(B.table(spark, sf_dir, "part")).withColumn("_n", 2 + F.col("p_size") % 4)
     rows = rows.withColumns({
         "links": F.transform(F.sequence(F.lit(0), F.col("_n")), link), "joints": F.transform(F.sequence(F.lit(1), F.col("_n")), joint)})
     camera = lambda name: F.struct(F.lit(name).alias("name"), *[none.alias(k) for k in (
