@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import SPHERE_BINS, clip
@@ -102,16 +104,18 @@ def boundary_distance(cells: DataFrame) -> DataFrame:
                         .otherwise(F.col("distance"))).drop("_peak"))
 
 
-def build_map(samples: DataFrame, resolution: float | tuple, margin: float = 1.1,
-              grids: DataFrame | None = None) -> DataFrame:
+def build_map(samples: DataFrame, resolution: float | tuple, margin: float = 1.1, grids: DataFrame | None = None,
+              score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Samples to the dense indicator map, one row per cell of every grid.
 
-    ``samples``: variant_id, x, y, z, g_self, g_lim, g_man, g_iso, g_sigma, sphere_bin. The grids and the touched
-    cells are written once, as two later steps read each of them.
+    ``samples``: variant_id, x, y, z, g_self, g_lim, g_man, g_iso, g_sigma, sphere_bin; ``score`` adds indicators that
+    are not there yet, after points outside the grid are gone. The grids and the touched cells are written once, as
+    two later steps read each of them.
     """
     if grids is None:
         grids = materialize(build_grid(scout_bounds(samples, margin), resolution), "grids")
-    touched = materialize(survey_cells(assign_cells(samples, grids)), "touched")
+    placed = assign_cells(samples, grids)
+    touched = materialize(survey_cells(score(placed) if score else placed), "touched")
     dense = grid_cells(grids).join(log_density(touched, "passes", "_red"), CELL, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     dense = dense.select(

@@ -175,8 +175,8 @@ def file_stream(spark, sf_dir, name: str) -> DataFrame:
 @query("l1_survey_stream", Q.with_(Q.TO_TOUCHED, f"""
 SELECT variant_id, cell_idx, attempts, passes, {', '.join(Q.r6(c) for c in ('avg_g_self', 'avg_g_lim', 'max_g_man', 'max_g_iso', 'max_g_sigma'))}, n_bins FROM touched"""))
 def survey_stream(spark, sf_dir):
-    samples = B.with_indicators(B.line_samples(file_stream(spark, sf_dir, "lineitem")))
-    out = L.survey_stream(samples, grids(spark, sf_dir), new_path(spark, "survey-stream"), new_path(spark, "survey-stream-offsets"))
+    samples = B.line_samples(file_stream(spark, sf_dir, "lineitem"))
+    out = L.survey_stream(samples, grids(spark, sf_dir), B.with_indicators, new_path(spark, "survey-stream"), new_path(spark, "survey-stream-offsets"))
     out = out.withColumn("n_bins", F.coalesce(F.bit_count("rot_mask"), F.lit(0)).cast("bigint")).drop("rot_mask")
     return rounded(out, "avg_g_self", "avg_g_lim", "max_g_man", "max_g_iso", "max_g_sigma")
 

@@ -9,6 +9,7 @@ from ..functions.store import materialize, new_path
 from ..operators import collision as D, features as I, kernel as P, sampling as H, specs as X
 from ..sources import descriptions as XML, tables as A
 from . import bindings as B, sql as Q
+from .pipelines import survey_specs
 from .registry import query, r6, rounded
 
 
@@ -537,6 +538,15 @@ def query_expansion(spark, sf_dir):
     return rounded(I.query_expansion(posed(spark, sf_dir).select("variant_id", "sample_id", "x"), nodes), "x", "length")
 
 
+@query("survey_from_specs")
+def survey_from_specs(spark, sf_dir):
+    """Rows only: every part chain from spec to map (scout, grid, calibration, survey, boundary distance)."""
+    out = survey_specs(base_specs(spark, sf_dir), 64, 0.5, bounds_samples=64, calibration=32, chunk=64)
+    return out.groupBy("variant_id").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("attempts").alias("attempts"), F.sum("g_ws").alias("reachable"),
+        r6(F.max("g_man")).alias("best_man"), r6(F.max("g_margin")).alias("best_margin"))
+
+
 # Sources and sinks.
 
 @query("a1_spec_scan", Q.with_(PARTS, f"""

@@ -149,8 +149,7 @@ def sphere_bin(spark, sf_dir):
 SELECT variant_id, cell_idx, attempts, passes, {', '.join(Q.r6(c) for c in
   ('avg_g_self', 'avg_g_lim', 'max_g_man', 'max_g_iso', 'max_g_sigma'))}, n_bins FROM touched"""))
 def survey_cells(spark, sf_dir):
-    placed = V.assign_cells(B.samples(spark, sf_dir), grids(spark, sf_dir))
-    out = S.survey_cells(placed)
+    out = S.survey_cells(B.with_indicators(V.assign_cells(B.raw_samples(spark, sf_dir), grids(spark, sf_dir))))
     out = out.withColumn("n_bins", F.coalesce(F.bit_count("rot_mask"), F.lit(0)).cast("bigint")).drop("rot_mask")
     return rounded(out, "avg_g_self", "avg_g_lim", "max_g_man", "max_g_iso", "max_g_sigma")
 
@@ -232,7 +231,7 @@ FULL = ["g_ws", "g_red", "g_margin", "g_self", "g_selfpass", "g_lim", "g_rot", "
 SELECT variant_id, cell_idx, sample_counts, {', '.join(Q.r6(c) for c in FULL)} FROM cells"""))
 def survey_end_to_end(spark, sf_dir):
     """Samples to finished map, with nothing taken from an earlier query."""
-    return rounded(S.build_map(B.samples(spark, sf_dir), 1.0).select("variant_id", "cell_idx", "sample_counts", *FULL), *FULL)
+    return rounded(S.build_map(B.raw_samples(spark, sf_dir), 1.0, score=B.with_indicators).select("variant_id", "cell_idx", "sample_counts", *FULL), *FULL)
 
 
 # Convergence over ordered streams. Fixed test parameters.

@@ -5,6 +5,8 @@ Each batch writes its own folder, named by the batch id, so that a batch repeate
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.joins import lookup_join
@@ -33,9 +35,13 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return (df.groupBy(*keys).agg(best) if keys else df.agg(best)).select(*keys, "_v.*")
 
 
-def survey_stream(samples: DataFrame, grids: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Running survey of a sample stream against known grids: the same mergeable aggregates as the batch survey."""
-    stream = survey_cells(assign_cells(samples, grids))
+def survey_stream(samples: DataFrame, grids: DataFrame, score: Callable[[DataFrame], DataFrame], path: str,
+                  checkpoint: str) -> DataFrame:
+    """Running survey of a sample stream against known grids: the same mergeable aggregates as the batch survey.
+
+    ``score`` adds the per-sample indicators to the points that lie in a cell.
+    """
+    stream = survey_cells(score(assign_cells(samples, grids)))
     _run(stream, _batch_writer(path), checkpoint, "update")
     return latest(samples.sparkSession.read.parquet(path), CELL)
 
