@@ -22,7 +22,7 @@ ZERO_COLUMN = 1e-6
 POSE_SCHEMA = ("variant_id string, sample_id bigint, q array<double>, x double, y double, z double, "
                "qx double, qy double, qz double, qw double, sphere_bin int, "
                "link_x array<double>, link_y array<double>, link_z array<double>, "
-               "sigmas array<double>, n_rows int, n_cols int, jacobian array<double>")
+               "sigmas array<double>, n_rows int, n_cols int, jacobian array<double>, clearance double")
 
 
 def chains(specs: DataFrame) -> DataFrame:
@@ -152,13 +152,37 @@ def singular_values(jacobian: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]
     return values, n_rows, n_cols
 
 
+def smallest_gap(position: np.ndarray, pairs: list[dict]) -> np.ndarray:
+    """Smallest surface distance over the segment pairs of each sample, at least 0; NaN without pairs.
+
+    The same closest points as ``functions.geometry.segment_distances``, for all samples of a block at once.
+    """
+    if not pairs:
+        return np.full(len(position), np.nan)
+    ends = {k: position[:, [p[k] for p in pairs]] for k in ("a0", "a1", "b0", "b1")}
+    u, v, w = ends["a1"] - ends["a0"], ends["b1"] - ends["b0"], ends["a0"] - ends["b0"]
+    uu, uv, vv, uw, vw = ((x * y).sum(axis=2) for x, y in ((u, u), (u, v), (v, v), (u, w), (v, w)))
+    spread = uu * vv - uv * uv
+    skew = spread > 1e-12
+    safe = np.where(skew, spread, 1.0)
+    along = np.where(vv > 1e-12, vw / np.where(vv > 1e-12, vv, 1.0), 0.0)
+    s = np.clip(np.where(skew, (uv * vw - vv * uw) / safe, 0.0), 0.0, 1.0)
+    t = np.clip(np.where(skew, (uu * vw - uv * uw) / safe, along), 0.0, 1.0)
+    gaps = np.linalg.norm(w + s[:, :, None] * u - t[:, :, None] * v, axis=2) - np.array([p["reach"] for p in pairs])
+    return np.maximum(gaps.min(axis=1), 0.0)
+
+
 def _lists(rows: np.ndarray) -> pa.ListArray:
     offsets = np.arange(len(rows) + 1, dtype="int32") * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
 def pose_samples(blocks: DataFrame, with_jacobian: bool = False) -> DataFrame:
-    """One row per sample: end pose, direction bin, link positions and singular values."""
+    """One row per sample: end pose, direction bin, link positions and singular values.
+
+    Blocks that carry the segment ``pairs`` of their chain also get the clearance of every sample.
+    """
+    with_pairs = "pairs" in blocks.columns
     sphere = np.array(sphere_points(SPHERE_BINS)).T
     columns = [c.split(" ")[0] for c in POSE_SCHEMA.split(", ")]
 
@@ -178,8 +202,9 @@ def pose_samples(blocks: DataFrame, with_jacobian: bool = False) -> DataFrame:
                     pa.array((end[:, :, 2] @ sphere).argmax(axis=1).astype("int32")),
                     *[_lists(np.ascontiguousarray(position[:, :, i])) for i in range(3)],
                     pa.array([v.tolist() for v in values], type=pa.list_(pa.float64())),
-                    pa.array(n_rows), pa.array(n_cols), _lists(flat)], names=columns)
-    needed = blocks.select("variant_id", "sample_ids", "qs", "steps", "n_links", "end_link")
+                    pa.array(n_rows), pa.array(n_cols), _lists(flat),
+                    pa.array(smallest_gap(position, row["pairs"] if with_pairs else []))], names=columns)
+    needed = blocks.select("variant_id", "sample_ids", "qs", "steps", "n_links", "end_link", *(["pairs"] if with_pairs else []))
     return needed.mapInArrow(run, POSE_SCHEMA)
 
 

@@ -499,6 +499,13 @@ def minimum_clearance(spark, sf_dir):
     return tested(D.clearance(rows, pairs(spark, sf_dir)))
 
 
+@query("d5_block_clearance", recursive(CLEAR.replace("greatest(min(dist), 0)", "CASE WHEN min(dist) IS NOT NULL THEN greatest(min(dist), 0) END"), ALL_PAIRS))
+def block_clearance(spark, sf_dir):
+    """The same clearance from the pass over sample blocks."""
+    blocks = D.lookup_join(P.sample_blocks(chain_rows(spark, sf_dir), N_SAMPLES, SAMPLE_SEED), pairs(spark, sf_dir), ["variant_id"])
+    return tested(P.pose_samples(blocks).select("variant_id", "sample_id", "clearance"))
+
+
 @query("d6_listed_pairs", recursive(CLEAR.replace("greatest(min(dist), 0)", "CASE WHEN min(dist) IS NOT NULL THEN greatest(min(dist), 0) END")
        .replace("FROM ends e LEFT JOIN gap", "FROM ends e LEFT JOIN gap2"), SEGMENTS.format(
            left="seg", right="seg", on="s.child = 1 AND t.child >= s.n_end") .replace("seg AS (SELECT", "seg AS (SELECT f.n AS n_end,") + """,
