@@ -131,6 +131,23 @@ def test_resampling_equals_brute_force(spark):
     assert K.smoothed_field(K.dense_lattice(K.resampled_field(points, ["s"], lattice), lattice, ["s"]), "s").count() == 729
 
 
+@pytest.mark.parametrize("few", [1, 100])
+def test_nearest_cells_equal_brute_force(spark, few):
+    variants = spark.createDataFrame([("a",), ("b",)], "variant_id string")
+    grids = V.build_grid(V.manual_bounds(variants, (0, 0, 0), (3, 2, 2)), 0.5)
+    labels = ["g_ws", "g_lim", "g_selfpass", "g_man", "g_iso", "g_sigma", "g_rot", "g_red", "g_margin", "sample_counts"]
+    cells = V.grid_cells(grids).withColumns({k: F.lit(0.5) for k in labels})
+    spots = np.random.default_rng(7).uniform(-1, 4, (12, 3))
+    probes = spark.createDataFrame([(f"p{i}", *map(float, v)) for i, v in enumerate(spots)], "probe string, x double, y double, z double")
+    got = K.nearest_cells(cells, grids, probes, 0.3, few).toPandas()
+    centres = cells.filter("variant_id = 'a'").orderBy("cell_idx").select("cx", "cy", "cz").toPandas().to_numpy()
+    assert len(got) == 24
+    for r in got.itertuples():
+        d = np.linalg.norm(centres - spots[int(r.probe[1:])], axis=1)
+        assert r.cell_idx == d.argmin() and r.nearest_dist == pytest.approx(d.min())
+        assert r.matched == (d.min() <= 0.3) and (r.g_man == 0.5 if r.matched else np.isnan(r.g_man))
+
+
 def test_ratio_field_needs_both_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "g_self double, g_self_qstar double")
     assert K.ratio_field(df).first().ratio == pytest.approx(2.0, rel=1e-5)

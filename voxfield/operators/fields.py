@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import clip, finite
-from ..functions.joins import lookup_join
+from ..functions.joins import fits, lookup_join
 from ..functions.kernels import gaussian_pass
 from ..functions.rng import hash_block, hash_key
 from ..functions.quantile import exact_quantiles
@@ -19,6 +19,8 @@ from .survey import along_lines
 SAFETY_CUTOFF, SAFETY_POWER, DEXTERITY_POWER, SAFETY_GATE = 0.1, 0.8, 1.2, 0.01
 DEXTERITY_WEIGHTS = {"g_man": 0.4, "g_iso": 0.15, "g_sigma": 0.15, "g_red": 0.15, "g_rot": 0.15}
 
+PROBE_BUCKETS = 64
+
 
 def _selectable(cells: DataFrame, require_reachable: bool) -> DataFrame:
     return cells.filter(F.col("g_ws") > 0.5) if require_reachable else cells
@@ -74,13 +76,20 @@ def select_probes(cells: DataFrame, baseline: str, low_margin_k: int = 5, **opti
             .select("probe", "x", "y", "z"))
 
 
-def nearest_cells(cells: DataFrame, grids: DataFrame, probes: DataFrame, max_distance: float = 0.05) -> DataFrame:
+def nearest_cells(cells: DataFrame, grids: DataFrame, probes: DataFrame, max_distance: float = 0.05,
+                  few_probes: int = 10_000) -> DataFrame:
     """Nearest cell of every variant to every probe; indicators are attached when it is close enough.
 
-    Maps are dense on a regular grid, so the nearest cell follows from arithmetic; the lower cell wins a tie.
+    Maps are dense on a regular grid, so the nearest cell follows from arithmetic; the lower cell wins a tie. Up to
+    ``few_probes`` probes travel with each grid as one array; more are spread over buckets that every grid visits.
     """
-    few = probes.agg(F.collect_list(F.struct("probe", "x", "y", "z"))).scalar()
-    targets = grids.select("*", F.explode(few).alias("_p"))
+    place = F.struct("probe", "x", "y", "z")
+    if fits(probes, few_probes):
+        targets = grids.select("*", F.explode(probes.agg(F.collect_list(place)).scalar()).alias("_p"))
+    else:
+        spread = probes.select(F.pmod(F.xxhash64("probe", "x", "y", "z"), F.lit(PROBE_BUCKETS)).alias("_b"), place.alias("_p"))
+        visits = grids.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(PROBE_BUCKETS - 1)).cast("array<bigint>")))
+        targets = visits.join(spread, "_b").drop("_b")
     parts, d2 = [], F.lit(0.0)
     for a in AXES:
         cell = F.ceil((F.col(f"_p.{a}") - F.col(f"bmin_{a}")) / F.col(f"res_{a}")) - 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.joins import lookup_join
 from ..functions.rng import hash_block, hash_key, uniform
-from ..functions.scan import BLOCK, BLOCK_ROWS, ordered_row_numbers, row_numbers, running
+from ..functions.scan import BLOCK_ROWS, ordered_row_numbers, row_numbers, running
 
 CHOICE_BUCKETS = 1024
 
