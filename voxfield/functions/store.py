@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master (tests, bench) may fall back to a temporary folder.
+    Where it is unset, only a single-process local master gets a folder of its own, removed when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="voxfield-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own:
+        _own[context.applicationId] = made = tempfile.mkdtemp(prefix="voxfield-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return _own[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
