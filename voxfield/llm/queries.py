@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, packing, secrets, simhash, toxicity
+from . import (decontamination, language_id, lattice_lm, packing, pii, quality_rules, secrets, simhash, token_counts,
+               toxicity)
 from .common import bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,21 @@ def query(name: str):
     return add
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = bucket("doc_id", 4)
+    model = language_id.train(docs.filter((remainder >= 0) & (remainder != 2)))
+    return language_id.identify(docs, model).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_edit_aware_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its repeated lines are edited out."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.recount(docs, token_counts.repeated_lines(docs)).drop("text")
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"))
@@ -30,6 +46,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents")).drop("row")
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from the labelled documents outside the held-out fifth."""
     return toxicity.train(docs.filter(bucket("doc_id", 5) > 0), labels)
@@ -47,6 +73,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op9_lattice_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice_lm.score(table(spark, sf_dir, "documents"), bucket("doc_id", 10) > 0)
+    return scored.select("doc_id", (bucket("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
