@@ -166,7 +166,7 @@ def spans(docs: DataFrame) -> DataFrame:
     extracted = materialize(_extract(docs), "pii-spans")
     told = materialize(revealing(docs, extracted), "revealing-terms")
     holders = extracted.select("row", "base", F.explode("found.entity").alias("entity")).join(told, "entity")
-    marks = holders.groupBy("row", "base").agg(F.collect_set("term").alias("terms"))
+    marks = materialize(holders.groupBy("row", "base").agg(F.collect_set("term").alias("terms")), "revealing-marks")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(marks, "row").dropDuplicates(["row"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

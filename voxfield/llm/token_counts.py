@@ -177,7 +177,7 @@ def recount(docs: DataFrame, edits: DataFrame, vocabulary: str | None = None) ->
     ids = docs.schema["doc_id"].dataType.simpleString()
     one = F.struct(*(F.col(c).cast("bigint").alias(c) for c in ("seq", "start", "stop")), F.col("replacement"))
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).cast(_edit).alias("_edits"))
-    joined = docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    joined = docs.select("doc_id", "text").hint("merge").join(lists, "doc_id", "left")  # any number of edits
 
     def run(batches):
         coder = encoder(vocabulary)
