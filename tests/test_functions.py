@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxfield.functions import geometry as G
+from voxfield.functions import geometry as G, quantile
 from voxfield.functions.joins import lookup_join
+from voxfield.functions.kernels import lower_envelope, sphere_bin
 from voxfield.functions.quantile import exact_quantiles
 from voxfield.functions.rng import normal, uniform
 from voxfield.functions.scan import moving_average, ordered_row_numbers, running
@@ -135,3 +136,37 @@ def test_segment_distances(spark):
     assert gap((0, 0, 0), (1, 0, 0), (0.5, -1, 2), (0.5, 1, 2)) == pytest.approx(2)
     assert gap((0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), 0.25) == pytest.approx(0.75)
     assert gap((0, 0, 0), (0, 0, 0), (3, 4, 0), (3, 4, 0)) == pytest.approx(5)
+
+
+def test_lower_envelope_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        f = np.where(rng.random((30, n)) < 0.3, np.inf, rng.random((30, n)) * rng.choice([0, 1, 50], (30, n)))
+        step = rng.random(30) + 0.1
+        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
+        want = (f[:, None, :] + gap[None] * step[:, None, None] ** 2).min(axis=2)
+        assert np.allclose(lower_envelope(f, step), want)
+
+
+def test_lower_envelope_of_a_long_line():
+    line = np.full((1, 20_000), np.inf)
+    line[0, [17, 12_345]] = 0
+    at = np.arange(20_000)
+    assert np.allclose(lower_envelope(line, np.array([0.5])), np.minimum(abs(at - 17), abs(at - 12_345)) ** 2 * 0.25)
+
+
+def test_no_direction_has_no_bin(spark):
+    rows = [(0.0, 0.0, 0.0), (None, 1.0, 0.0), (float("nan"), 1.0, 0.0), (float("inf"), 0.0, 1.0), (0.0, 1.0, 0.0)]
+    out = spark.createDataFrame(rows, "x double, y double, z double").select(
+        sphere_bin(F.col("x"), F.col("y"), F.col("z")).alias("b")).collect()
+    assert [r["b"] for r in out[:4]] == [None] * 4 and out[4]["b"] == 0
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_a_wrong_bracket_is_widened(spark, monkeypatch, method):
+    monkeypatch.setattr(quantile, "RANK_SLACK", -0.2)  # every bracket misses its rank
+    values = np.random.default_rng(3).random(2_000).round(3)
+    df = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 2_000, "v": values}))
+    got = exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, method, small_group=100).first()
+    kind = "linear" if method == "linear" else "inverted_cdf"
+    assert np.allclose([got.p10, got.p50, got.p99], np.quantile(values, [0.1, 0.5, 0.99], method=kind))

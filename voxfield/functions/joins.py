@@ -1,27 +1,17 @@
-"""Joins against side tables whose size is checked before they are broadcast."""
+"""Joins against per-key side tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
+from .store import materialize
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def lookup_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner",
-                rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", stored: bool = False) -> DataFrame:
     """Attach a per-key side table to a large table (inner, left, left_semi or left_anti).
 
-    A side within ``rows`` is broadcast. A larger one is joined on (key, salt): the side is repeated per salt
-    and the large table spread by a hash of its own columns, so that one hot key fills many tasks.
+    The side is written first, unless it is ``stored`` already, so that it runs once and Spark knows its bytes: it is
+    broadcast below ``spark.sql.autoBroadcastJoinThreshold`` and joined by sort and merge above, where adaptive
+    execution splits hot keys.
     """
-    if fits(side, rows):
-        return big.join(F.broadcast(side), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    return big.join(side if stored else materialize(side, "side"), on, how)

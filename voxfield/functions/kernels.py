@@ -12,14 +12,18 @@ from .geometry import SPHERE_BINS, sphere_points
 def sphere_bin(vx: Column, vy: Column, vz: Column, n: int = SPHERE_BINS) -> Column:
     """Number of the lattice direction nearest to (vx, vy, vz); the lowest number wins a tie.
 
-    The directions have unit length, so the nearest one has the largest dot product.
+    The directions have unit length, so the nearest one has the largest dot product. A direction that is zero, missing
+    or not finite has no bin: null.
     """
     points = np.array(sphere_points(n)).T
 
     @F.pandas_udf("int")
     def nearest(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        dots = x.to_numpy()[:, None] * points[0] + y.to_numpy()[:, None] * points[1] + z.to_numpy()[:, None] * points[2]
-        return pd.Series(dots.argmax(axis=1).astype("int32"))
+        v = np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in (x, y, z)])
+        known = np.isfinite(v).all(axis=0) & (v != 0).any(axis=0)
+        bins = np.full(len(x), None, dtype=object)
+        bins[known] = (v[:, known].T @ points).argmax(axis=1)
+        return pd.Series(bins, dtype="Int32")
     return nearest(vx, vy, vz)
 
 
@@ -34,6 +38,43 @@ def _by_length(lines: pd.Series, work) -> pd.Series:
     return pd.Series(out)
 
 
+def lower_envelope(f: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """For every line of ``f`` and place i the least f[j] + ((i - j) * step)^2, in time linear in the line.
+
+    The lower envelope of the parabolas is built for all lines in step: each parabola enters every line's stack once and
+    leaves it at most once. Infinite values add no parabola.
+    """
+    lines, n = f.shape
+    scale = step * step
+    top = np.full(lines, -1)
+    place = np.zeros((lines, n), dtype=np.int64)
+    begins = np.full((lines, n + 1), np.inf)
+    for q in range(n):
+        open_ = np.flatnonzero(np.isfinite(f[:, q]))
+        while len(open_):
+            first = open_[top[open_] < 0]
+            top[first], place[first, 0], begins[first, 0] = 0, q, -np.inf
+            rest = open_[top[open_] >= 0] if not len(first) else np.setdiff1d(open_, first, assume_unique=True)
+            p = place[rest, top[rest]]
+            meet = ((f[rest, q] - f[rest, p]) / scale[rest] + q * q - p * p) / (2 * (q - p))
+            above = meet <= begins[rest, top[rest]]
+            kept = rest[~above]
+            top[kept] += 1
+            place[kept, top[kept]], begins[kept, top[kept]] = q, meet[~above]
+            open_ = rest[above]
+            top[open_] -= 1
+    begins[np.arange(lines), top + 1] = np.inf
+    out, at, row = np.full(f.shape, np.inf), np.zeros(lines, dtype=np.int64), np.flatnonzero(top >= 0)
+    for i in range(n):
+        late = row[begins[row, at[row] + 1] < i]
+        while len(late):
+            at[late] += 1
+            late = late[begins[late, at[late] + 1] < i]
+        j = place[row, at[row]]
+        out[row, i] = f[row, j] + scale[row] * (i - j) ** 2
+    return out
+
+
 def squared_distance_pass(line: Column, step: Column) -> Column:
     """For each position i of a line: min over j of line[j] + ((i - j) * step)^2."""
 
@@ -41,14 +82,7 @@ def squared_distance_pass(line: Column, step: Column) -> Column:
     def along(lines: pd.Series, steps: pd.Series) -> pd.Series:
         spacing = steps.to_numpy()
 
-        def work(block, at):
-            n = block.shape[1]
-            gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-            best = np.full(block.shape, np.inf)
-            for j in range(n):
-                np.minimum(best, block[:, j:j + 1] + gap[:, j] * spacing[at, None] ** 2, out=best)
-            return best
-        return _by_length(lines, work)
+        return _by_length(lines, lambda block, at: lower_envelope(block, spacing[at]))
     return along(line, step)
 
 

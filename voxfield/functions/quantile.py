@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import lookup_join
 from .store import materialize
 
 SMALL_GROUP = 100_000
@@ -40,34 +39,33 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     if not keys:
         whole = df.select(F.lit(1).alias("_all"), F.col(value))
         return exact_quantiles(whole, ["_all"], value, probs, method, small_group).drop("_all")
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = materialize(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    data = materialize(df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), "values")
+    names = list(probs)
+    lows = [min(1.0, max(0.0, probs[c] - RANK_SLACK)) for c in names]
+    highs = [max(0.0, min(1.0, probs[c] + RANK_SLACK)) for c in names]
+    sketch = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [*lows, *highs], SKETCH_ACCURACY).alias("_s"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    brackets = [F.struct(
+        F.lit(c).alias("name"),
+        (F.col("_min") if lows[i] == 0.0 else F.col("_s")[i]).alias("lo"),
+        (F.col("_max") if highs[i] == 1.0 else F.col("_s")[len(names) + i]).alias("hi")) for i, c in enumerate(names)]
+    sizes = materialize(sketch.select(*keys, "_n", "_min", "_max", F.array(*brackets).alias("_b")), "group-sizes")
     large = sizes.filter(F.col("_n") > small_group)
     if large.isEmpty():
         return _small(data, keys, probs, method)
-    names = large.select(*keys)
-    return (_small(lookup_join(data, names, keys, "left_anti"), keys, probs, method)
-            .unionByName(_large(lookup_join(data, names, keys, "left_semi"), large, keys, probs, method)))
+    listed = large.select(*keys)
+    return (_small(data.join(listed, keys, "left_anti"), keys, probs, method)
+            .unionByName(_large(data.join(listed, keys, "left_semi"), large, keys, probs, method)))
 
 
 def _small(data: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
     return data.groupBy(*keys).agg(*[_builtin("_v", p, method).alias(c) for c, p in probs.items()])
 
 
-def _large(data: DataFrame, sizes: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
-    names = list(probs)
-    lows = [max(0.0, probs[c] - RANK_SLACK) for c in names]
-    highs = [min(1.0, probs[c] + RANK_SLACK) for c in names]
-    sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", [*lows, *highs], SKETCH_ACCURACY).alias("_s"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    brackets = [F.struct(
-        F.lit(c).alias("name"),
-        (F.col("_min") if lows[i] == 0.0 else F.col("_s")[i]).alias("lo"),
-        (F.col("_max") if highs[i] == 1.0 else F.col("_s")[len(names) + i]).alias("hi")) for i, c in enumerate(names)]
-    bounds = materialize(sketch.select(*keys, F.array(*brackets).alias("_b")), "quantile-brackets")
-    bounded = lookup_join(data, bounds, keys)
-
+def _inside(data: DataFrame, bounds: DataFrame, keys: list[str], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Per group and bracket: how many values lie below it, and the stored counts of the distinct values inside."""
+    bounded = data.join(bounds.select(*keys, "_b"), keys)
     below = bounded.groupBy(*keys).agg(*[
         F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(len(names))])
     below = below.select(*keys, F.explode(F.array(*[
@@ -80,14 +78,41 @@ def _large(data: DataFrame, sizes: DataFrame, keys: list[str], probs: dict[str,
                        F.col("_h.hi").alias("_hi"), "_v").agg(F.count(F.lit(1)).alias("_c")))
     span = F.col("_hi") - F.col("_lo")
     bin_of = F.when(span > 0, F.least(F.lit(SUB_BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / span * SUB_BINS)))
-    inside = materialize(inside.withColumn("_bin", F.coalesce(bin_of, F.lit(0)).cast("int")), "quantile-inside")
+    inside = inside.withColumn("_bin", F.coalesce(bin_of, F.lit(0)).cast("int"))
+    return materialize(below, "quantile-below"), materialize(inside, "quantile-inside")
+
+
+def _missed(below: DataFrame, inside: DataFrame, sizes: DataFrame, keys: list[str], probs: dict[str, float],
+            method: str) -> DataFrame:
+    """Brackets that do not hold the ranks they were made for."""
+    group = [*keys, "_name"]
+    held = inside.groupBy(*group).agg(F.sum("_c").alias("_held"))
+    known = below.join(sizes.select(*keys, "_n"), keys).join(held, group, "left").fillna(0, ["_held"])
+    ok = F.lit(False)
+    for c, p in probs.items():
+        low, high, _ = _targets(F.col("_n"), p, method)
+        ok = ok | ((F.col("_name") == c) & (low >= F.col("_below")) & (high < F.col("_below") + F.col("_held")))
+    return materialize(known.filter(~ok).select(*group), "missed-brackets")
+
+
+def _large(data: DataFrame, sizes: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
+    names = list(probs)
+    below, inside = _inside(data, sizes, keys, names)
+    missed = _missed(below, inside, sizes, keys, probs, method)
+    if not missed.isEmpty():  # the sketch was off: take the whole range for those
+        wide = missed.groupBy(*keys).agg(F.collect_set("_name").alias("_wide"))
+        sizes = sizes.join(wide, keys, "left").withColumn("_b", F.transform("_b", lambda b: F.when(
+            F.array_contains("_wide", b["name"]),
+            F.struct(b["name"].alias("name"), F.col("_min").alias("lo"), F.col("_max").alias("hi"))).otherwise(b))).drop("_wide")
+        sizes = materialize(sizes, "quantile-brackets")
+        below, inside = _inside(data, sizes, keys, names)
 
     group = [*keys, "_name"]
     bins = inside.groupBy(*group, "_bin").agg(F.sum("_c").alias("_t"))
     earlier = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_off", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
     upto = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.join(bins, [*group, "_bin"]).join(below.join(sizes, keys), group)
+    ranked = (inside.join(bins, [*group, "_bin"]).join(below.join(sizes.select(*keys, "_n"), keys), group)
               .withColumn("_end", F.sum("_c").over(upto) + F.col("_off") + F.col("_below"))
               .withColumn("_start", F.col("_end") - F.col("_c")))
 

@@ -15,8 +15,8 @@ def hash_key(*parts) -> Column:
 
 
 def uniform(*parts) -> Column:
-    """Uniform in [0, 1) with 32 bits."""
-    return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    """Uniform in [0, 1) with 52 bits."""
+    return F.conv(F.substring(hash_key(*parts), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
 def uniform_between(low, high, *parts) -> Column:
@@ -30,6 +30,14 @@ def normal(*parts) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
-def hash_block(key: Column, digits: int = 3) -> Column:
+def block_digits(rows: int, block_rows: int = 100_000) -> int:
+    """Hex digits of a hash that cut ``rows`` into blocks of about ``block_rows`` or fewer."""
+    digits = 1
+    while 16 ** digits * block_rows < rows and digits < 13:
+        digits += 1
+    return digits
+
+
+def hash_block(key: Column, digits: int) -> Column:
     """Leading hex digits of a hash as a block number; blocks keep the order of the hash."""
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")

@@ -49,15 +49,19 @@ def fourier(x: Column, bands: int, include_input: bool = True, base: float = 2.0
     return F.concat(x, out) if include_input else out
 
 
-def padded_sequences(nodes: DataFrame, dims: list[str], order: str, max_nodes: int) -> DataFrame:
-    """First nodes of each graph as one array of the longest kept length, padded with zeros, with the pad mask."""
+def padded_sequences(nodes: DataFrame, dims: list[str], order: str, max_nodes: int | None = None) -> DataFrame:
+    """Nodes of each graph as one array of the longest kept length, padded with zeros, with the pad mask.
+
+    With ``max_nodes`` only the first nodes of a graph are kept.
+    """
     rank = F.row_number().over(Window.partitionBy("graph_id").orderBy(order))
-    kept = nodes.withColumn("_rank", rank).filter(F.col("_rank") <= max_nodes)
+    kept = nodes.withColumn("_rank", rank)
+    kept = kept if max_nodes is None else kept.filter(F.col("_rank") <= max_nodes)
     vec = F.array(*[F.col(d).cast("double") for d in dims])
     packed = kept.groupBy("graph_id").agg(
         F.array_sort(F.collect_list(F.struct("_rank", vec.alias("v")))).alias("_s"))
     longest = (nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.least(F.max("n"), F.lit(max_nodes)).cast("int")).scalar())
+               .agg((F.max("n") if max_nodes is None else F.least(F.max("n"), F.lit(max_nodes))).cast("int")).scalar())
     packed = packed.select("graph_id", F.transform("_s", lambda s: s["v"]).alias("_v"), longest.alias("width"))
     pad = F.array_repeat(F.array(*[F.lit(0.0)] * len(dims)), F.col("width") - F.size("_v"))
     return packed.select("graph_id", "width", F.concat("_v", pad).alias("padded"),

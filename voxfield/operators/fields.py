@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import clip, finite
-from ..functions.joins import fits, lookup_join
+from ..functions.joins import lookup_join
 from ..functions.kernels import gaussian_pass
 from ..functions.rng import hash_block, hash_key
 from ..functions.quantile import exact_quantiles
@@ -19,7 +21,7 @@ from .survey import along_lines
 SAFETY_CUTOFF, SAFETY_POWER, DEXTERITY_POWER, SAFETY_GATE = 0.1, 0.8, 1.2, 0.01
 DEXTERITY_WEIGHTS = {"g_man": 0.4, "g_iso": 0.15, "g_sigma": 0.15, "g_red": 0.15, "g_rot": 0.15}
 
-PROBE_BUCKETS = 64
+PROBE_CHUNK = 1_000
 
 
 def _selectable(cells: DataFrame, require_reachable: bool) -> DataFrame:
@@ -77,19 +79,17 @@ def select_probes(cells: DataFrame, baseline: str, low_margin_k: int = 5, **opti
 
 
 def nearest_cells(cells: DataFrame, grids: DataFrame, probes: DataFrame, max_distance: float = 0.05,
-                  few_probes: int = 10_000) -> DataFrame:
+                  chunk: int = PROBE_CHUNK) -> DataFrame:
     """Nearest cell of every variant to every probe; indicators are attached when it is close enough.
 
-    Maps are dense on a regular grid, so the nearest cell follows from arithmetic; the lower cell wins a tie. Up to
-    ``few_probes`` probes travel with each grid as one array; more are spread over buckets that every grid visits.
+    Maps are dense on a regular grid, so the nearest cell follows from arithmetic; the lower cell wins a tie. The
+    probes are put into chunks of about ``chunk``, every grid visits every chunk by an equi-join on its number.
     """
     place = F.struct("probe", "x", "y", "z")
-    if fits(probes, few_probes):
-        targets = grids.select("*", F.explode(probes.agg(F.collect_list(place)).scalar()).alias("_p"))
-    else:
-        spread = probes.select(F.pmod(F.xxhash64("probe", "x", "y", "z"), F.lit(PROBE_BUCKETS)).alias("_b"), place.alias("_p"))
-        visits = grids.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(PROBE_BUCKETS - 1)).cast("array<bigint>")))
-        targets = visits.join(spread, "_b").drop("_b")
+    chunks = max(1, -(-probes.count() // chunk))
+    spread = probes.select(F.pmod(F.xxhash64("probe", "x", "y", "z"), F.lit(chunks)).alias("_b"), place.alias("_p"))
+    visits = grids.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    targets = visits.join(spread, "_b").drop("_b")
     parts, d2 = [], F.lit(0.0)
     for a in AXES:
         cell = F.ceil((F.col(f"_p.{a}") - F.col(f"bmin_{a}")) / F.col(f"res_{a}")) - 1
@@ -235,10 +235,25 @@ def downsample(points: DataFrame, rate: int, seed: int = 0) -> DataFrame:
     return points.filter(hash_block(hash_key(seed, F.col("variant_id"), F.col("cell_idx")), 8) % rate == 0)
 
 
+class Audit(NamedTuple):
+    overall: DataFrame
+    probes: DataFrame
+    documents: DataFrame
+
+
 def family_audit(cells: DataFrame, grids: DataFrame, baseline: str, pattern: str = ".*", low_margin_k: int = 5,
-                 max_distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """Global summary and probe comparison of every variant whose id matches, probes taken from the baseline."""
+                 max_distance: float = 0.05) -> Audit:
+    """Global summary, probe comparison and summary document of every variant whose id matches.
+
+    Probes are taken from the baseline. A document holds what the audit was run with and the variant's coverage, cells
+    and box.
+    """
     chosen = cells.filter(F.col("variant_id").rlike(pattern))
     overall = box_of_centres(chosen).join(reachable_summary(chosen).drop("n_cells"), "variant_id")
     probes = materialize(select_probes(cells, baseline, low_margin_k), "probes")
-    return overall, nearest_cells(chosen, grids.filter(F.col("variant_id").rlike(pattern)), probes, max_distance)
+    documents = overall.select(
+        "variant_id", F.lit(baseline).alias("baseline"), F.lit(probes.count()).cast("bigint").alias("probe_count"),
+        F.lit(max_distance).alias("max_match_dist_m"), "coverage", "n_cells", "n_reachable",
+        F.array(*[F.col(f"span_{a}") for a in AXES]).alias("span"), "aabb_volume")
+    matched = nearest_cells(chosen, grids.filter(F.col("variant_id").rlike(pattern)), probes, max_distance)
+    return Audit(overall, matched, documents)

@@ -56,7 +56,10 @@ def chains(specs: DataFrame) -> DataFrame:
 
 def sample_blocks(chain_rows: DataFrame, n_samples: int, seed: int, block: int = BLOCK_SAMPLES,
                   first: int = 1) -> DataFrame:
-    """Blocks of uniform joint vectors for samples ``first`` .. ``first + n_samples - 1`` of every chain."""
+    """Blocks of uniform joint vectors for samples ``first`` .. ``first + n_samples - 1`` of every chain.
+
+    A draw depends on (seed, variant, sample, joint) alone, so rounds of samples add up to one pass over all of them.
+    """
     parts = int(chain_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = first + n_samples - 1
     blocks = (chain_rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // block))))
@@ -107,8 +110,8 @@ def _quaternions(r: np.ndarray) -> np.ndarray:
     return q / np.linalg.norm(q, axis=1, keepdims=True)
 
 
-def chain_poses(steps: list[dict], n_links: int, end_link: int, q: np.ndarray):
-    """Link positions (n, links, 3), end rotation (n, 3, 3) and Jacobian (n, 6, moving) of joint vectors ``q``."""
+def chain_walk(steps: list[dict], n_links: int, end_link: int, q: np.ndarray):
+    """Link positions (n, links, 3), end rotation (n, 3, 3) and the moving axes (number, kind, direction, place)."""
     n = len(q)
     rotation = {0: np.broadcast_to(np.eye(3), (n, 3, 3))}
     position = np.zeros((n, n_links, 3))
@@ -125,31 +128,43 @@ def chain_poses(steps: list[dict], n_links: int, end_link: int, q: np.ndarray):
         elif number >= 0 and step["kind"] == 1:
             turned = turned @ _about(axis, q[:, number])
         position[:, child], rotation[child] = place, turned
-    jacobian = np.zeros((n, 6, q.shape[1]))
+    return position, rotation[end_link], axes
+
+
+def jacobian_of(axes: list, at_end: np.ndarray, moving: int, rows: np.ndarray) -> np.ndarray:
+    """Jacobian (rows, 6, moving) of the samples at ``rows``."""
+    jacobian = np.zeros((len(rows), 6, moving))
     for number, kind, direction, place in axes:
         if kind == 1:
-            jacobian[:, :3, number] = np.cross(direction, position[:, end_link] - place)
-            jacobian[:, 3:, number] = direction
+            jacobian[:, :3, number] = np.cross(direction[rows], at_end[rows] - place[rows])
+            jacobian[:, 3:, number] = direction[rows]
         else:
-            jacobian[:, :3, number] = direction
-    return position, rotation[end_link], jacobian
+            jacobian[:, :3, number] = direction[rows]
+    return jacobian
+
 
+def chain_poses(steps: list[dict], n_links: int, end_link: int, q: np.ndarray):
+    """Link positions (n, links, 3), end rotation (n, 3, 3) and Jacobian (n, 6, moving) of joint vectors ``q``."""
+    position, end, axes = chain_walk(steps, n_links, end_link, q)
+    return position, end, jacobian_of(axes, position[:, end_link], q.shape[1], np.arange(len(q)))
+
+
+def singular_values(jacobian: np.ndarray) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """Singular values per matrix without its zero columns; the linear rows only when fewer than six columns remain.
 
-def singular_values(jacobian: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-    """Singular values per matrix without its zero columns; the linear rows only when fewer than six columns remain."""
+    Matrices with the same columns are decomposed together, and all values are laid out in one buffer.
+    """
     used = np.linalg.norm(jacobian, axis=1) > ZERO_COLUMN
-    values = [None] * len(jacobian)
     n_cols = used.sum(axis=1).astype("int32")
     n_rows = np.where(n_cols < 6, 3, 6).astype("int32")
+    offsets = np.concatenate([[0], np.cumsum(np.minimum(n_rows, n_cols))]).astype("int32")
+    flat = np.empty(offsets[-1])
     for mask in np.unique(used, axis=0):
-        at = np.flatnonzero((used == mask).all(axis=1))
-        if not mask.any():
-            found = np.empty((len(at), 0))
-        else:
+        if mask.any():
+            at = np.flatnonzero((used == mask).all(axis=1))
             found = np.linalg.svd(jacobian[at][:, :3 if mask.sum() < 6 else 6][:, :, mask], compute_uv=False)
-        for i, row in zip(at, found):
-            values[i] = row
-    return values, n_rows, n_cols
+            flat[offsets[at][:, None] + np.arange(found.shape[1])] = found
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), n_rows, n_cols
 
 
 def smallest_gap(position: np.ndarray, pairs: list[dict]) -> np.ndarray:
@@ -177,34 +192,88 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
+def _nested(column: pa.Array, row: int) -> np.ndarray:
+    """A list of equally long lists as a matrix, taken from the column's buffer."""
+    lists = column.slice(row, 1).flatten()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _inside(at_end: np.ndarray, grid: dict) -> np.ndarray:
+    """Whether positions lie in a cell of a grid; written like the cell test of ``grid.assign_cells``."""
+    ok = np.isfinite(at_end).all(axis=1)
+    for k, a in enumerate("xyz"):
+        cell = np.floor((at_end[:, k] - grid[f"bmin_{a}"]) / grid[f"res_{a}"])
+        ok &= (cell >= 0) & (cell < grid[f"n{a}"])
+    return ok
+
+
+def _take_lists(lists: pa.ListArray, count: int, at: np.ndarray) -> pa.Array:
+    """Lists at the given places of ``count`` rows, null elsewhere."""
+    index = np.full(count, -1)
+    index[at] = np.arange(len(at))
+    return lists.take(pa.array(index, mask=index < 0))
+
+
+def positions(blocks: DataFrame) -> DataFrame:
+    """End positions only, for scouting: no Jacobian, singular values, directions or clearance."""
+    def run(batches):
+        for batch in batches:
+            for k, row in enumerate(batch.drop_columns(["qs", "sample_ids"]).to_pylist()):
+                q = _nested(batch["qs"], k)
+                position, _, _ = chain_walk(row["steps"], row["n_links"], row["end_link"], q)
+                ids = batch["sample_ids"].slice(k, 1).flatten()
+                at_end = position[:, row["end_link"]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["variant_id"]] * len(ids)), ids, *[pa.array(at_end[:, i]) for i in range(3)]],
+                    names=["variant_id", "sample_id", "x", "y", "z"])
+    needed = blocks.select("variant_id", "sample_ids", "qs", "steps", "n_links", "end_link")
+    return needed.mapInArrow(run, "variant_id string, sample_id bigint, x double, y double, z double")
+
+
 def pose_samples(blocks: DataFrame, with_jacobian: bool = False) -> DataFrame:
     """One row per sample: end pose, direction bin, link positions and singular values.
 
-    Blocks that carry the segment ``pairs`` of their chain also get the clearance of every sample.
+    Blocks that carry the segment ``pairs`` of their chain also get the clearance of every sample. Blocks that carry a
+    ``grid`` yield the samples inside it only, and the singular values and the direction of those with a positive
+    clearance only (null for the others): every stage works on what the one before it left.
     """
-    with_pairs = "pairs" in blocks.columns
+    with_pairs, with_grid = "pairs" in blocks.columns, "grid" in blocks.columns
     sphere = np.array(sphere_points(SPHERE_BINS)).T
     columns = [c.split(" ")[0] for c in POSE_SCHEMA.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.asarray(row["sample_ids"], dtype="int64")
-                q = np.asarray(row["qs"], dtype=float).reshape(len(ids), -1)
-                position, end, jacobian = chain_poses(row["steps"], row["n_links"], row["end_link"], q)
-                quat = _quaternions(end)
-                values, n_rows, n_cols = singular_values(jacobian)
+            for k, row in enumerate(batch.drop_columns(["qs", "sample_ids"]).to_pylist()):
+                ids = batch["sample_ids"].slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+                q = _nested(batch["qs"], k)
+                position, end, axes = chain_walk(row["steps"], row["n_links"], row["end_link"], q)
+                if with_grid:
+                    inside = np.flatnonzero(_inside(position[:, row["end_link"]], row["grid"]))
+                    if not len(inside):
+                        continue
+                    ids, q, position, end = ids[inside], q[inside], position[inside], end[inside]
+                    axes = [(*axis[:2], axis[2][inside], axis[3][inside]) for axis in axes]
                 at_end = position[:, row["end_link"]]
-                flat = jacobian.reshape(len(ids), -1) if with_jacobian else np.empty((len(ids), 0))
+                gaps = smallest_gap(position, row["pairs"] if with_pairs else [])
+                scored = np.flatnonzero(~(gaps <= 0)) if with_grid else np.arange(len(ids))
+                jacobian = jacobian_of(axes, at_end, q.shape[1], scored)
+                values, n_rows, n_cols = singular_values(jacobian)
+                known = scored[np.isfinite(end[scored]).all(axis=(1, 2))]
+                bins = np.full(len(ids), -1)
+                bins[known] = (end[known][:, :, 2] @ sphere).argmax(axis=1)
+                quat = _quaternions(end)
+                flat = jacobian.reshape(len(scored), -1) if with_jacobian else np.empty((len(scored), 0))
+                spread = lambda part: _take_lists(pa.array(part), len(ids), scored)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["variant_id"]] * len(ids)), pa.array(ids), _lists(q),
                     *[pa.array(at_end[:, i]) for i in range(3)], *[pa.array(quat[:, i]) for i in range(4)],
-                    pa.array((end[:, :, 2] @ sphere).argmax(axis=1).astype("int32")),
+                    pa.array(bins.astype("int32"), mask=bins < 0),
                     *[_lists(np.ascontiguousarray(position[:, :, i])) for i in range(3)],
-                    pa.array([v.tolist() for v in values], type=pa.list_(pa.float64())),
-                    pa.array(n_rows), pa.array(n_cols), _lists(flat),
-                    pa.array(smallest_gap(position, row["pairs"] if with_pairs else []))], names=columns)
-    needed = blocks.select("variant_id", "sample_ids", "qs", "steps", "n_links", "end_link", *(["pairs"] if with_pairs else []))
+                    _take_lists(values, len(ids), scored), spread(n_rows), spread(n_cols),
+                    _take_lists(_lists(flat), len(ids), scored),
+                    pa.array(gaps)], names=columns)
+    carried = [c for c in ("pairs", "grid") if c in blocks.columns]
+    needed = blocks.select("variant_id", "sample_ids", "qs", "steps", "n_links", "end_link", *carried)
     return needed.mapInArrow(run, POSE_SCHEMA)
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.joins import lookup_join
-from ..functions.rng import hash_block, hash_key, uniform
+from ..functions.rng import block_digits, hash_block, hash_key, uniform
 from ..functions.scan import BLOCK_ROWS, ordered_row_numbers, row_numbers, running
-
-CHOICE_BUCKETS = 1024
+from ..functions.store import materialize
 
 
 def sample_joints(rows: DataFrame, limits: str, seed: int) -> DataFrame:
@@ -26,7 +25,8 @@ def stratified_split(variants: DataFrame, stratum: str, test_ratio: float = 0.1,
                      seed: int = 42) -> DataFrame:
     """train / val / test per stratum by hash order; counts are rounded half to even."""
     keyed = variants.select(stratum, "variant_id").withColumn("_h", hash_key(seed, F.col("variant_id")))
-    ranked = row_numbers(keyed, [stratum], ["_h", "variant_id"], "_rank", block=hash_block(F.col("_h")))
+    block = hash_block(F.col("_h"), block_digits(variants.count()))
+    ranked = row_numbers(keyed, [stratum], ["_h", "variant_id"], "_rank", block=block)
     sizes = keyed.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.bround(F.col("_n") * test_ratio)
     n_val = F.bround(F.col("_n") * val_ratio)
@@ -46,7 +46,8 @@ def pools(cells: DataFrame, seed: int, by: tuple[str, ...] = ("variant_id",), th
     """0-based position of every cell in the shuffled ws / non-ws pool of its group."""
     keyed = (cells.select("variant_id", "cell_idx", (F.col("g_ws") > threshold).alias("is_ws"))
              .withColumn("_h", hash_key(seed, F.col("variant_id"), F.col("cell_idx"))))
-    ranked = row_numbers(keyed, [*by, "is_ws"], ["_h", "variant_id", "cell_idx"], "_r", block=hash_block(F.col("_h")))
+    block = hash_block(F.col("_h"), block_digits(cells.count()))
+    ranked = row_numbers(keyed, [*by, "is_ws"], ["_h", "variant_id", "cell_idx"], "_r", block=block)
     return ranked.withColumn("position", (F.col("_r") - 1).cast("bigint")).drop("_r", "_h")
 
 
@@ -56,12 +57,14 @@ def pool_sizes(cells: DataFrame, by: tuple[str, ...] = ("variant_id",), threshol
 
 
 def _from_pool(draws: DataFrame, pool: DataFrame, sizes: DataFrame, by: list[str], ratio: float) -> DataFrame:
-    """Turn draws (draw_id, u) into cells: choose a pool, count earlier picks from it, cycle through it."""
+    """Turn draws (draw_id, u) into cells: choose a pool, count earlier picks from it, cycle through it.
+
+    ``sizes`` is stored.
+    """
     choice = (F.when((F.col("u") < ratio) & (F.col("n_ws") > 0), F.lit(True))
               .when(F.col("n_other") > 0, F.lit(False)).otherwise(F.lit(True)))
-    chosen = lookup_join(draws, sizes, by) if by else draws.select(
-        "*", *[sizes.select(c).scalar().alias(c) for c in ("n_ws", "n_other")])
-    chosen = chosen.withColumn("is_ws", choice)
+    chosen = lookup_join(draws, sizes, by, stored=True) if by else draws.crossJoin(F.broadcast(sizes))  # one row
+    chosen = materialize(chosen.withColumn("is_ws", choice), "chosen")
     counted = row_numbers(chosen, [*by, "is_ws"], ["draw_id"], "_k",
                           block=F.floor(F.col("draw_id") / F.lit(BLOCK_ROWS)))
     size = F.when(F.col("is_ws"), F.col("n_ws")).otherwise(F.col("n_other"))
@@ -73,7 +76,7 @@ def balanced_draws(cells: DataFrame, n_draws: int, ws_ratio: float, seed: int) -
     """``n_draws`` cells over all variants, ws with probability ``ws_ratio``, each pool cycled in shuffled order."""
     draws = cells.sparkSession.range(n_draws).select(
         F.col("id").alias("draw_id"), uniform(seed, "draw", F.col("id")).alias("u"))
-    return _from_pool(draws, pools(cells, seed, by=()), pool_sizes(cells, by=()), [], ws_ratio)
+    return _from_pool(draws, pools(cells, seed, by=()), materialize(pool_sizes(cells, by=()), "pool-sizes"), [], ws_ratio)
 
 
 def variant_intervals(weights: DataFrame) -> DataFrame:
@@ -86,16 +89,19 @@ def variant_intervals(weights: DataFrame) -> DataFrame:
 
 
 def choose_variants(batches: DataFrame, intervals: DataFrame, seed: int) -> DataFrame:
-    """Weighted choice per batch as a range join: both sides meet in equal-width buckets of the weight axis."""
-    total = F.col("_total")
-    whole = intervals.agg(F.max("end")).scalar()
-    spans = intervals.withColumn("_total", whole).withColumn("_bucket", F.explode(F.sequence(
-        F.floor(F.col("start") / total * CHOICE_BUCKETS),
-        F.least(F.lit(CHOICE_BUCKETS - 1), F.floor(F.col("end") / total * CHOICE_BUCKETS)))))
-    points = (batches.withColumn("_total", whole)
-              .withColumn("_at", uniform(seed, "variant", F.col("batch_id")) * total)
-              .withColumn("_bucket", F.least(F.lit(CHOICE_BUCKETS - 1), F.floor(F.col("_at") / total * CHOICE_BUCKETS))))
-    met = lookup_join(points.drop("_total"), spans.drop("_total"), ["_bucket"])
+    """Weighted choice per batch as a range join: both sides meet in equal-width buckets of the weight axis.
+
+    ``intervals`` is stored. There are as many buckets as variants, so an interval covers two on average, and the few
+    batches of a bucket meet the few intervals that reach into it.
+    """
+    whole, buckets = intervals.agg(F.max("end"), F.count("*")).first()
+    if not buckets:
+        return batches.select("batch_id", F.lit(None).cast("string").alias("variant_id")).limit(0)
+    bucket = lambda at: F.least(F.lit(buckets - 1), F.floor(at / F.lit(whole) * buckets))
+    spans = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
+    points = (batches.withColumn("_at", uniform(seed, "variant", F.col("batch_id")) * whole)
+              .withColumn("_bucket", bucket(F.col("_at"))))
+    met = points.join(spans, "_bucket")
     return met.filter((F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("end"))).select("batch_id", "variant_id")
 
 
@@ -104,10 +110,10 @@ def grouped_batches(cells: DataFrame, n_batches: int, batch_size: int, ws_ratio:
 
     The position in a pool continues across the batches of a variant.
     """
-    sizes = pool_sizes(cells)
+    sizes = materialize(pool_sizes(cells), "pool-sizes")
     weights = sizes.select("variant_id", (F.col("n_ws") + F.col("n_other")).alias("weight"))
     batches = cells.sparkSession.range(n_batches).select(F.col("id").alias("batch_id"))
-    chosen = choose_variants(batches, variant_intervals(weights), seed)
+    chosen = choose_variants(batches, materialize(variant_intervals(weights), "intervals"), seed)
     draws = (chosen.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))))
              .withColumn("draw_id", F.col("batch_id") * batch_size + F.col("slot"))
              .withColumn("u", uniform(seed, "slot", F.col("draw_id"))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import clip, finite
 from ..functions.rng import normal, uniform_between
-from ..schemas import ACTUATED_TYPES
+from ..schemas import ACTUATED_TYPES, NOTES
 
 # Radius bounds of the inertia proxy and of the cascade.
 PROXY_MIN, PROXY_MAX, PROXY_DEFAULT = 0.003, 0.019, 0.019
@@ -221,7 +221,8 @@ def assemble_specs(descriptions: DataFrame) -> DataFrame:
         F.struct(F.size("link_list").alias("num_nodes"), edges.alias("edges")).alias("graph"),
         F.struct("variant_id", none.alias("parent_variant_id"), F.col("_moving").alias("actuated_joint_names"),
                  fill(1.0).alias("length_scale"), fill(1.0).alias("joint_limit_scale"),
-                 fill(0.0).alias("joint_limit_shift"), none.alias("r_vector")).alias("morphology"))
+                 fill(0.0).alias("joint_limit_shift"), none.alias("r_vector"),
+                 F.lit(None).cast(NOTES).alias("notes")).alias("morphology"))
 
 
 def actuated_order(specs: DataFrame) -> DataFrame:
@@ -253,20 +254,25 @@ def expand_variants(specs: DataFrame, n_variants: int, seed: int, length_range:
                     min_width: float = 1e-3, materialize_chain: bool = True, perturb_fixed: bool = False) -> DataFrame:
     """``n_variants`` perturbed specs per base spec; the base id becomes the parent of each.
 
-    Per moving joint a length scale, a limit scale and a limit shift are drawn from (seed, variant, joint) alone.
-    ``perturb_fixed`` is accepted for fixed joints, which have no drawn scale and so keep their origin.
+    Per moving joint, or per name of an explicit list, a length scale, a limit scale and a limit shift are drawn from
+    (seed, variant, name) alone; a listed name that the chain lacks keeps its drawn values in the record. With
+    ``perturb_fixed`` the origin of a listed fixed joint is scaled, too.
     """
     base = F.col("meta.variant_id")
     parts = int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = actuated_order(specs).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n_variants))))
     df = df.repartition(parts, base, F.col("_k"))
-    df = df.withColumn("_id", F.concat(base, F.lit("_v"), F.lpad(F.col("_k").cast("string"), 4, "0")))
+    df = df.withColumn("_id", F.concat(base, F.lit("_v"), F.format_string("%04d", F.col("_k"))))
     width = lambda j: F.coalesce(j["limit_upper"] - j["limit_lower"], F.lit(0.0))
-    key = lambda j, what: (seed, F.col("_id"), j["name"], what)
-    drawn = F.transform("ordered", lambda j: F.struct(
-        j["name"].alias("name"), uniform_between(*length_range, *key(j, "length")).alias("length"),
-        uniform_between(*limit_range, *key(j, "limit")).alias("limit"),
-        F.when((width(j) > 0) & F.lit(shift_fraction > 0), normal(*key(j, "shift")) * (shift_fraction * width(j)))
+    key = lambda name, what: (seed, F.col("_id"), name, what)
+    joint_of = lambda name: first_of(F.filter("chain.joints", lambda j: j["name"] == name))
+    given = F.coalesce(F.size("morphology.actuated_joint_names"), F.lit(0)) > 0
+    names = F.when(given, F.col("morphology.actuated_joint_names")).otherwise(F.transform("ordered", lambda j: j["name"]))
+    sized = F.transform(names, lambda n: F.struct(n.alias("name"), width(joint_of(n)).alias("width")))
+    drawn = F.transform(sized, lambda d: F.struct(
+        d["name"].alias("name"), uniform_between(*length_range, *key(d["name"], "length")).alias("length"),
+        uniform_between(*limit_range, *key(d["name"], "limit")).alias("limit"),
+        F.when((d["width"] > 0) & F.lit(shift_fraction > 0), normal(*key(d["name"], "shift")) * (shift_fraction * d["width"]))
         .otherwise(F.lit(0.0)).alias("shift")))
     df = df.withColumn("_drawn", drawn)
     picked = lambda field: F.transform("_drawn", lambda d: d[field])
@@ -274,7 +280,11 @@ def expand_variants(specs: DataFrame, n_variants: int, seed: int, length_range:
         F.col("_id").alias("variant_id"), base.alias("parent_variant_id"),
         F.transform("_drawn", lambda d: d["name"]).alias("actuated_joint_names"),
         picked("length").alias("length_scale"), picked("limit").alias("joint_limit_scale"),
-        picked("shift").alias("joint_limit_shift"), F.lit(None).cast("string").alias("r_vector"))
+        picked("shift").alias("joint_limit_shift"), F.lit(None).cast("string").alias("r_vector"),
+        F.struct(F.lit("perturbation").alias("generated_from"), F.lit(materialize_chain).alias("materialize_chain"),
+                 *[F.array(*[F.lit(float(v)) for v in values]).alias(name) for name, values in (
+                     ("length_scale_range", length_range), ("joint_limit_scale_range", limit_range))],
+                 F.lit(float(shift_fraction)).alias("joint_limit_shift_fraction")).alias("notes"))
     meta = F.col("meta").withField("parent_variant_id", base).withField("variant_id", F.col("_id"))
     if not materialize_chain:
         return df.select(meta.alias("meta"), "chain", "graph", morphology.alias("morphology"))
@@ -283,6 +293,7 @@ def expand_variants(specs: DataFrame, n_variants: int, seed: int, length_range:
                      F.lit(0.0).alias("shift"))
     draw_of = lambda name: F.coalesce(first_of(F.filter("_drawn", lambda d: d["name"] == name)), still)
     moving = lambda j: F.coalesce(j["is_actuated"], F.lit(False))
+    scaled = lambda j: moving(j) | (F.lit(perturb_fixed) & F.coalesce(j["type"] == "fixed", F.lit(False)))
     paired = F.transform("chain.joints", lambda j: F.struct(j.alias("j"), draw_of(j["name"]).alias("d")))
     centred = F.transform(paired, lambda s: F.struct(
         s["j"].alias("j"), s["d"].alias("d"),
@@ -294,7 +305,7 @@ def expand_variants(specs: DataFrame, n_variants: int, seed: int, length_range:
         s["j"].alias("j"), s["d"].alias("d"), _narrowed(s["w"], min_width).alias("n"),
         (moving(s["j"]) & (s["j"]["limit_upper"] > s["j"]["limit_lower"])).alias("use")))
     joints = F.transform(limited, lambda s: s["j"]
-                         .withField("origin_xyz", F.when(moving(s["j"]), F.transform(
+                         .withField("origin_xyz", F.when(scaled(s["j"]), F.transform(
                              s["j"]["origin_xyz"], lambda v: v * s["d"]["length"])).otherwise(s["j"]["origin_xyz"]))
                          .withField("limit_lower", F.when(s["use"], s["n"]["lo"]).otherwise(s["j"]["limit_lower"]))
                          .withField("limit_upper", F.when(s["use"], s["n"]["hi"]).otherwise(s["j"]["limit_upper"])))

@@ -107,7 +107,7 @@ def neighbour_mean(nodes: DataFrame, edges: DataFrame, dims: list[str]) -> DataF
     ``nodes``: graph_id, node_id, dims. ``edges``: graph_id, src, dst.
     """
     sources = nodes.select("graph_id", F.col("node_id").alias("src"), *dims)
-    means = (lookup_join(edges.select("graph_id", "src", "dst"), sources, ["graph_id", "src"])
+    means = (edges.select("graph_id", "src", "dst").join(sources, ["graph_id", "src"])
              .groupBy("graph_id", F.col("dst").alias("node_id")).agg(*[F.avg(d).alias(d) for d in dims]))
     return nodes.select("graph_id", "node_id").join(means, ["graph_id", "node_id"], "left").fillna(0.0, dims)
 

@@ -105,18 +105,27 @@ def boundary_distance(cells: DataFrame) -> DataFrame:
 
 
 def build_map(samples: DataFrame, resolution: float | tuple, margin: float = 1.1, grids: DataFrame | None = None,
-              score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+              score: Callable[[DataFrame], DataFrame] | None = None, families: DataFrame | None = None) -> DataFrame:
     """Samples to the dense indicator map, one row per cell of every grid.
 
     ``samples``: variant_id, x, y, z, g_self, g_lim, g_man, g_iso, g_sigma, sphere_bin; ``score`` adds indicators that
-    are not there yet, after points outside the grid are gone. The grids and the touched cells are written once, as
-    two later steps read each of them.
+    are not there yet, after points outside the grid are gone. With the columns sample_id and q the map has ``q_star``,
+    the joint vector of each cell's representative (null where nothing passed); ``families`` (variant_id, family) adds
+    the family. The grids, the touched cells and the dense map are written once, as later steps read each of them.
     """
     if grids is None:
         grids = materialize(build_grid(scout_bounds(samples, margin), resolution), "grids")
     placed = assign_cells(samples, grids)
-    touched = materialize(survey_cells(score(placed) if score else placed), "touched")
+    placed = score(placed) if score else placed
+    touched = survey_cells(placed)
+    has_q = {"sample_id", "q"} <= set(samples.columns)
+    if has_q:
+        best = representatives(placed, ["q"]).select(*CELL, F.col("q").alias("q_star"))
+        touched = touched.join(best, CELL, "left")
+    touched = materialize(touched, "touched")
     dense = grid_cells(grids).join(log_density(touched, "passes", "_red"), CELL, "left")
+    if families is not None:
+        dense = lookup_join(dense, families.select("variant_id", "family"), ["variant_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     dense = dense.select(
         "variant_id", "cell_idx", "ix", "iy", "iz", "cx", "cy", "cz", "res_x", "res_y", "res_z",
@@ -128,6 +137,8 @@ def build_map(samples: DataFrame, resolution: float | tuple, margin: float = 1.1
         rotation_coverage(F.col("rot_mask")).alias("g_rot"),
         *[zero(f"max_{c}").alias(c) for c in ("g_man", "g_iso", "g_sigma")],
         F.coalesce(F.col("attempts"), F.lit(0)).alias("attempts"),
-        F.coalesce(F.col("passes"), F.lit(0)).alias("sample_counts"))
+        F.coalesce(F.col("passes"), F.lit(0)).alias("sample_counts"),
+        *(["q_star"] if has_q else []), *(["family"] if families is not None else []))
+    dense = materialize(dense, "dense-map")
     edge = boundary_distance(dense.withColumn("valid", F.col("g_ws") > 0))
     return dense.join(edge.drop("distance"), ["variant_id", "ix", "iy", "iz"])

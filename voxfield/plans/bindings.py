@@ -89,7 +89,9 @@ def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finished map of the line-item samples."""
     def build():
-        return build_map(raw_samples(spark, sf_dir), 1.0, score=with_indicators).withColumn("family", F.substring("variant_id", 1, 1))
+        raw = raw_samples(spark, sf_dir)
+        families = raw.select("variant_id", "family").distinct()
+        return build_map(raw, 1.0, score=with_indicators, families=families)
     return stored_once(spark, sf_dir, "cells", build)
 
 

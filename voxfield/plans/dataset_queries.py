@@ -14,7 +14,7 @@ from .survey_queries import grids
 
 def draw(key: str) -> str:
     """SQL of the counter-based uniform for a text key."""
-    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 # Statistics.
@@ -116,15 +116,13 @@ def run_summary(spark, sf_dir):
 
 
 @query("e13_coverage_summary", Q.with_(SUPPLIERS + """,
-drawn AS (SELECT s_name AS variant_id, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-  WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_tax = 0 GROUP BY s_name),
+drawn AS (SELECT s_name AS variant_id, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_name),
 parts AS (SELECT CASE WHEN grouping(family) = 1 THEN '(all)' ELSE family::VARCHAR END AS family, count(*) AS total_variants,
   count(n) AS seen_variants, coalesce(sum(n), 0)::BIGINT AS samples FROM sup LEFT JOIN drawn USING (variant_id) GROUP BY ROLLUP (family))""", f"""
 SELECT family, total_variants, seen_variants, samples, {Q.r6('seen_variants / total_variants', 'coverage')},
   {Q.r6('samples / greatest(1, (SELECT sum(n) FROM drawn))', 'sample_share')} FROM parts"""))
 def coverage_summary(spark, sf_dir):
-    lines = B.table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50) & (F.col("l_tax") == 0))
+    lines = B.table(spark, sf_dir, "lineitem")
     suppliers = B.table(spark, sf_dir, "supplier")
     seen = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(F.col("s_name").alias("variant_id"))
     variants = supplier_variants(spark, sf_dir).withColumn("family", F.col("family").cast("string"))
@@ -146,8 +144,7 @@ def tree(spark, sf_dir):
                           F.lit(1.0).alias("length"), F.lit(0.0).alias("radius"))
     nodes = nodes.unionByName(nations.select("graph_id", F.concat(F.lit("n"), F.col("n_nationkey")).alias("node_id"),
                                              F.lit(1.0).alias("length"), (F.col("n_nationkey") / 25).alias("radius")))
-    leaves = supplier.join(F.broadcast(nations) if nations.count() <= 10_000 else nations,
-                           supplier.s_nationkey == nations.n_nationkey)
+    leaves = supplier.join(nations, supplier.s_nationkey == nations.n_nationkey)
     nodes = nodes.unionByName(leaves.select("graph_id", F.concat(F.lit("s"), F.col("s_suppkey")).alias("node_id"),
                                             (F.abs("s_acctbal") / 1000).alias("length"), (F.col("s_suppkey") % 7 / 7).alias("radius")))
     edges = nations.select("graph_id", F.concat(F.lit("r"), F.col("graph_id")).alias("src"),

@@ -80,9 +80,15 @@ def nearest_cells(spark, sf_dir):
 
 @query("k5_family_audit_probes", Q.with_(TO_PROBES + f""",
 base AS (SELECT probe, cx AS x, cy AS y, cz AS z FROM (SELECT * FROM probes UNION ALL SELECT * FROM low) WHERE variant_id = '{BASELINE}'),"""
-                                         + NEAREST.format(probes="base"), nearest_sql(0.05)))
+                                         + NEAREST.format(probes="base"),
+                                         f"SELECT * FROM ({nearest_sql(0.05)}) WHERE variant_id NOT LIKE 'R%'"))
 def family_audit_probes(spark, sf_dir):
-    return rounded_matches(K.family_audit(B.cells(spark, sf_dir), grids(spark, sf_dir), BASELINE, "^[ANR]")[1])
+    return rounded_matches(audit(spark, sf_dir).probes)
+
+
+def audit(spark, sf_dir):
+    """Without the variants that begin with R."""
+    return K.family_audit(B.cells(spark, sf_dir), grids(spark, sf_dir), BASELINE, "^[AN]")
 
 
 def _audit_sql() -> str:
@@ -91,12 +97,24 @@ def _audit_sql() -> str:
                       for k in AUDIT_LABELS for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)))
     body = BOX_SQL.replace("FROM filled", f""", count(*) FILTER (g_ws > 0.5) AS n_reachable,
       {Q.r6('count(*) FILTER (g_ws > 0.5) / count(*)', 'coverage')}, {means}, {marks} FROM cells""")
-    return Q.with_(Q.TO_CELLS, body)
+    return Q.with_(Q.TO_CELLS, f"SELECT * FROM ({body}) WHERE variant_id NOT LIKE 'R%'")
+
+
+@query("k5_family_audit_summary", Q.with_(TO_PROBES + f""",
+named AS (SELECT count(*) AS n FROM (SELECT * FROM probes UNION ALL SELECT * FROM low) WHERE variant_id = '{BASELINE}'),
+boxes AS ({BOX_SQL.replace("FROM filled", ", count(*) FILTER (g_ws > 0.5) AS n_reachable FROM cells")})""", f"""
+SELECT variant_id, '{BASELINE}' AS baseline, n AS probe_count, 0.05::DOUBLE AS max_match_dist_m,
+  {Q.r6('n_reachable / n_cells', 'coverage')}, n_cells, n_reachable, span_x, span_y, span_z, aabb_volume
+FROM boxes, named WHERE variant_id NOT LIKE 'R%'"""))
+def family_audit_summary(spark, sf_dir):
+    out = audit(spark, sf_dir).documents
+    spans = {f"span_{a}": F.col("span")[i] for i, a in enumerate("xyz")}
+    return rounded(out.withColumns(spans).drop("span"), "coverage", *spans, "aabb_volume")
 
 
 @query("k5_family_audit_global", _audit_sql())
 def family_audit_global(spark, sf_dir):
-    out = K.family_audit(B.cells(spark, sf_dir), grids(spark, sf_dir), BASELINE, "^[ANR]")[0]
+    out = audit(spark, sf_dir).overall
     return rounded(out, *[c for c in out.columns if c not in ("variant_id", "n_cells", "n_reachable")])
 
 

@@ -175,7 +175,10 @@ def file_stream(spark, sf_dir, name: str) -> DataFrame:
 @query("l1_survey_stream", Q.with_(Q.TO_TOUCHED, f"""
 SELECT variant_id, cell_idx, attempts, passes, {', '.join(Q.r6(c) for c in ('avg_g_self', 'avg_g_lim', 'max_g_man', 'max_g_iso', 'max_g_sigma'))}, n_bins FROM touched"""))
 def survey_stream(spark, sf_dir):
-    samples = B.line_samples(file_stream(spark, sf_dir, "lineitem"))
+    """The line items arrive in three files, one in a micro-batch."""
+    lines, source = B.table(spark, sf_dir, "lineitem"), new_path(spark, "line-stream")
+    lines.repartition(3).write.parquet(source)
+    samples = B.line_samples(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source))
     out = L.survey_stream(samples, grids(spark, sf_dir), B.with_indicators, new_path(spark, "survey-stream"), new_path(spark, "survey-stream-offsets"))
     out = out.withColumn("n_bins", F.coalesce(F.bit_count("rot_mask"), F.lit(0)).cast("bigint")).drop("rot_mask")
     return rounded(out, "avg_g_self", "avg_g_lim", "max_g_man", "max_g_iso", "max_g_sigma")
@@ -226,6 +229,7 @@ SELECT phase, step, series, {Q.r6('''avg(value) OVER (PARTITION BY phase, series
 def metrics_tail(spark, sf_dir):
     path = new_path(spark, "metrics-log")
     metrics_log(spark, sf_dir, path)
-    log = spark.readStream.schema(", ".join(f"`{c}` string" for c in LOG_FIELDS)).option("header", True).csv(path)
+    log = (spark.readStream.schema(", ".join(f"`{c}` string" for c in LOG_FIELDS)).option("header", True)
+           .option("maxFilesPerTrigger", 2).csv(path))
     out = L.series_stream(A.metric_points(log, None), new_path(spark, "tail"), new_path(spark, "tail-offsets"), 50)
     return rounded(out.select("phase", "step", "series", "smooth"), "smooth")

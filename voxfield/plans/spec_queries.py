@@ -217,16 +217,14 @@ def actuated_order(spark, sf_dir):
     number = F.substring("meta.variant_id", 6, 20).cast("bigint") % 3
     listed = F.when(number == 0, F.concat(F.array(F.lit("ghost")), F.reverse(names))).when(number == 1, names)
     rows = base_specs(spark, sf_dir).withColumn("morphology", F.col("morphology").withField("actuated_joint_names", listed))
-    empty = number == 0
-    out = X.actuated_order(rows).withColumn("_drop", empty & (F.size("ordered") == 0))
-    return out.select("meta.variant_id", F.array_join(F.transform("ordered", lambda j: j["name"]), ",").alias("moving"))
+    return X.actuated_order(rows).select("meta.variant_id", F.array_join(F.transform("ordered", lambda j: j["name"]), ",").alias("moving"))
 
 
 N_VARIANTS, VARIANT_SEED = 3, 11
 
 
 def _u(what: str, prefix: str) -> str:
-    return f"(('0x' || substr(md5('{VARIANT_SEED}:' || {prefix} || ':' || name || ':{what}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5('{VARIANT_SEED}:' || {prefix} || ':' || name || ':{what}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 VARIANTS = f"""
@@ -344,7 +342,7 @@ def posed(spark, sf_dir):
 
 
 JOINTS_Q = f"""
-jq AS (SELECT num.*, s AS sample_id, CASE WHEN moves THEN lo + (('0x' || substr(md5('{SAMPLE_SEED}:' || variant_id || ':' || s || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * (hi - lo) ELSE 0 END AS q
+jq AS (SELECT num.*, s AS sample_id, CASE WHEN moves THEN lo + (('0x' || substr(md5('{SAMPLE_SEED}:' || variant_id || ':' || s || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) * (hi - lo) ELSE 0 END AS q
   FROM num, unnest(range(1, {N_SAMPLES + 1})) t(s))"""
 
 
@@ -538,6 +536,19 @@ def calibrated_clearance(spark, sf_dir):
     return tested(D.clearance(posed(spark, sf_dir).select("variant_id", "sample_id", "points"), kept))
 
 
+@query("i8_whole_graphs", Q.with_(PARTS, f"""
+SELECT v.variant_id, k::INTEGER AS position, {Q.r6('coalesce(length, 0)', 'length')}, i IS NULL AS is_pad
+FROM (SELECT DISTINCT variant_id FROM lr) v, unnest(range(1, (SELECT max(n) FROM (SELECT count(*) AS n FROM lr GROUP BY variant_id)) + 1)) t(k)
+LEFT JOIN lr ON lr.variant_id = v.variant_id AND lr.i = t.k - 1"""))
+def whole_graphs(spark, sf_dir):
+    """Link graphs padded to the longest of them; no node is cut."""
+    nodes = I.graph_nodes(graph_specs(spark, sf_dir)).select(F.col("variant_id").alias("graph_id"), "node_id", "length")
+    packed = I.padded_sequences(materialize(nodes, "graph-nodes"), ["length"], "node_id")
+    items = packed.select("graph_id", F.posexplode(F.arrays_zip("padded", "pad_mask")).alias("k", "e"))
+    return items.select(F.col("graph_id").alias("variant_id"), (F.col("k") + 1).alias("position"),
+                        r6(F.col("e.padded")[0]).alias("length"), F.col("e.pad_mask").alias("is_pad"))
+
+
 @query("i9_query_expansion", recursive(f"""SELECT e.variant_id, e.sample_id, i::INTEGER AS node_id, {Q.r6('p0', 'x')}, {Q.r6('length')}
 FROM ends e JOIN lr ON lr.variant_id = e.variant_id"""))
 def query_expansion(spark, sf_dir):
@@ -608,7 +619,7 @@ def description_scan(spark, sf_dir):
     _xml(spark, sf_dir).write.text(path)
     df = X.walked(XML.scan_descriptions(spark, path, one_per_line=True))
     add = lambda items, pick: F.aggregate(items, F.lit(0.0), lambda a, e: a + pick(e))
-    tail = F.slice("link_list", 2, 100)
+    tail = F.filter("link_list", lambda l, i: i > 0)
     return df.select(
         "variant_id", F.size(F.filter("records", lambda r: r["is_actuated"])).cast("bigint").alias("dof"),
         r6(add(F.col("lengths"), lambda e: e["length"])).alias("total"),

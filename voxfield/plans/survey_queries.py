@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, kernels as K
 from ..functions.store import materialize
 from ..operators import convergence as C, grid as V, survey as S
+from ..schemas import LABELS
 from . import bindings as B, sql as Q
 from .registry import query, r6, rounded
 
@@ -33,6 +34,16 @@ def grid(spark, sf_dir):
     return rounded(out, *BOUND_COLUMNS).withColumns({c: F.col(c).cast("bigint") for c in ("nx", "ny", "nz")})
 
 
+@query("c4_manual_bounds", Q.with_(Q.SAMPLES, """
+SELECT *, nx * ny * nz AS n_cells, 50 / 2.0::DOUBLE - nx * 5 / 2.0::DOUBLE AS bmin_x, 50 / 2.0::DOUBLE + nx * 5 / 2.0::DOUBLE AS bmax_x
+FROM (SELECT DISTINCT variant_id, ceil(50 / 5.0)::BIGINT AS nx, ceil(11 / 2.0)::BIGINT AS ny, ceil(4 / 4.0)::BIGINT AS nz FROM samples)"""))
+def manual_grid(spark, sf_dir):
+    """One given box for every variant, re-centred on whole cells."""
+    variants = B.raw_samples(spark, sf_dir).select("variant_id").distinct()
+    out = V.build_grid(V.manual_bounds(variants, (0, 0, 0), (50, 11, 4)), (5.0, 2.0, 4.0))
+    return out.select("variant_id", *[F.col(c).cast("bigint").alias(c) for c in ("nx", "ny", "nz")], "n_cells", "bmin_x", "bmax_x")
+
+
 @query("c4_grid_cells", Q.with_(",".join([Q.TO_GRIDS, Q.DENSE.split("filled AS")[0].rstrip().rstrip(",")]), f"""
 SELECT variant_id, cell_idx, ix, iy, iz, {', '.join(Q.r6(c) for c in ('cx', 'cy', 'cz'))} FROM dense"""))
 def grid_cells(spark, sf_dir):
@@ -143,6 +154,12 @@ def sphere_bin(spark, sf_dir):
     return directions(spark, sf_dir).select("vec_id", "sphere_bin")
 
 
+@query("d13_orientation_bin", Q.with_(Q.SAMPLES, "SELECT variant_id, sample_id, sphere_bin FROM samples"))
+def orientation_bin(spark, sf_dir):
+    """Bins of the samples' orientations, given as whole quaternions."""
+    return B.ordered_samples(spark, sf_dir).select("variant_id", "sample_id", "sphere_bin")
+
+
 # Cell aggregates.
 
 @query("e1_survey_cells", Q.with_(Q.TO_TOUCHED, f"""
@@ -191,6 +208,29 @@ def rotation_coverage(spark, sf_dir):
             .select("cell_idx", "n", r6(S.rotation_coverage(F.col("_m"))).alias("g_rot")))
 
 
+@query("e5_cell_rotation_coverage", Q.with_(Q.TO_IN_CELL, """
+SELECT variant_id, cell_idx, count(*) AS n, round(count(DISTINCT sphere_bin) / 64.0::DOUBLE, 6) AS g_rot
+FROM in_cell GROUP BY variant_id, cell_idx"""))
+def cell_rotation_coverage(spark, sf_dir):
+    """Coverage of every cell from the samples' orientations."""
+    placed = V.assign_cells(B.ordered_samples(spark, sf_dir).select("variant_id", "x", "y", "z", "sphere_bin"), grids(spark, sf_dir))
+    mask = F.bit_or(F.expr("shiftleft(1L, sphere_bin)"))
+    return placed.groupBy("variant_id", "cell_idx").agg(F.count(F.lit(1)).alias("n"), mask.alias("_m")).select(
+        "variant_id", "cell_idx", "n", r6(S.rotation_coverage(F.col("_m"))).alias("g_rot"))
+
+
+@query("e6_map_representative", Q.with_(Q.TO_IN_CELL, f"""
+SELECT variant_id, cell_idx, substr(variant_id, 1, 1) AS family, {Q.r6('q0')}, {Q.r6('q1')} FROM (
+  SELECT *, row_number() OVER (PARTITION BY variant_id, cell_idx ORDER BY g_man + g_self DESC, sample_id) AS k
+  FROM in_cell WHERE g_self > 0) WHERE k = 1"""))
+def map_representative(spark, sf_dir):
+    """Joint vector and family of every reachable cell of the finished map."""
+    samples = B.ordered_samples(spark, sf_dir)
+    families = samples.select("variant_id", "family").distinct()
+    out = S.build_map(samples, 1.0, families=families).filter("q_star is not null")
+    return out.select("variant_id", "cell_idx", "family", r6(F.col("q_star")[0]).alias("q0"), r6(F.col("q_star")[1]).alias("q1"))
+
+
 @query("e6_representative", Q.with_(Q.TO_IN_CELL, f"""
 SELECT variant_id, cell_idx, sample_id, {Q.r6('utility')}, {Q.r6('q0')}, {Q.r6('q1')} FROM (
   SELECT *, g_man + g_self AS utility, row_number() OVER (PARTITION BY variant_id, cell_idx
@@ -224,14 +264,12 @@ def box_margin(spark, sf_dir):
     return rows.select("variant_id", "sample_id", r6(margin).alias("margin"))
 
 
-FULL = ["g_ws", "g_red", "g_margin", "g_self", "g_selfpass", "g_lim", "g_rot", "g_man", "g_iso", "g_sigma"]
-
 
 @query("survey_end_to_end", Q.with_(Q.TO_CELLS, f"""
-SELECT variant_id, cell_idx, sample_counts, {', '.join(Q.r6(c) for c in FULL)} FROM cells"""))
+SELECT variant_id, cell_idx, sample_counts, {', '.join(Q.r6(c) for c in LABELS)} FROM cells"""))
 def survey_end_to_end(spark, sf_dir):
     """Samples to finished map, with nothing taken from an earlier query."""
-    return rounded(S.build_map(B.raw_samples(spark, sf_dir), 1.0, score=B.with_indicators).select("variant_id", "cell_idx", "sample_counts", *FULL), *FULL)
+    return rounded(S.build_map(B.raw_samples(spark, sf_dir), 1.0, score=B.with_indicators).select("variant_id", "cell_idx", "sample_counts", *LABELS), *LABELS)
 
 
 # Convergence over ordered streams. Fixed test parameters.

@@ -37,6 +37,15 @@ JOINT = T.StructType([
     T.StructField("is_actuated", T.BooleanType()),
 ])
 
+# How a perturbed variant was made; null for a base spec.
+NOTES = T.StructType([
+    T.StructField("generated_from", T.StringType()),
+    T.StructField("materialize_chain", T.BooleanType()),
+    T.StructField("length_scale_range", T.ArrayType(T.DoubleType())),
+    T.StructField("joint_limit_scale_range", T.ArrayType(T.DoubleType())),
+    T.StructField("joint_limit_shift_fraction", T.DoubleType()),
+])
+
 SPEC = T.StructType([
     T.StructField("meta", T.StructType([
         T.StructField("robot_name", T.StringType()),
@@ -65,28 +74,10 @@ SPEC = T.StructType([
         T.StructField("joint_limit_scale", T.ArrayType(T.DoubleType())),
         T.StructField("joint_limit_shift", T.ArrayType(T.DoubleType())),
         T.StructField("r_vector", T.StringType()),
+        T.StructField("notes", NOTES),
     ])),
 ])
 
-MANIFEST = T.StructType([
-    T.StructField("family", T.StringType()),
-    T.StructField("variant_id", T.StringType()),
-    T.StructField("dof", T.IntegerType()),
-    T.StructField("spec_path", T.StringType()),
-    T.StructField("cap_path", T.StringType()),
-    T.StructField("cap_keys", T.ArrayType(T.StringType())),
-    T.StructField("num_cells", T.LongType()),
-    T.StructField("valid_ratio", T.DoubleType()),
-    T.StructField("grid_meta", T.StructType([
-        T.StructField("bounds_min", T.ArrayType(T.DoubleType())),
-        T.StructField("bounds_max", T.ArrayType(T.DoubleType())),
-        T.StructField("resolution", T.ArrayType(T.DoubleType())),
-        T.StructField("cell_shape", T.ArrayType(T.LongType())),
-        T.StructField("round_decimals", T.IntegerType()),
-    ])),
-    T.StructField("morph_scale", T.DoubleType()),
-])
-
 _PRIMITIVE = T.StructType([T.StructField("_radius", T.StringType())])
 
 # One <robot> element of a description file; attributes stay strings until they are parsed.

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.joins import lookup_join
 from ..functions.store import materialize
 from ..operators import convergence as C, evaluation as J
 from ..operators.grid import assign_cells
@@ -22,9 +23,17 @@ def _run(stream: DataFrame, each, checkpoint: str, mode: str) -> None:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def _batch_writer(path: str):
+COMPACT_EVERY = 8
+
+
+def _batch_writer(path: str, keys: list[str] | None = None):
+    """Write each batch to its own folder. With ``keys`` every ``COMPACT_EVERY`` batches the last update of each key is
+    written as one folder more, and what it covers is not read again."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/updates/batch={batch_id}")
+        if keys is not None and batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            merged = _updates(batch.sparkSession, path, keys, batch_id)
+            merged.write.mode("overwrite").parquet(f"{path}/compact/upto={batch_id}")
     return write
 
 
@@ -35,6 +44,19 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return (df.groupBy(*keys).agg(best) if keys else df.agg(best)).select(*keys, "_v.*")
 
 
+def _updates(spark, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """Last update of every key, from the newest compacted folder before ``upto`` and the batches after it."""
+    rows = spark.read.parquet(f"{path}/updates").withColumn("batch", F.col("batch").cast("bigint"))
+    if upto is not None:
+        rows = rows.filter(F.col("batch") <= upto)
+    newest = rows.agg(F.max("batch")).first()[0]  # folder names only
+    done = (newest + (upto is None)) // COMPACT_EVERY * COMPACT_EVERY - 1  # compacted before this batch
+    if done >= 0:
+        old = spark.read.parquet(f"{path}/compact/upto={done}").withColumn("batch", F.lit(-1).cast("bigint"))
+        rows = rows.filter(F.col("batch") > done).unionByName(old)
+    return latest(rows, keys)
+
+
 def survey_stream(samples: DataFrame, grids: DataFrame, score: Callable[[DataFrame], DataFrame], path: str,
                   checkpoint: str) -> DataFrame:
     """Running survey of a sample stream against known grids: the same mergeable aggregates as the batch survey.
@@ -42,8 +64,8 @@ def survey_stream(samples: DataFrame, grids: DataFrame, score: Callable[[DataFra
     ``score`` adds the per-sample indicators to the points that lie in a cell.
     """
     stream = survey_cells(score(assign_cells(samples, grids)))
-    _run(stream, _batch_writer(path), checkpoint, "update")
-    return latest(samples.sparkSession.read.parquet(path), CELL)
+    _run(stream, _batch_writer(path, CELL), checkpoint, "update")
+    return _updates(samples.sparkSession, path, CELL)
 
 
 def metrics_stream(predictions: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -57,7 +79,7 @@ def metrics_stream(predictions: DataFrame, path: str, checkpoint: str) -> DataFr
         *J.classification_counts(), F.sum(F.abs(err) * mask).alias("sum_abs"), F.sum(err * err * mask).alias("sum_sq"),
         F.sum(mask).alias("sum_w"))
     _run(sums, _batch_writer(path), checkpoint, "update")
-    return J.regression_metrics(J.classification_metrics(latest(predictions.sparkSession.read.parquet(path), [])))
+    return J.regression_metrics(J.classification_metrics(latest(predictions.sparkSession.read.parquet(f"{path}/updates"), [])))
 
 
 def windowed_metrics_stream(predictions: DataFrame, path: str, checkpoint: str, time: str = "ts",
@@ -67,79 +89,119 @@ def windowed_metrics_stream(predictions: DataFrame, path: str, checkpoint: str,
               .agg(*J.classification_counts()))
     counts = counts.select(F.col("w.start").alias("window_start"), "tp", "tn", "fp", "fn")
     _run(counts, _batch_writer(path), checkpoint, "update")
-    return J.classification_metrics(latest(predictions.sparkSession.read.parquet(path), ["window_start"]))
+    return J.classification_metrics(latest(predictions.sparkSession.read.parquet(f"{path}/updates"), ["window_start"]))
 
 
 def series_stream(points: DataFrame, path: str, checkpoint: str, window: int) -> DataFrame:
-    """Tail of a metrics log: each batch adds its points and rewrites the smoothed series.
+    """Tail of a metrics log: each batch adds its points and the smoothed values that they change.
 
-    ``points``: phase, step, series, value.
+    ``points``: phase, step, series, value. Between batches the last ``window`` - 1 points of each series are kept, all
+    that points in order need. A series that gets a step at or before its kept tail is smoothed again from its stored
+    points; series in order are not read again.
     """
-    spark = points.sparkSession
+    spark, keys = points.sparkSession, ["phase", "series"]
+    schema = "phase string, step int, series string, value double"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/points/batch={batch_id}")
-        seen = spark.read.parquet(f"{path}/points").filter(F.col("batch") <= batch_id).drop("batch")
-        smooth = C.smoothed_series(seen, ["phase", "series"], "step", "value", window, "smooth")
-        smooth.write.mode("overwrite").parquet(f"{path}/smooth/batch={batch_id}")
+        new = materialize(batch.select(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in schema.split(", ")]), "points")
+        new.write.mode("overwrite").parquet(f"{path}/points/batch={batch_id}")
+        tail = spark.createDataFrame([], schema)
+        if batch_id:
+            tail = spark.read.schema(schema).parquet(f"{path}/tail/batch={batch_id - 1}")
+        begins = new.groupBy(*keys).agg(F.min("step").alias("_first"))
+        ends = tail.groupBy(*keys).agg(F.max("step").alias("_last"))
+        late = materialize(begins.join(ends, keys).filter(F.col("_first") <= F.col("_last")).select(*keys), "late-series")
+        ordered = new.withColumn("_old", F.lit(False)).unionByName(tail.withColumn("_old", F.lit(True)))
+        rows = ordered.join(late, keys, "left_anti")
+        if not late.isEmpty():
+            seen = spark.read.schema(schema + ", batch bigint").parquet(f"{path}/points").filter(F.col("batch") <= batch_id)
+            again = seen.drop("batch").join(late, keys, "left_semi").withColumn("_old", F.lit(False))
+            rows = rows.unionByName(again)
+        smooth = materialize(C.smoothed_series(rows, keys, "step", "value", window, "smooth"), "smooth")
+        smooth.filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(f"{path}/smooth/batch={batch_id}")
+        back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("step"), F.desc("value")))
+        kept = smooth.withColumn("_back", back).filter(F.col("_back") < max(2, window))
+        kept.select(*[f.split(" ")[0] for f in schema.split(", ")]).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
     _run(points, each, checkpoint, "append")
     smooth = spark.read.parquet(f"{path}/smooth")
-    return smooth.filter(F.col("batch") == smooth.agg(F.max("batch")).scalar()).drop("batch")
+    newest = smooth.groupBy(*keys, "step", "value").agg(F.max("batch").alias("batch"))
+    return smooth.join(newest, [*keys, "step", "value", "batch"]).drop("batch")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Kinds of rows that leave the state: the last sample of a cell in a batch, a significant sample, a late one.
+SEEN, SIGNIFICANT, LATE = 0, 1, 2
 
 
-STATE = {
-    "best": "variant_id string, cell_idx bigint, g_man double",
-    "hits": "variant_id string, checkpoint bigint, hits bigint",
-    "progress": "variant_id string, last_id bigint, late bigint",
-}
+class CellMaximum(StatefulProcessor):
+    """State of one (variant, cell): its largest g_man so far and the last sample processed."""
+
+    def __init__(self, improvement: float):
+        self.improvement = improvement
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("best", "best double, last_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.state.get() if self.state.exists() else (None, None)
+        best, last = known
+        out = []
+        frame = pd.concat(list(rows)).sort_values("sample_id")
+        for sample, passed, value in zip(frame["sample_id"], frame["passed"], frame["g_man"]):
+            if last is not None and sample <= last:
+                out.append((key[0], int(sample), LATE))
+                continue
+            last = int(sample)
+            if key[1] is not None and not pd.isna(key[1]) and passed and not pd.isna(value):
+                if best is None or value > best * (1 + self.improvement):
+                    out.append((key[0], last, SIGNIFICANT))
+                best = float(value) if best is None else max(best, float(value))
+        out.append((key[0], last, SEEN))
+        self.state.update((best, last))
+        yield pd.DataFrame(out, columns=["variant_id", "sample_id", "kind"])
+
+    def close(self) -> None:
+        pass
 
 
 def heat_monitor(events: DataFrame, path: str, checkpoint: str, window: int, every: int,
                  improvement: float = 0.01) -> DataFrame:
     """Update heat of ordered sample streams, one row per variant and checkpoint reached.
 
-    State between batches is a table of running maxima per cell, of hits per checkpoint and of the last sample per
-    variant. A sample whose id is not above the last one processed is late: it is counted and left out. The running
-    maxima enter the next batch as a sample before all others, so a batch is the plain batch operator.
+    The running maxima live in Spark's state store, keyed by (variant, cell), so a hot variant spreads over its cells.
+    A batch adds its hits to the few checkpoints that they belong to; sums over the batches give the heat, and nothing
+    old is rewritten. A sample that is not after the last one of its cell is late: it is counted and left out.
     """
     spark = events.sparkSession
-
-    def state(name: str, version: int) -> DataFrame:
-        if version < 0:
-            return spark.createDataFrame([], STATE[name])
-        return spark.read.schema(STATE[name]).parquet(f"{path}/{name}/batch={version}")
-
-    def save(df: DataFrame, name: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={version}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS)
+    mark = F.lit(every).cast("bigint")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        previous = batch_id - 1
-        progress = state("progress", previous)
-        marked = lookup_join(batch.select("variant_id", "cell_idx", F.col("sample_id").cast("bigint").alias("sample_id"), "passed", "g_man"),
-                             progress.select("variant_id", "last_id"), ["variant_id"], "left")
-        marked = materialize(marked.withColumn("is_late", F.coalesce(F.col("sample_id") <= F.col("last_id"), F.lit(False))), "marked")
-        fresh = marked.filter(~F.col("is_late")).drop("is_late", "last_id")
-        known = state("best", previous).select("variant_id", "cell_idx", F.lit(0).cast("bigint").alias("sample_id"),
-                                               F.lit(True).alias("passed"), "g_man")
-        both = known.unionByName(fresh)
-        flags = materialize(C.significant_events(both, improvement), "flags")
-        save(flags.groupBy("variant_id", "cell_idx").agg(F.max("g_man").alias("g_man")), "best", batch_id)
-        mark = F.lit(every).cast("bigint")
+        rows = materialize(batch, "flagged-samples")
         first, last = F.ceil(F.col("sample_id") / mark), F.floor((F.col("sample_id") + F.lit(window - 1)) / mark)
-        hits = (flags.filter((F.col("sample_id") > 0) & F.col("significant"))
+        hits = (rows.filter(F.col("kind") == SIGNIFICANT)
                 .withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last))))
-                .select("variant_id", (F.col("k") * mark).alias("checkpoint"), F.lit(1).cast("bigint").alias("hits")))
-        save(state("hits", previous).unionByName(hits).groupBy("variant_id", "checkpoint").agg(F.sum("hits").alias("hits")),
-             "hits", batch_id)
-        now = marked.groupBy("variant_id").agg(F.max("sample_id").alias("last_id"), F.count_if("is_late").alias("late"))
-        save(progress.unionByName(now).groupBy("variant_id").agg(F.max("last_id").alias("last_id"), F.sum("late").alias("late")),
-             "progress", batch_id)
-    _run(events, each, checkpoint, "append")
-
-    versions = spark.read.schema("last_id bigint, variant_id string, late bigint, batch bigint").parquet(f"{path}/progress")
-    newest = versions.agg(F.max("batch")).collect()[0][0]
-    progress = state("progress", newest)
+                .groupBy("variant_id", (F.col("k") * mark).alias("checkpoint")).agg(F.count(F.lit(1)).alias("hits")))
+        hits.write.mode("overwrite").parquet(f"{path}/hits/batch={batch_id}")
+        rows.groupBy("variant_id").agg(
+            F.max(F.when(F.col("kind") == SEEN, F.col("sample_id"))).alias("last_id"),
+            F.count_if(F.col("kind") == LATE).alias("late")).write.mode("overwrite").parquet(f"{path}/progress/batch={batch_id}")
+    named = events.select("variant_id", F.col("cell_idx").cast("bigint").alias("cell_idx"),
+                          F.col("sample_id").cast("bigint").alias("sample_id"), "passed", F.col("g_man").cast("double").alias("g_man"))
+    flagged = named.groupBy("variant_id", "cell_idx").transformWithStateInPandas(
+        CellMaximum(improvement), "variant_id string, sample_id bigint, kind int", "Append", "None")
+    try:
+        _run(flagged, each, checkpoint, "append")
+    finally:
+        spark.conf.set(provider, before)
+
+    hits = (spark.read.schema("variant_id string, checkpoint bigint, hits bigint, batch bigint").parquet(f"{path}/hits")
+            .groupBy("variant_id", "checkpoint").agg(F.sum("hits").alias("hits")))
+    progress = (spark.read.schema("variant_id string, last_id bigint, late bigint, batch bigint").parquet(f"{path}/progress")
+                .groupBy("variant_id").agg(F.max("last_id").alias("last_id"), F.sum("late").alias("late")))
     marks = progress.select("variant_id", "late", F.explode(F.when(F.col("last_id") >= every, F.sequence(
-        F.lit(every).cast("bigint"), F.col("last_id"), F.lit(every).cast("bigint")))).alias("checkpoint"))
-    return marks.join(state("hits", newest), ["variant_id", "checkpoint"], "left").select(
+        mark, F.col("last_id"), mark))).alias("checkpoint"))
+    return marks.join(hits, ["variant_id", "checkpoint"], "left").select(
         "variant_id", "checkpoint", "late", (F.coalesce("hits", F.lit(0)) / F.least(F.lit(window), F.col("checkpoint"))).alias("heat"))
