@@ -104,3 +104,30 @@ def gaussian_pass(line: Column, sigma: float, truncate: float = 4.0) -> Column:
             return total
         return _by_length(lines, work)
     return along(line)
+
+
+def lattice_sums(at: np.ndarray, weighed: np.ndarray, origin: list[float], step: list[float], n: int, radius: float,
+                 sharpness: float) -> tuple[list[int], np.ndarray]:
+    """Sums of Gaussian weights times ``weighed`` over the lattice points within ``radius`` of each point.
+
+    Returns the first lattice index of the box that the points reach and the sums in that box, last axis as the columns
+    of ``weighed``. The kernel is a product over the axes, cut off at the radius.
+    """
+    low, high = [], []
+    for k in range(3):
+        place = (at[:, k] - origin[k]) / step[k]
+        low.append(np.maximum(0, np.ceil(place - radius / step[k] - 1e-9)).astype(int))
+        high.append(np.minimum(n - 1, np.floor(place + radius / step[k] + 1e-9)).astype(int))
+    reach = np.logical_and.reduce([a <= b for a, b in zip(low, high)])
+    if not reach.any():
+        return [0, 0, 0], np.zeros((0, 0, 0, weighed.shape[1]))
+    first = [int(a[reach].min()) for a in low]
+    total = np.zeros([int(b[reach].max()) - f + 1 for b, f in zip(high, first)] + [weighed.shape[1]])
+    scale = -(sharpness / radius) ** 2
+    for p in np.flatnonzero(reach):
+        gaps = [(origin[k] + np.arange(low[k][p], high[k][p] + 1) * step[k] - at[p, k]) ** 2 for k in range(3)]
+        d2 = gaps[0][:, None, None] + gaps[1][:, None] + gaps[2]
+        weight = np.where(d2 <= radius * radius, np.exp(scale * d2), 0.0)
+        box = tuple(slice(low[k][p] - first[k], high[k][p] + 1 - first[k]) for k in range(3))
+        total[box] += weight[..., None] * weighed[p]
+    return first, total

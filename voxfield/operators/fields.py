@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import clip, finite
 from ..functions.joins import lookup_join
-from ..functions.kernels import gaussian_pass
+from ..functions.kernels import gaussian_pass, lattice_sums
 from ..functions.rng import hash_block, hash_key
 from ..functions.quantile import exact_quantiles
 from ..functions.store import materialize
@@ -168,26 +171,37 @@ def resampled_field(points: DataFrame, values: list[str], lattice: DataFrame, sh
     """Gaussian-kernel mean of scattered values at the lattice points within the kernel radius of any point.
 
     The lattice is regular, so each point reaches its lattice neighbours by arithmetic. Points are first brought
-    together by place, so that most contributions to a lattice point are summed before they are shuffled. Lattice points without a neighbour have no row (their value is 0).
+    together by place; a task adds up the weights of a batch of them in the box of the lattice that they reach, so that
+    one row for each batch and lattice point is shuffled, not one for each point and lattice point. Lattice points
+    without a neighbour have no row (their value is 0).
     """
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = points.select("variant_id", "cx", "cy", "cz", *values).repartitionByRange(parts, "variant_id", "cx", "cy")
-    rows = lookup_join(near, lattice, ["variant_id"])
-    reach2 = F.col("radius") * F.col("radius")
-    d2 = F.lit(0.0)
-    for a in AXES:
-        left = F.sqrt(F.greatest(reach2 - F.col("_d2"), F.lit(0.0))) if a != "x" else F.col("radius")
-        at = (F.col(f"c{a}") - F.col(f"o_{a}")) / F.col(f"h_{a}")
-        first = F.greatest(F.lit(0), F.ceil(at - left / F.col(f"h_{a}") - 1e-9).cast("int"))
-        last = F.least(F.col("n") - 1, F.floor(at + left / F.col(f"h_{a}") + 1e-9).cast("int"))
-        rows = rows.withColumn(f"i{a}", F.explode(F.when(first <= last, F.sequence(first, last))))
-        gap = F.col(f"o_{a}") + F.col(f"i{a}") * F.col(f"h_{a}") - F.col(f"c{a}")
-        rows = rows.withColumn("_d2", (F.col("_d2") if a != "x" else d2) + gap * gap)
-    rows = rows.filter(F.col("_d2") <= reach2)
-    weight = F.exp(-(sharpness * sharpness) * F.col("_d2") / reach2)
-    sums = rows.withColumn("_w", weight).groupBy("variant_id", "ix", "iy", "iz").agg(
-        F.sum("_w").alias("_sw"), *[F.sum(F.col("_w") * F.col(v)).alias(f"_s_{v}") for v in values])
-    return sums.select("variant_id", "ix", "iy", "iz", *[(F.col(f"_s_{v}") / F.col("_sw")).alias(v) for v in values])
+    near = points.select("variant_id", "cx", "cy", "cz", *[F.col(v).cast("double").alias(v) for v in values])
+    rows = lookup_join(near.repartitionByRange(parts, "variant_id", "cx", "cy"), lattice, ["variant_id"])
+    per_variant = ["n", "radius", *[f"{k}_{a}" for k in "oh" for a in AXES]]
+    sums = ["_sw", *[f"_s_{v}" for v in values]]
+
+    def run(batches):
+        for batch in batches:
+            table = pa.table(batch)
+            for variant in pc.unique(table["variant_id"]).to_pylist():
+                own = table.filter(pc.equal(table["variant_id"], pa.scalar(variant, table["variant_id"].type)))
+                at = np.stack([own[f"c{a}"].to_numpy() for a in AXES], axis=1)
+                weighed = np.stack([np.ones(len(own)), *[own[v].to_numpy() for v in values]], axis=1)
+                box = {c: own[c][0].as_py() for c in per_variant}
+                first, total = lattice_sums(at, weighed, [box[f"o_{a}"] for a in AXES], [box[f"h_{a}"] for a in AXES],
+                                            box["n"], box["radius"], sharpness)
+                place = np.nonzero(total[..., 0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([variant] * len(place[0]), table["variant_id"].type),
+                     *[pa.array((p + f).astype("int32")) for p, f in zip(place, first)],
+                     *[pa.array(total[..., k][place]) for k in range(len(sums))]],
+                    names=["variant_id", "ix", "iy", "iz", *sums])
+    partial = rows.select("variant_id", "cx", "cy", "cz", *values, *per_variant).mapInArrow(
+        run, f"variant_id {points.schema['variant_id'].dataType.simpleString()}, ix int, iy int, iz int, "
+             + ", ".join(f"{c} double" for c in sums))
+    out = partial.groupBy("variant_id", "ix", "iy", "iz").agg(*[F.sum(c).alias(c) for c in sums])
+    return out.select("variant_id", "ix", "iy", "iz", *[(F.col(f"_s_{v}") / F.col("_sw")).alias(v) for v in values])
 
 
 def dense_lattice(field: DataFrame, lattice: DataFrame, values: list[str]) -> DataFrame:
