@@ -136,6 +136,48 @@ def chain_path(spark, sf_dir):
     return out.select("variant_id", F.array_join("path", ">").alias("path"))
 
 
+# Branched graphs with several bases and ends, some of which don't lead back to the chosen base: one for each order.
+BRANCHED = """edge AS (SELECT l_orderkey AS g, 'n' || (l_partkey % 5) AS parent, 'n' || (l_partkey % 5 + 1 + l_suppkey % 3) AS child,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+base AS (SELECT g, min(parent) AS base_link FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge c WHERE c.g = e.g AND c.child = e.parent) GROUP BY g),
+tip AS (SELECT g, min(child) AS ee_link FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge c WHERE c.g = e.g AND c.parent = e.child) GROUP BY g)"""
+CLIMB = BRANCHED + """,
+above AS (SELECT g, child, arg_max(parent, i) AS parent FROM edge GROUP BY g, child),
+climb AS (SELECT g, ee_link AS link, 0 AS up FROM tip UNION ALL
+  SELECT c.g, a.parent, up + 1 FROM climb c JOIN base b ON b.g = c.g JOIN above a ON a.g = c.g AND a.child = c.link WHERE c.link <> b.base_link),
+whole AS (SELECT g, link, row_number() OVER (PARTITION BY g ORDER BY up DESC) AS place FROM climb SEMI JOIN (
+  SELECT c.g FROM climb c JOIN base b ON b.g = c.g AND b.base_link = c.link) ok USING (g)),
+road AS (SELECT * FROM whole UNION ALL SELECT g, base_link, 1 FROM base WHERE g NOT IN (SELECT g FROM whole))"""
+
+
+def branched(spark, sf_dir):
+    first = F.col("l_partkey") % 5
+    name = lambda at: F.concat(F.lit("n"), at.cast("string"))
+    joint = F.struct(*B.LINE_ORDER[1:], name(first).alias("parent"), name(first + 1 + F.col("l_suppkey") % 3).alias("child"))
+    rows = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.array_sort(F.collect_list(joint)).alias("joints"))
+    rows = rows.withColumn("joints", F.transform("joints", lambda j, i: F.struct(
+        F.concat(F.lit("j"), (i + 1).cast("string")).alias("name"), j["parent"].alias("parent"), j["child"].alias("child"))))
+    return X.detect_ends(rows.withColumn("links", F.transform("joints", lambda j: F.struct(j["parent"].alias("name")))))
+
+
+@query("b4_branched_ends", Q.with_(BRANCHED, "SELECT g, base_link, ee_link FROM base JOIN tip USING (g)"))
+def branched_ends(spark, sf_dir):
+    return branched(spark, sf_dir).select("g", "base_link", "ee_link")
+
+
+@query("b5_branched_path", f"WITH RECURSIVE {CLIMB} SELECT g, string_agg(link, '>' ORDER BY place) AS path FROM road GROUP BY g")
+def branched_path(spark, sf_dir):
+    return X.chain_path(branched(spark, sf_dir)).select("g", F.array_join("path", ">").alias("path"))
+
+
+@query("b6_branched_chain", f"""WITH RECURSIVE {CLIMB}
+SELECT e.g, (row_number() OVER (PARTITION BY e.g ORDER BY p.place, e.i) - 1)::INTEGER AS pos, 'j' || e.i AS name
+FROM edge e JOIN road p ON p.g = e.g AND p.link = e.parent JOIN road c ON c.g = e.g AND c.link = e.child""")
+def branched_chain(spark, sf_dir):
+    out = X.main_chain(X.chain_path(branched(spark, sf_dir)))
+    return out.select("g", F.posexplode("chain_joints").alias("pos", "j")).select("g", "pos", F.col("j.name").alias("name"))
+
+
 @query("b6_main_chain", Q.with_(PARTS, "SELECT variant_id, (j - 1)::INTEGER AS pos, name, parent, child FROM dj"))
 def main_chain(spark, sf_dir):
     df = X.main_chain(X.chain_path(X.detect_ends(X.named_only(descriptions(spark, sf_dir)))))
