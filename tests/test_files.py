@@ -1,13 +1,14 @@
 """File sources, sinks and streams."""
 
 import json
+import os
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.toys import FOLDING, PLANAR, SLIDING
-from voxfield.operators import convergence as C, specs as X
+from voxfield.operators import convergence as C, grid as V, specs as X, survey as S
 from voxfield.sources import tables as A
 from voxfield.sources.descriptions import scan_descriptions
 from voxfield.streaming import jobs as L
@@ -157,3 +158,22 @@ def test_series_stream_follows_the_log(spark, tmp_path):
         rows.filter(part).write.mode("append").parquet(source)
         out = L.series_stream(spark.readStream.schema(rows.schema).parquet(source), path, offsets, 3)
     assert [r.smooth for r in out.orderBy("step").collect()] == [1.0, 1.5, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_survey_stream_compacts_its_updates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "COMPACT_EVERY", 2)
+    rows = [("v", i, float(i % 4), float(i % 3), 0.0, (i * 37 % 101) / 101, i % 5 / 4) for i in range(60)]
+    samples = spark.createDataFrame(rows, "variant_id string, sample_id bigint, x double, y double, z double, g_man double, g_self double")
+    full = samples.selectExpr("*", "0.5D AS g_lim", "0.5D AS g_iso", "0.5D AS g_sigma", "cast(sample_id % 64 as int) AS sphere_bin")
+    grids = spark.createDataFrame([("v", -0.5, -0.5, -0.5, 1.0, 1.0, 1.0, 4, 3, 1)],
+                                  "variant_id string, bmin_x double, bmin_y double, bmin_z double, res_x double, res_y double, "
+                                  "res_z double, nx int, ny int, nz int")
+    source, path, offsets = (str(tmp_path / n) for n in ("source", "out", "offsets"))
+    for part in range(5):
+        full.filter(F.col("sample_id") % 5 == part).write.mode("append").parquet(source)
+        out = L.survey_stream(spark.readStream.schema(full.schema).parquet(source), grids, lambda df: df, path, offsets)
+    want = S.survey_cells(V.assign_cells(full, grids)).orderBy("cell_idx").collect()
+    got = out.select(want[0].__fields__).orderBy("cell_idx").collect()
+    close = lambda a, b: all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:]))
+    assert len(got) == len(want) == 12 and all(map(close, got, want))
+    assert sorted(os.listdir(f"{path}/compact")) == ["upto=1", "upto=3"]
