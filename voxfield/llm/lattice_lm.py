@@ -33,7 +33,7 @@ from .tokens import public_path
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters of the documents of one block.
 BLOCK_CHARS = 16_000_000
-ROUNDS = 2
+ROUNDS = 4
 #: How many expected pieces the scores of the vocabulary count for.
 PRIOR = 2000.0
 SMOOTHING = 0.1
