@@ -27,8 +27,10 @@ from .tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text encoded at a time.
+BATCH_BYTES = 12 << 20
 #: Rows of one block in which pieces are numbered.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 50_000
 
 
 class CapacityTree:
@@ -118,7 +120,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     def run(batches):
         coder = encoder(vocabulary)
         for batch in batches:
-            for part in slices_of(batch, 1):
+            for part in slices_of(batch, 1, BATCH_BYTES):
                 flat, bounds = coder.encode(part.column(1))
                 raw, at = memoryview(flat.astype("<u4").tobytes()), (4 * bounds).tolist()
                 row, piece, start, length, crc = [], [], [], [], []
