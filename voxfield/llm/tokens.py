@@ -8,7 +8,6 @@ tokenizer whole. Both ways give the ids of the vocabulary file.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 
