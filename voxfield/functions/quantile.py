@@ -39,7 +39,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     if not keys:
         whole = df.select(F.lit(1).alias("_all"), F.col(value))
         return exact_quantiles(whole, ["_all"], value, probs, method, small_group).drop("_all")
-    data = materialize(df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), "values")
+    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = materialize(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    large = sizes.filter(F.col("_n") > small_group)
+    if large.isEmpty():
+        return _small(data, keys, probs, method)
+    listed = large.select(*keys)
+    stored = materialize(data.join(listed, keys, "left_semi"), "large-groups")
+    return (_small(data.join(listed, keys, "left_anti"), keys, probs, method)
+            .unionByName(_large(stored, _brackets(stored, keys, probs), keys, probs, method)))
+
+
+def _brackets(data: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Size, ends and a bracket around every wanted rank of each group, in one aggregate."""
     names = list(probs)
     lows = [min(1.0, max(0.0, probs[c] - RANK_SLACK)) for c in names]
     highs = [max(0.0, min(1.0, probs[c] + RANK_SLACK)) for c in names]
@@ -50,13 +62,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         F.lit(c).alias("name"),
         (F.col("_min") if lows[i] == 0.0 else F.col("_s")[i]).alias("lo"),
         (F.col("_max") if highs[i] == 1.0 else F.col("_s")[len(names) + i]).alias("hi")) for i, c in enumerate(names)]
-    sizes = materialize(sketch.select(*keys, "_n", "_min", "_max", F.array(*brackets).alias("_b")), "group-sizes")
-    large = sizes.filter(F.col("_n") > small_group)
-    if large.isEmpty():
-        return _small(data, keys, probs, method)
-    listed = large.select(*keys)
-    return (_small(data.join(listed, keys, "left_anti"), keys, probs, method)
-            .unionByName(_large(data.join(listed, keys, "left_semi"), large, keys, probs, method)))
+    return materialize(sketch.select(*keys, "_n", "_min", "_max", F.array(*brackets).alias("_b")), "quantile-brackets")
 
 
 def _small(data: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
