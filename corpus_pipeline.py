@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxfield.functions.store import materialize
-from voxfield.llm import decontamination, packing, secrets, simhash, toxicity
+from voxfield.llm import decontamination, near_copies, packing, secrets, toxicity
 from voxfield.llm.common import table
 from voxfield.llm.queries import toxicity_model
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word Jaccard similarity of at least 0.8) stays."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ argument holds for them), and what is still larger after ``LEVELS`` cuts is comp
 block against each. No group is ever dropped or cut short.
 
 Comparison: within a group the fingerprints stand vertically, 64 to a block, one machine word for each bit position.
-For many (fingerprint, block) pairs at once, the differing bits of one position are added to carry-save counters of
-two bits and an overflow bit; pairs whose 64 lanes have all overflowed are abandoned.
+For many (fingerprint, block) pairs at once, the differing bits of one position are added to carry-save counters (two
+bits for a radius of 3, more for a larger one) that start where one bit over the radius overflows them; pairs whose 64
+lanes have all overflowed are abandoned.
 
 Only the local spanning edges of a group leave it, so a group of n near copies gives at most n - 1 rows. The classes
 are then joined to components by alternating large and small stars, written after every round.
@@ -79,6 +80,8 @@ def within(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS):
     group_of = np.repeat(np.arange(len(sizes)), sizes)
     lane_of = np.arange(len(fps)) - groups[group_of]
     block = first_block[group_of] + lane_of // 64
+    width = max(2, radius.bit_length())
+    preset = (1 << width) - 1 - radius
     planes = np.zeros((BITS, int(first_block[-1])), dtype=np.uint64)
     real = np.zeros(int(first_block[-1]), dtype=np.uint64)
     lane = (lane_of % 64).astype(np.uint64)
@@ -100,22 +103,18 @@ def within(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS):
         # lanes after the own one; a shift by 64 is undefined, so it is done in two steps
         mask[own] &= (_ALL << lane[query[own]]) << _ONE
         far = np.zeros(len(query), dtype=np.uint64)
-        low, high = far.copy(), far.copy()
+        counts = [np.full(len(query), _ALL if preset >> i & 1 else 0, dtype=np.uint64) for i in range(width)]
         value = fps[query]
         for k in range(BITS):
-            differ = planes[k][target] ^ (np.uint64(0) - (value >> np.uint64(k) & _ONE))
-            carry = low & differ
-            low ^= differ
-            over = high & carry
-            high ^= carry
-            far |= over
-            if radius < 3 and k % 8 == 7 or k == BITS - 1:
-                far |= _beyond(low, high, radius)
+            carry = planes[k][target] ^ (np.uint64(0) - (value >> np.uint64(k) & _ONE))
+            for i in range(width):
+                counts[i], carry = counts[i] ^ carry, counts[i] & carry
+            far |= carry
             if k % 8 == 7 and k > 8:
                 alive = (mask & ~far) != 0
                 if not alive.all():
                     query, target, value = query[alive], target[alive], value[alive]
-                    mask, far, low, high = mask[alive], far[alive], low[alive], high[alive]
+                    mask, far, counts = mask[alive], far[alive], [c[alive] for c in counts]
                 if not len(query):
                     break
         near = mask & ~far
@@ -127,32 +126,30 @@ def within(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS):
         start = stop
 
 
-def _beyond(low: np.ndarray, high: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose two-bit count is over ``radius`` (0 to 3)."""
-    if radius >= 3:
-        return np.zeros_like(low)
-    return (low & high) if radius == 2 else high if radius == 1 else low | high
-
-
 def spanning(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each place the first place of its local component."""
     label = np.arange(len(fps))
     for i, j in within(fps, groups, radius):
-        while True:
-            a, b = label[i], label[j]
-            open_ = a != b
-            if not open_.any():
-                break
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:  # shorten all paths
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
+        join_labels(label, i, j)
     return label
 
 
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the local components of the places i and j; ``label`` is changed in place."""
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:  # shorten all paths
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
 def _bands(width: int, radius: int) -> list[tuple[int, int]]:
     """(shift, bits) of ``radius + 1`` bands that cover ``width`` bits; surplus bands are empty."""
     size = -(-width // (radius + 1))
@@ -183,7 +180,7 @@ def edges(classes: DataFrame, radius: int = RADIUS, group: int = GROUP, levels:
     Keys are hashes of (band, value); a collision of two keys only adds candidates.
     """
     if not 0 <= radius <= 3:
-        raise ValueError("two counter bits hold a radius of 0 to 3")
+        raise ValueError("the bands are cut for a radius of 0 to 3")
     rows, width, parts = classes.select(F.col("fp").alias("rest"), "fp"), BITS, []
     for level in range(levels):
         rows, width = _cut(rows, width, radius)
@@ -256,7 +253,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     An id goes if any of its rows lies in a component with a smaller id. Of several rows with one id the one with the
     smallest text stays, null first.
     """
-    found = near_duplicates(docs, radius, shingle).filter("doc_id is not null")
+    return keep_least(docs, near_duplicates(docs, radius, shingle))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """What ``keep_one`` keeps, for components (doc_id, component_id) that were found before."""
+    found = found.filter("doc_id is not null")
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("_c")).filter("_c < doc_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
     repeated = materialize(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
