@@ -82,3 +82,24 @@ def test_odd_tables(spark):
     clean = pii.sanitise(docs)
     assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
     assert pii.spans(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
+
+
+def test_terms_beside_rare_values(spark):
+    """Each address stands once, so only what the addresses share (a domain) can tell; one value stands twice."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeinorst", k=6)) for _ in range(400)]
+    texts = []
+    for k in range(400):
+        body = rng.choices(words, k=40)
+        if k < 8:
+            body[20:20] = ["Quillmark", f"user{k}@quill.example", "office"]
+        elif k < 10:
+            body[20:20] = ["single@home.example"]
+            body[3:3] = ["Wexford"]
+        elif k < 60:
+            body[20:20] = ["office"]
+        texts.append(" ".join(body))
+    rows = {r["doc_id"]: r for r in pii.spans(documents(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        names = {text[int(a):int(b)] for kind, a, b in (s.split(":") for s in rows[k]["spans"].split(",") if s) if kind == "term"}
+        assert names == ({"Quillmark"} if k < 8 else {"Wexford"} if k < 10 else set())

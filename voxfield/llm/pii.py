@@ -1,14 +1,17 @@
 """Personal data: pattern spans, and terms that reveal the protected values by co-occurrence.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers, found in whole texts. A protected entity is the
-value of such a span. A term (a plain word of at least ``LEAST_LETTERS`` letters) near an entity is weighed by the
-corpus: with n(t) documents that hold the term, n(e) the entity and n(t,e) both, of D in all, its pointwise mutual
-information with the entity is log2(n(t,e) D / (n(t) n(e))), and what there is to reveal is log2(D / n(e)). A term that
-gives away at least ``DISCLOSED`` of that, and that was seen near the entity in ``LEAST_CONTEXTS`` different
-surroundings (copies of one passage count once), is marked wherever it stands in the documents with that entity.
+Base spans are e-mail addresses, IP addresses, card and phone numbers, found in whole texts. Personal values are rare, so
+a span is protected as its exact value, as the part that it shares with others (domain, network, first digits) and as its
+kind. A term (a plain word of at least ``LEAST_LETTERS`` letters) is weighed against each of these by the documents that
+hold both, anywhere in the text: with n(t) documents that hold the term, n(e) the protected group and n(t,e) both, of D in
+all, what there is to reveal is log2(D / n(e)), and the term reveals log2(s D / n(e)) with the smoothed share
+s = (n(t,e) + 1/2) / (n(t) + 1). A term is marked wherever it stands in the documents of the group if it gives away at
+least ``DISCLOSED`` of that and the joint occurrence is significant: the Chernoff bound on the chance of that many joint
+documents, times the number of pairs tested, is at most ``CHANCE``. For the test, documents with the same words around
+the value count once, so copies of one passage prove nothing; what stands in one surrounding can't be significant.
 ``sanitise`` removes such terms and replaces base spans by their kind.
 
-All counts run over all documents as sums that merge before the shuffle. The pairs (entity, term) are joined, never
+All counts run over all documents as sums that merge before the shuffle. The pairs (group, term) are joined, never
 collected.
 
 Defined results: a null or empty text has no spans; repeated rows count again and get a row each; overlapping spans of
@@ -19,12 +22,14 @@ passed through by ``sanitise``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.store import materialize
 from .common import map_batches, slices_of
@@ -33,8 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 NEAR_WORDS = 8
 LEAST_LETTERS = 3
-LEAST_CONTEXTS = 3
 DISCLOSED = 0.95
+CHANCE = 0.05
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -91,6 +96,14 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', value)}"
 
 
+def groups(kind: str, value: str) -> list[str]:
+    """What a span is protected as: its value, the part that it shares with others, its kind."""
+    own = entity(kind, value)
+    plain = own.partition(":")[2]
+    part = plain.partition("@")[2] if kind == "email" else plain.rpartition(".")[0] if kind == "ip" else plain[:6]
+    return [own, f"{kind} part:{part}", f"{kind} kind"]
+
+
 def nearby(text: str, start: int, stop: int) -> list[str]:
     """The plain words next to a span, at most ``NEAR_WORDS`` on each side."""
     low = max(0, start - _near)
@@ -100,28 +113,29 @@ def nearby(text: str, start: int, stop: int) -> list[str]:
 
 
 def _extract(docs: DataFrame) -> DataFrame:
-    """Counts, digest and spans of every row, and for every span its entity with the terms nearby."""
+    """Counts, digest and spans of every row; the text where it has spans, and for each its groups and the terms nearby."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: list[list[int]] = [[] for _ in KINDS]
-        digests, lists, found = [], [], []
+        digests, lists, found, held = [], [], [], []
         for text in batch.column(2).to_pylist():
             own = base_spans(text)
             for k, kind in enumerate(KINDS):
                 counts[k].append(sum(s[1] == kind for s in own))
             lists.append(listed(own))
             digests.append(hashlib.sha256(lists[-1].encode()).hexdigest())
-            found.append([{"entity": entity(kind, text[a:b]), "terms": nearby(text, a, b)} for a, kind, b in own])
-        kind = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
+            found.append([{"groups": groups(kind, text[a:b]), "terms": nearby(text, a, b)} for a, kind, b in own])
+            held.append(text if own else None)
+        kind = pa.list_(pa.struct([("groups", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))]))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()),
-             pa.array(lists, pa.string()), pa.array(found, kind)],
-            names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "found"])
+             pa.array(lists, pa.string()), pa.array(found, kind), pa.array(held, pa.string())],
+            names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "found", "held"])
     return map_batches(
         docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), run,
         f"row bigint, doc_id {ids}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, base string, "
-        "found array<struct<entity: string, terms: array<string>>>")
+        "found array<struct<groups: array<string>, terms: array<string>>>, held string")
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -136,23 +150,78 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def revealing(docs: DataFrame, extracted: DataFrame) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold."""
-    pairs = extracted.select("row", F.explode("found").alias("f")).select("row", "f.entity", "f.terms")
-    held = pairs.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    often = held.filter(F.col("n_entity") >= LEAST_CONTEXTS)
-    # one passage in many copies is one surrounding; sets are hashed so that order and repeats don't matter
-    near = pairs.join(often, "entity").withColumn("around", F.xxhash64(F.array_sort(F.array_distinct("terms"))))
-    together = near.select("entity", "n_entity", "row", "around", F.explode("terms").alias("term"))
-    counted = together.groupBy("entity", "n_entity", "term").agg(
-        F.count_distinct("row").alias("n_both"), F.count_distinct("around").alias("contexts"))
-    likely = materialize(counted.filter(F.col("contexts") >= LEAST_CONTEXTS), "near-terms")
-    total = docs.count()
+def _surprise(joint, group, term, total) -> Column:
+    """Minus the log of the Chernoff bound on ``joint`` or more of ``group`` documents holding a term of ``term`` in
+    ``total``."""
+    q, p = joint / group, F.least(term / total, F.lit(1.0))
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, group * (q * F.log(q / p) + rest)).otherwise(0.0)
+
+
+def _joint_counts(members: DataFrame) -> DataFrame:
+    """(group, term, n_both, n_proofs) from (held, copies, of): texts with the groups that they belong to."""
+    def run(batches):
+        for batch in batches:
+            for part in slices_of(batch, 0, 4 << 20):
+                both, proofs = Counter(), Counter()
+                for text, copies, of in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    words = {w.lower() for w in _term.findall(text)}
+                    for g in of:
+                        both.update(dict.fromkeys(((g["group"], w) for w in words), copies))
+                        if g["first"]:
+                            proofs.update((g["group"], w) for w in words)
+                names = list(both)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g for g, _ in names], pa.string()), pa.array([w for _, w in names], pa.string()),
+                     pa.array([both[x] for x in names], pa.int64()), pa.array([proofs[x] for x in names], pa.int64())],
+                    names=["group", "term", "n_both", "n_proofs"])
+    return members.select("held", "copies", "of").mapInArrow(
+        run, "group string, term string, n_both bigint, n_proofs bigint").groupBy("group", "term").agg(
+        F.sum("n_both").alias("n_both"), F.sum("n_proofs").alias("n_proofs"))
+
+
+def revealing(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(group, term) pairs over the disclosure threshold; ``held`` are the distinct rows with spans and their copies."""
+    spans_of = held.select("row", "copies", F.explode("found").alias("f")).select(
+        "row", "copies", F.explode("f.groups").alias("group"),
+        F.xxhash64(F.array_sort(F.array_distinct("f.terms"))).alias("around"))
+    belongs = materialize(spans_of.groupBy("group", "row").agg(F.min("around").alias("around"), F.first("copies").alias("copies")),
+                          "pii-groups")
+    # one passage in many copies is one surrounding; its smallest row stands for all
+    first = belongs.groupBy("group", "around").agg(F.min("row").alias("least"), F.sum("copies").alias("rows"))
+    sizes = materialize(first.groupBy("group").agg(F.count("*").alias("n_around"), F.sum("rows").alias("n_group"))
+                        .filter("n_around > 1"), "pii-sizes")
+    leaders = first.select("group", F.col("least").alias("row"), F.lit(True).alias("first"))
+    of = belongs.select("group", "row").join(sizes.select("group"), "group").join(leaders, ["group", "row"], "left").groupBy(
+        "row").agg(F.collect_list(F.struct("group", F.coalesce("first", F.lit(False)).alias("first"))).alias("of"))
+    counted = materialize(_joint_counts(held.select("row", "held", "copies").join(of, "row")), "pii-pairs")
+    total, tests = docs.count(), counted.count()
+    if not total or not tests:
+        return counted.select("group", "term").limit(0)
+    total, least = F.lit(float(total)), math.log(tests / CHANCE)
+    # n(t) is n(t,e) at least, so this leaves out nothing that could be significant
+    likely = counted.filter("n_proofs > 1").join(sizes, "group").filter(
+        _surprise(F.col("n_proofs"), F.col("n_around"), F.col("n_both"), total) >= least)
+    likely = materialize(likely, "likely-terms")
     held_by = document_counts(docs).join(likely.select("term").distinct(), "term", "left_semi")
     weighed = likely.join(held_by, "term")
-    gain = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n") * F.col("n_entity")))
-    secret = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return weighed.filter((secret > 0) & (gain >= DISCLOSED * secret)).select("entity", "term")
+    secret = F.log2(total / F.col("n_group"))
+    gain = F.log2((F.col("n_both") + 0.5) / (F.col("n") + 1)) + secret
+    return weighed.filter((secret > 0) & (gain >= DISCLOSED * secret) & (
+        _surprise(F.col("n_proofs"), F.col("n_around"), F.col("n"), total) >= least)).select("group", "term")
+
+
+def _held_words(members: DataFrame) -> DataFrame:
+    """(row, group, term) of every word of the texts ``held`` and every group in ``of``."""
+    def run(batches):
+        for batch in batches:
+            for part in slices_of(batch, 1, 4 << 20):
+                out = [(row, g, w) for row, text, of in zip(*(part.column(k).to_pylist() for k in range(3)))
+                       for w in {x.lower() for x in _term.findall(text)} for g in of]
+                columns = zip(*out) if out else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))],
+                                                 names=["row", "group", "term"])
+    return members.select("row", "held", "of").mapInArrow(run, "row bigint, group string, term string")
 
 
 def _term_spans(text: str, terms: set[str], base: str) -> list[tuple[int, str, int]]:
@@ -164,10 +233,17 @@ def _term_spans(text: str, terms: set[str], base: str) -> list[tuple[int, str, i
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, row) of every row; ``row`` is a hash."""
     extracted = materialize(_extract(docs), "pii-spans")
-    told = materialize(revealing(docs, extracted), "revealing-terms")
-    holders = extracted.select("row", "base", F.explode("found.entity").alias("entity")).join(told, "entity")
-    marks = materialize(holders.groupBy("row", "base").agg(F.collect_set("term").alias("terms")), "revealing-marks")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(marks, "row").dropDuplicates(["row"])
+    held = materialize(extracted.filter("base <> ''").groupBy("row").agg(
+        F.first("base").alias("base"), F.first("found").alias("found"), F.first("held").alias("held"),
+        F.count("*").alias("copies")), "pii-held")
+    told = materialize(revealing(docs, held), "revealing-terms")
+    # a group's rows meet its terms by the words of the text: a join by the group alone would be rows times terms
+    groups_of = held.select("row", F.explode(F.array_distinct(F.flatten("found.groups"))).alias("group")).join(
+        told.select("group").distinct(), "group", "left_semi")
+    words = _held_words(held.select("row", "held").join(groups_of.groupBy("row").agg(F.collect_list("group").alias("of")), "row"))
+    marks = materialize(words.join(told, ["group", "term"], "left_semi").groupBy("row").agg(
+        F.collect_set("term").alias("terms")), "revealing-marks")
+    texts = held.select("row", F.col("held").alias("text"), "base").join(marks, "row")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, lists, counts = batch.column(0), [], []
@@ -180,7 +256,7 @@ def spans(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([rows, pa.array(lists, pa.string()), pa.array(counts, pa.int64())],
                                           names=["row", "all", "n_more"])
     marked = map_batches(texts.select("row", "text", "base", "terms"), run, "row bigint, all string, n_more bigint")
-    return extracted.drop("found").join(marked, "row", "left").select(
+    return extracted.drop("found", "held").join(marked, "row", "left").select(
         "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce("all", "base").alias("spans"),
         F.coalesce("n_more", F.lit(0)).alias("n_term"), "row")
 
