@@ -69,3 +69,15 @@ def test_odd_tables(spark):
         after = secrets.redact(docs, model)
         assert after.columns == docs.columns
         assert sorted(map(str, after.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_words_of_all_documents(spark, monkeypatch):
+    """A rare word that stands in two of many documents is in the dictionary, whatever the size of the table."""
+    monkeypatch.setattr(secrets, "SAMPLE_CHARS", 2000, raising=False)
+    texts = ["some ordinary words here " * 20 for _ in range(300)] + ["zyxwquartz ünlü once", "zyxwquartz ünlü"]
+    docs = documents(spark, texts)
+    model, _ = secrets.train(docs)
+    assert all(w in model.context.words for w in ("zyxwquartz", "ünlü", "ordinary", "here"))
+    assert "once" not in model.context.words and "zyxwquart" not in model.context.words
+    alone = secrets.fit([], texts)
+    assert (abs(alone.context.transitions - model.context.transitions) < 1e-12).all()

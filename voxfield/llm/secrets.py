@@ -3,8 +3,9 @@
 A candidate is a run of at least ``LEAST`` key characters. Its features are its length and character classes, how
 likely its character transitions are in ordinary words, how much of it dictionary words cover, the share of findings
 among labelled candidates of its path, and the log-odds of the words beside it. The forest (bootstrap, random feature
-subsets, Gini splits, NumPy) is trained on labelled findings, at most ``MOST_FINDINGS`` of each label; the dictionary
-and the transitions come from a text sample bounded by ``SAMPLE_CHARS``.
+subsets, Gini splits, NumPy) is trained on labelled findings, at most ``MOST_FINDINGS`` of each label; the
+words are counted over all documents in Spark, the transitions reduced to one table there, and the dictionary sent as a
+Bloom filter of ``FILTER_BITS`` bits a word (under 0.1 % of other strings pass).
 
 Labelled findings are a table (doc_id, start, stop, label). Where no reviewer has made one, ``labelled_findings`` marks
 the clear cases: a published key format or a mixed run that is assigned to a name for a credential is one, a run of
@@ -25,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.store import materialize
@@ -33,7 +35,9 @@ from .common import map_batches, plain_words, send, uniform
 LEAST = 16
 NEAR = 48
 MOST_FINDINGS = 3000
-SAMPLE_CHARS = 2_000_000
+FILTER_BITS = 16
+FILTER_HASHES = 6
+WORD_LETTERS = (4, 14)
 TREES = 40
 DEPTH = 8
 MASK = "[secret]"
@@ -84,10 +88,27 @@ def neighbours(c: Candidate) -> list[str]:
     return ["<" + w for w in before] + [">" + w for w in after]
 
 
+def _places(word: str, size: int) -> list[int]:
+    """The bits of a word in a filter of ``size`` bits."""
+    h = xxhash.xxh3_128_intdigest(word.encode("utf-8", "replace"))
+    first, step = h & (1 << 64) - 1, h >> 64 | 1
+    return [(first + k * step) % size for k in range(FILTER_HASHES)]
+
+
+class WordFilter:
+    """A Bloom filter of the dictionary: every word of it passes, hardly any other string."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+
+    def __contains__(self, word: str) -> bool:
+        return word.isalpha() and all(int(self.cells[p >> 6]) >> (p & 63) & 1 for p in _places(word, 64 * len(self.cells)))
+
+
 @dataclass
 class Context:
     """What the features are measured against."""
-    words: frozenset = frozenset()
+    words: frozenset | WordFilter = frozenset()
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((38, 38)))
     neighbour_odds: dict = field(default_factory=dict)
     path_rates: dict = field(default_factory=dict)
@@ -183,13 +204,23 @@ class Model:
 
 def fit(found: list[tuple[Candidate, str | None, int]], texts: list[str | None], seed: int = 11) -> Model:
     """Train on (candidate, path, label) and the texts of ordinary words."""
-    counts = Counter(w for t in texts for w in plain_words(t))
-    words = frozenset(w.decode("utf-8", "replace") for w, n in counts.items() if n > 1 and w.isalpha() and len(w) > 3)
-    pairs = np.full((38, 38), 0.5)
-    for w, n in counts.items():
-        if w.isalpha():
-            codes = _codes(w.decode("utf-8", "replace"))
-            np.add.at(pairs, (codes[:-1], codes[1:]), n)
+    counts = {w.decode("utf-8", "replace"): n for w, n in Counter(w for t in texts for w in plain_words(t)).items()}
+    words = frozenset(w for w, n in counts.items() if n > 1 and w.isalpha() and len(w) > 3)
+    return learn(found, words, _transitions((w, n) for w, n in counts.items() if w.isalpha()), seed)
+
+
+def _transitions(counts) -> np.ndarray:
+    """How often each pair of codes occurs in counted words."""
+    pairs = np.zeros((38, 38))
+    for w, n in counts:
+        codes = _codes(w)
+        np.add.at(pairs, (codes[:-1], codes[1:]), n)
+    return pairs
+
+
+def learn(found: list[tuple[Candidate, str | None, int]], words, pairs: np.ndarray, seed: int = 11) -> Model:
+    """Train on (candidate, path, label), the dictionary and the counted transitions."""
+    pairs = pairs + 0.5
     context = Context(words, np.log2(pairs / pairs.sum(axis=1, keepdims=True)))
     y = np.array([label for _, _, label in found], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -231,6 +262,42 @@ def _extract(docs: DataFrame, path: str | None) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", source.alias("path")), run, f"doc_id {ids}, path string, {_SCHEMA}")
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word of letters stands in all documents."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = Counter(w for t in batch.column(0).to_pylist() for w in plain_words(t))
+        words = [(w.decode("utf-8", "replace"), n) for w, n in counts.items()]
+        words = [(w, n) for w, n in words if w.isalpha()]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()),
+                                           pa.array([n for _, n in words], pa.int64())], names=["word", "n"])
+    return map_batches(docs.select("text"), run, "word string, n bigint", rows=2048).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def ordinary_words(docs: DataFrame) -> tuple[WordFilter, np.ndarray]:
+    """The dictionary (words that occur twice) and the transitions of all documents."""
+    counts = materialize(word_counts(docs), "word-counts")
+
+    def reduce(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = _transitions(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).ravel()
+        some = np.flatnonzero(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(pairs[some].astype(np.int64))], names=["pair", "n"])
+    pairs = np.zeros(38 * 38)
+    for r in map_batches(counts, reduce, "pair bigint, n bigint", rows=8192).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    listed = counts.filter((F.col("n") > 1) & F.length("word").between(*WORD_LETTERS)).select("word")
+    size = -(-max(1, listed.count()) * FILTER_BITS // 64)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.array([p for w in batch.column(0).to_pylist() for p in _places(w, 64 * size)], dtype=np.uint64)
+        bits = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], names=["cell", "bits"])
+    cells = np.zeros(size, dtype=np.int64)
+    marked = map_batches(listed, mark, "cell bigint, bits bigint", rows=8192).groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits"))
+    for part in marked.toArrow().to_batches():
+        cells[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return WordFilter(cells.view(np.uint64)), pairs.reshape(38, 38)
+
+
 def labelled_findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(doc_id, start, stop, label) of the candidates whose case is clear."""
     return _extract(docs, path).filter("label is not null").select("doc_id", "start", "stop", "label")
@@ -251,10 +318,7 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, path: str | None =
         rate = F.when(F.col("label") == label, F.lit(min(1.0, most / n))).otherwise(rate)
     rows = known.filter(uniform("doc_id", "start", "value", seed=seed) < rate).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["start"], r["value"], str(r["path"])))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    texts = docs.select("doc_id", "text").filter(uniform("doc_id", seed=seed + 1) < min(1.0, SAMPLE_CHARS / max(1, chars)))
-    ordinary = [r["text"] for r in texts.collect()]
-    return fit([(Candidate(*r[2:7]), r["path"], r["label"]) for r in rows], ordinary, seed), found
+    return learn([(Candidate(*r[2:7]), r["path"], r["label"]) for r in rows], *ordinary_words(docs), seed), found
 
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, path: str | None = "source",
