@@ -81,3 +81,22 @@ def test_words_of_all_documents(spark, monkeypatch):
     assert "once" not in model.context.words and "zyxwquart" not in model.context.words
     alone = secrets.fit([], texts)
     assert (abs(alone.context.transitions - model.context.transitions) < 1e-12).all()
+
+
+def test_short_and_punctuated_values(spark):
+    text = "password = hunter2x, api_key: 'aB3.x!9$z@Q7' token=\"abcdefghij\" see http://example.org/abc note: short"
+    found = secrets.candidates(text)
+    assert [c.value for c in found] == ["hunter2x", "aB3.x!9$z@Q7", "abcdefghij"]
+    assert all(text[c.start:c.stop] == c.value for c in found)
+    assert [secrets.clear_label(c) for c in found] == [None, 1, None]
+    rng, texts, planted = random.Random(5), [], {}
+    for k in range(240):
+        body = ["".join(rng.choices("aeionrst", k=rng.randint(2, 9))) for _ in range(40)] + ["colour: lightbluegreen"]
+        if k % 4 == 0:
+            planted[k] = "".join(rng.choices("abcdefgh23456789.!$@", k=rng.randint(11, 14))) + "x9"
+            body.insert(rng.randrange(40), f"password = '{planted[k]}'")
+        texts.append(" ".join(body))
+    docs = documents(spark, texts)
+    after = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.train(docs)[0]).collect()}
+    assert sum(planted[k] not in after[k] for k in planted) >= 0.95 * len(planted)
+    assert all(after[k] == texts[k] for k in range(240) if k not in planted)

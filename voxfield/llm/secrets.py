@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``LEAST`` key characters. Its features are its length and character classes, how
+A candidate is a run of at least ``LEAST`` key characters, or a quoted or assigned value of at least ``LEAST_VALUE``
+characters with any punctuation but quotes and blanks (an unquoted one ends at a comma, semicolon or bracket); runs within
+such a value are no candidates of their own. Its features are its length and character classes, how
 likely its character transitions are in ordinary words, how much of it dictionary words cover, the share of findings
 among labelled candidates of its path, and the log-odds of the words beside it. The forest (bootstrap, random feature
 subsets, Gini splits, NumPy) is trained on labelled findings, at most ``MOST_FINDINGS`` of each label; the
@@ -9,7 +11,7 @@ Bloom filter of ``FILTER_BITS`` bits a word (under 0.1 % of other strings pass).
 
 Labelled findings are a table (doc_id, start, stop, label). Where no reviewer has made one, ``labelled_findings`` marks
 the clear cases: a published key format or a mixed run that is assigned to a name for a credential is one, a run of
-letters or of digits alone is none, and all other candidates stay unlabelled.
+letters or of digits alone is none unless it is assigned to such a name, and all other candidates stay unlabelled.
 
 Defined results: a null or empty text has no candidates; a null path counts as an unknown one; equal rows give equal
 findings; without findings of both labels nothing is a secret; extra columns are ignored by ``findings`` and passed
@@ -33,6 +35,7 @@ from ..functions.store import materialize
 from .common import map_batches, plain_words, send, uniform
 
 LEAST = 16
+LEAST_VALUE = 8
 NEAR = 48
 MOST_FINDINGS = 3000
 FILTER_BITS = 16
@@ -42,6 +45,8 @@ TREES = 40
 DEPTH = 8
 MASK = "[secret]"
 _run = re.compile(r"[A-Za-z0-9+/_\-]{%d,}" % LEAST)
+_value = re.compile(r"""([\"'`])(?P<quoted>[^\s\"'`]{%d,})(?=\1)|[=:]\s{0,4}(?!//)(?P<plain>[^\s\"'`,;<>(){}\[\]]{%d,})"""
+                    % (LEAST_VALUE, LEAST_VALUE))
 _word = re.compile(r"[^\W\d_]+")
 _assigned = re.compile(r"(?i)(token|secret|passwo?r?d|credential|api[_ -]?key|access[_ -]?key|auth)\W{0,12}[=:]\W{0,12}$")
 #: Published key formats: cloud access keys, code-hosting, chat, payment and map tokens.
@@ -60,15 +65,23 @@ class Candidate:
 
 
 def candidates(text: str | None) -> list[Candidate]:
-    """Runs of key characters without surrounding ``-`` and ``_``, in code points."""
-    out = []
-    for m in _run.finditer(text or ""):
+    """Quoted or assigned values, and runs of key characters without surrounding ``-`` and ``_``, in code points."""
+    text, places = text or "", []
+    for m in _value.finditer(text):
+        start, stop = m.span(m.lastgroup)
+        if m.lastgroup == "plain":
+            stop = start + len(m.group("plain").rstrip(".:?"))
+        if stop - start >= LEAST_VALUE and any(ch.isalnum() for ch in text[start:stop]):
+            places.append((start, stop))
+    values, at = len(places), 0
+    for m in _run.finditer(text):
         value = m.group().strip("-_")
-        if len(value) >= LEAST:
-            start = m.start() + m.group().index(value)
-            stop = start + len(value)
-            out.append(Candidate(start, stop, value, text[max(0, start - NEAR):start], text[stop:stop + NEAR]))
-    return out
+        start = m.start() + m.group().index(value)
+        while at < values and places[at][1] <= start:
+            at += 1
+        if len(value) >= LEAST and not (at < values and places[at][0] < start + len(value)):
+            places.append((start, start + len(value)))
+    return [Candidate(a, b, text[a:b], text[max(0, a - NEAR):a], text[b:b + NEAR]) for a, b in sorted(places)]
 
 
 def clear_label(c: Candidate) -> int | None:
@@ -76,7 +89,7 @@ def clear_label(c: Candidate) -> int | None:
     if _formats.fullmatch(c.value):
         return 1
     if c.value.isalpha() or c.value.isdigit():
-        return 0
+        return None if _assigned.search(c.before) else 0
     digits = sum(ch.isdigit() for ch in c.value)
     return 1 if _assigned.search(c.before) and digits >= 3 and len(set(c.value)) >= 8 else None
 
