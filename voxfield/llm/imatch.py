@@ -3,7 +3,7 @@
 Terms are runs of letters and digits, lower-cased, each known by its XXH64. The lexicon holds the terms whose inverse
 document frequency lies in a band: at least ``RARE`` and at most ``COMMON`` of all documents hold them. With d distinct
 terms in a mean document, at most d / RARE terms can be that frequent; RARE is raised where d / RARE would exceed
-``MOST_TERMS``, so the lexicon's size is bounded whatever the number of documents, and it travels as a literal.
+``MOST_TERMS``, so the lexicon's size is bounded whatever the number of documents, and every task can hold it.
 
 A document is known by its distinct lexicon terms in sorted order; with fewer than ``LEAST`` of them, by all its terms.
 The fingerprint is the hash of all of them (classic I-Match), then hashes of the terms in ``PARTS`` random subsets of the
@@ -24,7 +24,6 @@ empty result.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,7 +37,7 @@ LEAST = 4
 SCALES = 7
 PARTS = 32
 FIRST_PARTS = 8
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Bits of a term's hash: scale s keeps terms whose lowest 2 s bits are zero and cuts them by the bits from here on.
 PART_BITS = 20
 
@@ -54,23 +53,21 @@ def terms(text: Column | str) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON, most_terms: int = MOST_TERMS) -> list[int]:
-    """The terms in the band, by the document frequencies in all texts; at most ``most_terms`` of them."""
+def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON, most_terms: int = MOST_TERMS) -> DataFrame:
+    """The terms in the band by the document frequencies in all texts, at most ``most_terms`` of them: one row whose
+    ``buckets`` hold the terms by their remainder."""
+    spark = docs.sparkSession
     counts = materialize(docs.select(F.explode(terms("text")).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n")), "imatch-frequencies")
     n = docs.count()
     held = counts.agg(F.sum("n")).first()[0] or 0
     least = max(rare * n, held / most_terms)
-    return [r["term"] for r in counts.filter((F.col("n") >= least) & (F.col("n") <= common * n)).select("term").collect()]
-
-
-def _inside(band: list[int]) -> Callable[[Column], Column]:
-    """A test of a term against the lexicon: a literal table of buckets, made when the plan is."""
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for term in band:
-        buckets[term % BUCKETS].append(term)
-    table = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
-    return lambda t: F.array_contains(F.get(table, F.pmod(t, F.lit(BUCKETS)).cast("int")), t)
+    band = counts.filter((F.col("n") >= least) & (F.col("n") <= common * n))
+    filled = band.groupBy(F.pmod("term", F.lit(BUCKETS)).alias("id")).agg(F.collect_list("term").alias("own"))
+    every = spark.range(BUCKETS).join(filled, "id", "left").select(
+        F.struct("id", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")).alias("b"))
+    return materialize(every.agg(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["own"]).alias("buckets")),
+                       "imatch-lexicon")
 
 
 def _subsets(kept: Column, scale: int) -> Column:
@@ -91,12 +88,20 @@ def _subsets(kept: Column, scale: int) -> Column:
     return F.when(F.size(kept) == 0, F.array_repeat(F.lit(None).cast("int"), left)).otherwise(own)
 
 
-def prints(text: Column | str, inside: Callable[[Column], Column]) -> Column:
-    """(whole, parts): the hash of all kept terms, and those of the subsets."""
+def with_prints(df: DataFrame, text: str, band: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column (whole, parts) of a text: the hash of all kept terms, and those of the subsets.
+
+    The lexicon is a scalar subquery. It is named once, so that the optimizer puts it into the test of a term; the plan
+    shows its name only, and no row carries it.
+    """
+    def inside(t: Column) -> Column:
+        return F.array_contains(F.get(F.col("_lexicon"), F.pmod(t, F.lit(BUCKETS)).cast("int")), t)
+
     def chosen(all_terms: Column) -> Column:
         return let(F.filter(all_terms, inside), lambda kept: F.when(F.size(kept) < LEAST, all_terms).otherwise(kept))
-    return let(F.sort_array(let(terms(text), chosen)),
+    mark = let(F.sort_array(let(terms(text), chosen)),
                lambda kept: F.struct(F.xxhash64(kept).alias("whole"), _subsets(kept, 0).alias("parts")))
+    return df.withColumn("_lexicon", band.scalar()).select(*df.columns, mark.alias(name))
 
 
 def written(mark: Column) -> Column:
@@ -113,9 +118,10 @@ def likeness(a: Column, b: Column) -> Column:
             lambda held: F.size(F.filter(held, lambda s: s)) / F.greatest(F.size(held), F.lit(1)).cast("double")))
 
 
-def fingerprints(docs: DataFrame, band: list[int]) -> DataFrame:
+def fingerprints(docs: DataFrame, band: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every row of (doc_id, text)."""
-    return docs.select("doc_id", written(prints(F.coalesce("text", F.lit("")), _inside(band))).alias("fingerprint"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return with_prints(texts, "text", band, "mark").select("doc_id", written(F.col("mark")).alias("fingerprint"))
 
 
 def followers(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -131,21 +137,20 @@ def followers(docs: DataFrame) -> tuple[DataFrame, bool]:
     return materialize(chain, "imatch-followers"), not places.filter("rows > 1").isEmpty()
 
 
-def against_edits(docs: DataFrame, band: list[int]) -> DataFrame:
+def against_edits(docs: DataFrame, band: DataFrame) -> DataFrame:
     """Every document (doc_id, n_chars, edited, mark, edited_mark, next_mark) with an edited text: its second half gives way
     to the head of the next document."""
-    inside = _inside(band)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chain, repeated = followers(docs)
     # the test of the hash is no join key, so both joins deal the texts out alike and share one exchange
     same_row = F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0
-    heads = texts.join(chain, texts["doc_id"].eqNullSafe(chain["id"]) & same_row).select(
-        "prev_id", F.left("text", F.col("want")).alias("head"), prints("text", inside).alias("next_mark"))
+    heads = texts.join(chain, texts["doc_id"].eqNullSafe(chain["id"]) & same_row).select("prev_id", "want", "text")
+    heads = with_prints(heads, "text", band, "next_mark").select("prev_id", F.left("text", F.col("want")).alias("head"), "next_mark")
     if repeated:
         heads = heads.dropDuplicates(["prev_id"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     both = texts.join(heads, texts["doc_id"].eqNullSafe(heads["prev_id"])).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - half), F.left("head", half)).alias("edited"),
-        prints("text", inside).alias("mark"), "next_mark")
-    return both.withColumn("edited_mark", prints("edited", inside))
+        "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - half), F.left("head", half)).alias("edited"),
+        "next_mark")
+    return with_prints(with_prints(both, "text", band, "mark"), "edited", band, "edited_mark").drop("text")
