@@ -34,7 +34,7 @@ def plain_terms(text):
 def plain_mark(text, band):
     every = plain_terms(text)
     kept = sorted(every & band)
-    kept = kept if len(kept) >= imatch.LEAST else sorted(every)
+    kept = kept if len(kept) >= max(imatch.LEAST, imatch.LEAST_SHARE * len(every)) else sorted(every)
     parts, now = [], kept
     for s in range(imatch.SCALES):
         n = imatch.PARTS if s else imatch.FIRST_PARTS

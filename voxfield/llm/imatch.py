@@ -5,7 +5,8 @@ document frequency lies in a band: at least ``RARE`` and at most ``COMMON`` of a
 terms in a mean document, at most d / RARE terms can be that frequent; RARE is raised where d / RARE would exceed
 ``MOST_TERMS``, so the lexicon's size is bounded whatever the number of documents, and every task can hold it.
 
-A document is known by its distinct lexicon terms in sorted order; with fewer than ``LEAST`` of them, by all its terms.
+A document is known by its distinct lexicon terms in sorted order; where these are fewer than ``LEAST`` or than
+``LEAST_SHARE`` of its terms (odd words, a rare language), by all its terms.
 The fingerprint is the hash of all of them (classic I-Match), then hashes of the terms in ``PARTS`` random subsets of the
 lexicon at each of ``SCALES`` rates, each rate a quarter of the one before. An edit changes only the subsets that hold a
 changed term, so the subsets of low rates survive large edits and those of high rates tell near copies apart.
@@ -33,7 +34,7 @@ from ..functions.store import materialize
 
 RARE, COMMON = 0.001, 0.2
 MOST_TERMS = 1 << 19
-LEAST = 4
+LEAST, LEAST_SHARE = 4, 0.125
 SCALES = 7
 PARTS = 32
 FIRST_PARTS = 8
@@ -98,7 +99,8 @@ def with_prints(df: DataFrame, text: str, band: DataFrame, name: str) -> DataFra
         return F.array_contains(F.get(F.col("_lexicon"), F.pmod(t, F.lit(BUCKETS)).cast("int")), t)
 
     def chosen(all_terms: Column) -> Column:
-        return let(F.filter(all_terms, inside), lambda kept: F.when(F.size(kept) < LEAST, all_terms).otherwise(kept))
+        enough = F.greatest(F.lit(float(LEAST)), LEAST_SHARE * F.size(all_terms))
+        return let(F.filter(all_terms, inside), lambda kept: F.when(F.size(kept) < enough, all_terms).otherwise(kept))
     mark = let(F.sort_array(let(terms(text), chosen)),
                lambda kept: F.struct(F.xxhash64(kept).alias("whole"), _subsets(kept, 0).alias("parts")))
     return df.withColumn("_lexicon", band.scalar()).select(*df.columns, mark.alias(name))
