@@ -28,5 +28,5 @@ def test_stages_hand_over(spark, sf_dir):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
     assert set(queries.QUERIES) <= set(names)
