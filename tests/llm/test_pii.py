@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from voxfield.llm import pii
 
@@ -35,6 +37,25 @@ def test_base_spans_equal_the_patterns():
     assert sum(map(bool, map(plain_spans, texts))) > 500
 
 
+def test_long_numbers():
+    """Leading zeros without end, long runs of digits and dots; the time grows with the length only."""
+    for text in ["0" * 5000 + ".1.1.1", "0" * 4000 + "255.1.1.1", "1.2.3." + "0" * 6000, "1" * 3000, "1." * 800, "9" * 700 + ".1.1.1.1.1.1.1"]:
+        want = [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255
+                                                                          for p in m.group().split("."))]
+        assert [s for s in pii.base_spans(text) if s[1] == "ip"] == [(a, "ip", b) for a, _, b in want]
+    start = time.time()
+    for text in ["7" * 1_000_000, "0" * 1_000_000 + ".1.1.1", "1." * 500_000, "+1" + "(" * 500_000, "a" * 500_000 + "@", "@" * 300_000]:
+        pii.base_spans(text)
+    assert time.time() - start < 20
+
+
+def test_least_surprise():
+    """Benjamini and Hochberg over rounded surprises."""
+    assert pii.least_surprise({}, 0) == math.inf and pii.least_surprise({10: 5}, 5) == math.inf
+    counts = {120: 2, 60: 1, 10: 97}  # exp(-12) * 100 and exp(-6) * 100 / 3 stay below 0.05 and 0.15; exp(-1) doesn't
+    assert pii.least_surprise(counts, 100) == 12.0 and pii.least_surprise({120: 2, 70: 1, 10: 97}, 100) == 7.0
+
+
 def revealing_corpus():
     """One address always stands near a nickname that stands nowhere else; another word stands everywhere."""
     rng = random.Random(3)

@@ -6,13 +6,14 @@ kind. A term (a plain word of at least ``LEAST_LETTERS`` letters) is weighed aga
 hold both, anywhere in the text: with n(t) documents that hold the term, n(e) the protected group and n(t,e) both, of D in
 all, what there is to reveal is log2(D / n(e)), and the term reveals log2(s D / n(e)) with the smoothed share
 s = (n(t,e) + 1/2) / (n(t) + 1). A term is marked wherever it stands in the documents of the group if it gives away at
-least ``DISCLOSED`` of that and the joint occurrence is significant: the Chernoff bound on the chance of that many joint
-documents, times the number of pairs tested, is at most ``CHANCE``. For the test, documents with the same words around
-the value count once, so copies of one passage prove nothing; what stands in one surrounding can't be significant.
-``sanitise`` removes such terms and replaces base spans by their kind.
+least ``DISCLOSED`` of that and the joint occurrence is significant: by the Chernoff bound on the chance of that many
+joint documents, with at most ``CHANCE`` of the findings expected false. For the test, documents with the same words
+around the value count once, so copies of one passage prove nothing; what stands in one surrounding can't be
+significant. ``sanitise`` removes such terms and replaces base spans by their kind.
 
-All counts run over all documents as sums that merge before the shuffle. The pairs (group, term) are joined, never
-collected.
+All counts run over all documents as sums that merge before the shuffle. To disclose that much a term must have at least
+the share (n(e) / D) ** (1 - DISCLOSED) of its documents among those with personal data, which two counts by word tell;
+only the words that pass for the smallest group meet the groups, by a join on the row. Pairs are never collected.
 
 Defined results: a null or empty text has no spans; repeated rows count again and get a row each; overlapping spans of
 different kinds are all kept; a marked term never overlaps a base span; extra columns are ignored by ``spans`` and
@@ -24,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +40,12 @@ NEAR_WORDS = 8
 LEAST_LETTERS = 3
 DISCLOSED = 0.95
 CHANCE = 0.05
+#: Surprises are counted in steps of a tenth up to 100.
+STEPS, MOST_STEPS = 10, 1000
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match from inside a run of digits would end where one from its first digit does, so only that is tried, once.
+_ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
@@ -76,7 +79,7 @@ def base_spans(text: str | None) -> list[tuple[int, str, int]]:
     out = [(a, 0, b) for a, b in _emails(text)]
     if _digit.search(text):
         out += [(m.start(), 1, m.end()) for m in _ip.finditer(text)
-                if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+                if all(len(p) < 4 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
         for m in _card.finditer(text):
             digits = re.sub("[^0-9]", "", m.group())
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -112,6 +115,11 @@ def nearby(text: str, start: int, stop: int) -> list[str]:
     return before[-NEAR_WORDS:] + after[:NEAR_WORDS]
 
 
+def _row() -> Column:
+    """A name for rows of equal id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+
+
 def _extract(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans of every row; the text where it has spans, and for each its groups and the terms nearby."""
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -133,21 +141,36 @@ def _extract(docs: DataFrame) -> DataFrame:
              pa.array(lists, pa.string()), pa.array(found, kind), pa.array(held, pa.string())],
             names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "found", "held"])
     return map_batches(
-        docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), run,
-        f"row bigint, doc_id {ids}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, base string, "
+        docs.select(_row().alias("row"), "doc_id", "text"), run,
+        f"row string, doc_id {ids}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, base string, "
         "found array<struct<groups: array<string>, terms: array<string>>>, held string")
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each plain word of the corpus stands."""
+def document_counts(texts: DataFrame, weight: str | None = None) -> DataFrame:
+    """(term, n): in how many documents each plain word of ``text`` stands; a row counts ``weight`` times."""
     def run(batches):
         for batch in batches:
             for part in slices_of(batch, 0, 16 << 20):
                 lists = [list({w.lower() for w in _term.findall(t)}) if t else [] for t in part.column(0).to_pylist()]
                 words = pa.array(lists, pa.list_(pa.string())).flatten().dictionary_encode()
-                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                times = np.repeat(part.column(1).to_numpy(), [len(x) for x in lists])
+                n = np.bincount(words.indices.to_numpy(), times, len(words.dictionary)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n, pa.int64())], names=["term", "n"])
-    return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    return texts.select("text", times.alias("times")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n"))
+
+
+def _words_of(held: DataFrame) -> DataFrame:
+    """(row, term) for every distinct plain word of each text."""
+    def run(batches):
+        for batch in batches:
+            for part in slices_of(batch, 1, 4 << 20):
+                lists = pa.array([list({w.lower() for w in _term.findall(t)}) for t in part.column(1).to_pylist()],
+                                 pa.list_(pa.string()))
+                rows = part.column(0).take(lists.value_parent_indices())
+                yield pa.RecordBatch.from_arrays([rows, lists.flatten()], names=["row", "term"])
+    return held.select("row", "held").mapInArrow(run, "row string, term string")
 
 
 def _surprise(joint, group, term, total) -> Column:
@@ -158,26 +181,17 @@ def _surprise(joint, group, term, total) -> Column:
     return F.when(q > p, group * (q * F.log(q / p) + rest)).otherwise(0.0)
 
 
-def _joint_counts(members: DataFrame) -> DataFrame:
-    """(group, term, n_both, n_proofs) from (held, copies, of): texts with the groups that they belong to."""
-    def run(batches):
-        for batch in batches:
-            for part in slices_of(batch, 0, 4 << 20):
-                both, proofs = Counter(), Counter()
-                for text, copies, of in zip(*(part.column(k).to_pylist() for k in range(3))):
-                    words = {w.lower() for w in _term.findall(text)}
-                    for g in of:
-                        both.update(dict.fromkeys(((g["group"], w) for w in words), copies))
-                        if g["first"]:
-                            proofs.update((g["group"], w) for w in words)
-                names = list(both)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g for g, _ in names], pa.string()), pa.array([w for _, w in names], pa.string()),
-                     pa.array([both[x] for x in names], pa.int64()), pa.array([proofs[x] for x in names], pa.int64())],
-                    names=["group", "term", "n_both", "n_proofs"])
-    return members.select("held", "copies", "of").mapInArrow(
-        run, "group string, term string, n_both bigint, n_proofs bigint").groupBy("group", "term").agg(
-        F.sum("n_both").alias("n_both"), F.sum("n_proofs").alias("n_proofs"))
+def least_surprise(counts: dict[int, int], tests: int, chance: float = CHANCE) -> float:
+    """The lowest surprise that keeps the expected share of false findings at ``chance`` (Benjamini and Hochberg).
+
+    ``counts`` has the number of pairs by surprise, rounded down to ``1 / STEPS``.
+    """
+    least, above = math.inf, 0
+    for step in sorted(counts, reverse=True):
+        above += counts[step]
+        if tests * math.exp(-step / STEPS) <= chance * above:
+            least = step / STEPS
+    return least
 
 
 def revealing(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -191,37 +205,30 @@ def revealing(docs: DataFrame, held: DataFrame) -> DataFrame:
     first = belongs.groupBy("group", "around").agg(F.min("row").alias("least"), F.sum("copies").alias("rows"))
     sizes = materialize(first.groupBy("group").agg(F.count("*").alias("n_around"), F.sum("rows").alias("n_group"))
                         .filter("n_around > 1"), "pii-sizes")
-    leaders = first.select("group", F.col("least").alias("row"), F.lit(True).alias("first"))
-    of = belongs.select("group", "row").join(sizes.select("group"), "group").join(leaders, ["group", "row"], "left").groupBy(
-        "row").agg(F.collect_list(F.struct("group", F.coalesce("first", F.lit(False)).alias("first"))).alias("of"))
-    counted = materialize(_joint_counts(held.select("row", "held", "copies").join(of, "row")), "pii-pairs")
-    total, tests = docs.count(), counted.count()
-    if not total or not tests:
-        return counted.select("group", "term").limit(0)
-    total, least = F.lit(float(total)), math.log(tests / CHANCE)
-    # n(t) is n(t,e) at least, so this leaves out nothing that could be significant
-    likely = counted.filter("n_proofs > 1").join(sizes, "group").filter(
-        _surprise(F.col("n_proofs"), F.col("n_around"), F.col("n_both"), total) >= least)
+    total, smallest = docs.count(), sizes.agg(F.min("n_group")).first()[0]
+    if smallest is None:
+        return sizes.select("group", F.lit("").alias("term")).limit(0)
+    # a term gives enough away only if at least this share of its documents holds personal data
+    share = F.lit((smallest / total) ** (1 - DISCLOSED))
+    in_held = document_counts(held.select(F.col("held").alias("text"), "copies"), "copies").filter("n > 1")
+    likely = document_counts(docs).join(in_held.withColumnRenamed("n", "_held"), "term").filter(
+        F.col("_held") + 0.5 >= share * (F.col("n") + 1)).select("term", "n")
     likely = materialize(likely, "likely-terms")
-    held_by = document_counts(docs).join(likely.select("term").distinct(), "term", "left_semi")
-    weighed = likely.join(held_by, "term")
-    secret = F.log2(total / F.col("n_group"))
-    gain = F.log2((F.col("n_both") + 0.5) / (F.col("n") + 1)) + secret
-    return weighed.filter((secret > 0) & (gain >= DISCLOSED * secret) & (
-        _surprise(F.col("n_proofs"), F.col("n_around"), F.col("n"), total) >= least)).select("group", "term")
-
-
-def _held_words(members: DataFrame) -> DataFrame:
-    """(row, group, term) of every word of the texts ``held`` and every group in ``of``."""
-    def run(batches):
-        for batch in batches:
-            for part in slices_of(batch, 1, 4 << 20):
-                out = [(row, g, w) for row, text, of in zip(*(part.column(k).to_pylist() for k in range(3)))
-                       for w in {x.lower() for x in _term.findall(text)} for g in of]
-                columns = zip(*out) if out else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))],
-                                                 names=["row", "group", "term"])
-    return members.select("row", "held", "of").mapInArrow(run, "row bigint, group string, term string")
+    leaders = first.select("group", F.col("least").alias("row"), F.lit(1).alias("proof"))
+    of = belongs.select("group", "row", "copies").join(sizes.select("group"), "group").join(leaders, ["group", "row"], "left")
+    # words meet groups by the row, and only words that may reveal something
+    pairs = _words_of(held).join(likely.select("term"), "term", "left_semi").join(of, "row").groupBy("group", "term").agg(
+        F.sum("copies").alias("n_both"), F.coalesce(F.sum("proof"), F.lit(0)).alias("n_proofs")).filter("n_proofs > 1")
+    all_documents = F.lit(float(total))
+    secret = F.log2(all_documents / F.col("n_group"))
+    weighed = pairs.join(sizes, "group").join(likely, "term").select(
+        "group", "term", _surprise(F.col("n_proofs"), F.col("n_around"), F.col("n"), all_documents).alias("surprise"),
+        ((secret > 0) & (F.log2((F.col("n_both") + 0.5) / (F.col("n") + 1)) + secret >= DISCLOSED * secret)).alias("discloses"))
+    weighed = materialize(weighed, "pii-pairs")
+    steps = F.least(F.floor(F.col("surprise") * STEPS), F.lit(MOST_STEPS))
+    counts = {r[0]: r[1] for r in weighed.groupBy(steps.alias("step")).count().collect()}
+    least = least_surprise(counts, sum(counts.values()))
+    return weighed.filter(F.col("discloses") & (F.col("surprise") >= F.lit(least))).select("group", "term")
 
 
 def _term_spans(text: str, terms: set[str], base: str) -> list[tuple[int, str, int]]:
@@ -231,16 +238,15 @@ def _term_spans(text: str, terms: set[str], base: str) -> list[tuple[int, str, i
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, row) of every row; ``row`` is a hash."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, row) of every row; ``row`` is a digest of id and text."""
     extracted = materialize(_extract(docs), "pii-spans")
     held = materialize(extracted.filter("base <> ''").groupBy("row").agg(
         F.first("base").alias("base"), F.first("found").alias("found"), F.first("held").alias("held"),
         F.count("*").alias("copies")), "pii-held")
     told = materialize(revealing(docs, held), "revealing-terms")
     # a group's rows meet its terms by the words of the text: a join by the group alone would be rows times terms
-    groups_of = held.select("row", F.explode(F.array_distinct(F.flatten("found.groups"))).alias("group")).join(
-        told.select("group").distinct(), "group", "left_semi")
-    words = _held_words(held.select("row", "held").join(groups_of.groupBy("row").agg(F.collect_list("group").alias("of")), "row"))
+    groups_of = held.select("row", F.explode(F.array_distinct(F.flatten("found.groups"))).alias("group"))
+    words = _words_of(held).join(told.select("term").distinct(), "term", "left_semi").join(groups_of, "row")
     marks = materialize(words.join(told, ["group", "term"], "left_semi").groupBy("row").agg(
         F.collect_set("term").alias("terms")), "revealing-marks")
     texts = held.select("row", F.col("held").alias("text"), "base").join(marks, "row")
@@ -255,7 +261,7 @@ def spans(docs: DataFrame) -> DataFrame:
             counts.append(len(more))
         return pa.RecordBatch.from_arrays([rows, pa.array(lists, pa.string()), pa.array(counts, pa.int64())],
                                           names=["row", "all", "n_more"])
-    marked = map_batches(texts.select("row", "text", "base", "terms"), run, "row bigint, all string, n_more bigint")
+    marked = map_batches(texts.select("row", "text", "base", "terms"), run, "row string, all string, n_more bigint")
     return extracted.drop("found", "held").join(marked, "row", "left").select(
         "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce("all", "base").alias("spans"),
         F.coalesce("n_more", F.lit(0)).alias("n_term"), "row")
@@ -277,7 +283,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """All documents with ``text`` sanitised and all other columns as they are."""
     names, marker = docs.columns, "_pii_spans"
     found = spans(docs).filter("spans <> ''").select(F.col("row").alias("_pii_row"), F.col("spans").alias(marker))
-    joined = docs.withColumn("_pii_row", F.xxhash64("doc_id", "text")).join(
+    joined = docs.withColumn("_pii_row", _row()).join(
         found.dropDuplicates(["_pii_row"]), "_pii_row", "left").select(*names, marker)
     at = names.index("text")
 
