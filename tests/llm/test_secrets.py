@@ -1,4 +1,7 @@
 import random
+import zlib
+
+import numpy as np
 
 from voxfield.llm import secrets
 
@@ -100,3 +103,61 @@ def test_short_and_punctuated_values(spark):
     after = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.train(docs)[0]).collect()}
     assert sum(planted[k] not in after[k] for k in planted) >= 0.95 * len(planted)
     assert all(after[k] == texts[k] for k in range(240) if k not in planted)
+
+
+def hard_corpus(rng, n=600):
+    """Keys beside what looks like keys: commit hashes, identifiers and encoded pictures; (texts, places of keys)."""
+    words = ["".join(rng.choices("aeionrst", k=rng.randint(2, 9))) for _ in range(300)]
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts, keys = [], []
+    for k in range(n):
+        body = rng.choices(words, k=40)
+        decoys = ["commit " + hexes(40), "id: " + "-".join(map(hexes, (8, 4, 4, 4, 12))),
+                  "src=data:image/png;base64," + "".join(rng.choices(letters, k=60)), "checksum = " + hexes(64)]
+        body.insert(rng.randrange(40), rng.choice(decoys))
+        value = None
+        if k % 3 == 0:
+            value = rng.choice([hexes(40), "".join(rng.choices(letters, k=32))])
+            body.insert(rng.randrange(40), rng.choice(["token = \"{}\"", "password={}", "secret: '{}'", "api_key = {}"]).format(value))
+        texts.append(" ".join(body))
+        keys.append((texts[-1].index(value), texts[-1].index(value) + len(value)) if value else None)
+    return texts, keys
+
+
+def test_held_out_precision_and_recall_among_hard_negatives(spark):
+    """A reviewer has labelled the candidates of some documents; the forest decides those of all others."""
+    texts, keys = hard_corpus(random.Random(12))
+    docs = documents(spark, texts)
+    reviewed = [(k, c.start, c.stop, int((c.start, c.stop) == keys[k])) for k, t in enumerate(texts[:300]) for c in secrets.candidates(t)]
+    labelled = spark.createDataFrame(reviewed, "doc_id long, start int, stop int, label int")
+    got = {(r["doc_id"], r["start"], r["stop"]) for r in secrets.findings(docs, labelled).collect() if r["doc_id"] >= 300}
+    want = {(k, *place) for k, place in enumerate(keys) if place and k >= 300}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    own = secrets.findings(docs).collect()
+    got = {(r["doc_id"], r["start"], r["stop"]) for r in own if r["held_out"]}
+    want = {(k, *place) for k, place in enumerate(keys) if place and zlib.crc32(str(k).encode()) % secrets.HOLD_OUT == 0}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.8 * len(got)
+
+
+def test_forest_votes_equal_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 6))
+    y = ((x[:, 0] > .5) & (x[:, 2] < .7)).astype(float)
+    forest = secrets.Forest(x, y, trees=9, depth=4, seed=1)
+
+    def walk(tree, row):
+        feature, cut, left, right, share = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] <= cut[at] else right[at]
+        return share[at]
+    want = [np.mean([walk(t, row) for t in forest.trees]) for row in x]
+    assert np.allclose(forest.predict(x), want) and ((forest.predict(x) >= .5) == y).mean() > .95
+
+
+def test_dictionary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_WORDS", 40)
+    docs = documents(spark, ["often oftener " * 50 + f"seldom{'abcdefghij'[k % 10]} " * 2 for k in range(30)])
+    words = secrets.ordinary_words(docs)[0]
+    assert "often" in words and "oftener" in words and "seldoma" not in words

@@ -7,10 +7,13 @@ likely its character transitions are in ordinary words, how much of it dictionar
 among labelled candidates of its path, and the log-odds of the words beside it. The forest (bootstrap, random feature
 subsets, Gini splits, NumPy) is trained on labelled findings, at most ``MOST_FINDINGS`` of each label; the
 words are counted over all documents in Spark, the transitions reduced to one table there, and the dictionary sent as a
-Bloom filter of ``FILTER_BITS`` bits a word (under 0.1 % of other strings pass).
+Bloom filter of ``FILTER_BITS`` bits a word (under 0.1 % of other strings pass). The dictionary holds the words that stand
+twice and make up at least 1 / ``MOST_WORDS`` of all words; there can't be more than ``MOST_WORDS`` of those, so the filter
+has 16 MB at most.
 
 Labelled findings are a table (doc_id, start, stop, label). Where no reviewer has made one, ``labelled_findings`` marks
-the clear cases: a published key format or a mixed run that is assigned to a name for a credential is one, a run of
+the clear cases in the documents that are learned from (all but one in ``HOLD_OUT``, by a hash of the id; what is found in
+the others is the forest's word alone): a published key format or a mixed run that is assigned to a name for a credential is one, a run of
 letters or of digits alone is none unless it is assigned to such a name, and all other candidates stay unlabelled.
 
 Defined results: a null or empty text has no candidates; a null path counts as an unknown one; equal rows give equal
@@ -29,15 +32,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.store import materialize
-from .common import map_batches, plain_words, send, uniform
+from .common import bucket, map_batches, plain_words, send, uniform
 
 LEAST = 16
 LEAST_VALUE = 8
 NEAR = 48
 MOST_FINDINGS = 3000
+HOLD_OUT = 5
+MOST_WORDS = 1 << 23
 FILTER_BITS = 16
 FILTER_HASHES = 6
 WORD_LETTERS = (4, 14)
@@ -52,6 +57,9 @@ _assigned = re.compile(r"(?i)(token|secret|passwo?r?d|credential|api[_ -]?key|ac
 #: Published key formats: cloud access keys, code-hosting, chat, payment and map tokens.
 _formats = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|"
                       r"[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}")
+#: What names a digest, a revision or encoded data; identifiers in their usual spelling.
+_harmless = re.compile(r"(?i)(commit|revision|checksum|digest|\bsha\d*|\bmd5|base64)\W{0,4}$")
+_uuid = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 _classes = (str.isdigit, str.islower, str.isupper)
 
 
@@ -90,6 +98,8 @@ def clear_label(c: Candidate) -> int | None:
         return 1
     if c.value.isalpha() or c.value.isdigit():
         return None if _assigned.search(c.before) else 0
+    if _harmless.search(c.before) or _uuid.fullmatch(c.value) and not _assigned.search(c.before):
+        return 0
     digits = sum(ch.isdigit() for ch in c.value)
     return 1 if _assigned.search(c.before) and digits >= 3 and len(set(c.value)) >= 8 else None
 
@@ -297,7 +307,8 @@ def ordinary_words(docs: DataFrame) -> tuple[WordFilter, np.ndarray]:
     pairs = np.zeros(38 * 38)
     for r in map_batches(counts, reduce, "pair bigint, n bigint", rows=8192).groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"]] = r["n"]
-    listed = counts.filter((F.col("n") > 1) & F.length("word").between(*WORD_LETTERS)).select("word")
+    least = max(2.0, (counts.agg(F.sum("n")).first()[0] or 0) / MOST_WORDS)
+    listed = counts.filter((F.col("n") >= least) & F.length("word").between(*WORD_LETTERS)).select("word")
     size = -(-max(1, listed.count()) * FILTER_BITS // 64)
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -311,6 +322,11 @@ def ordinary_words(docs: DataFrame) -> tuple[WordFilter, np.ndarray]:
     return WordFilter(cells.view(np.uint64)), pairs.reshape(38, 38)
 
 
+def held_out() -> Column:
+    """Whether a document's clear cases aren't learned from."""
+    return bucket("doc_id", HOLD_OUT) == 0
+
+
 def labelled_findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(doc_id, start, stop, label) of the candidates whose case is clear."""
     return _extract(docs, path).filter("label is not null").select("doc_id", "start", "stop", "label")
@@ -318,10 +334,11 @@ def labelled_findings(docs: DataFrame, path: str | None = "source") -> DataFrame
 
 def train(docs: DataFrame, labelled: DataFrame | None = None, path: str | None = "source",
           most: int = MOST_FINDINGS, seed: int = 11) -> tuple[Model, DataFrame]:
-    """The model, and the stored candidates of all documents. Without ``labelled`` the clear cases are learned from."""
+    """The model, and the stored candidates of all documents. Without ``labelled`` the clear cases are learned from, but for
+    those of held-out documents."""
     path = path if path in docs.columns else None
     found = materialize(_extract(docs, path), "candidates")
-    known = found.filter("label is not null")
+    known = found.filter(F.col("label").isNotNull() & ~held_out())
     if labelled is not None:
         marks = labelled.groupBy("doc_id", "start", "stop").agg(F.max("label").cast("int").alias("label"))
         known = found.drop("label").join(marks, ["doc_id", "start", "stop"])
@@ -336,7 +353,8 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, path: str | None =
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, path: str | None = "source",
              threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, stop, score, value_sha256) of the candidates that the forest keeps; places in code points."""
+    """(doc_id, start, stop, score, value_sha256, held_out) of the candidates that the forest keeps; places in code points.
+    ``held_out`` tells findings in documents whose clear cases weren't learned from."""
     model, found = train(docs, labelled, path)
     ids = docs.schema["doc_id"].dataType.simpleString()
 
@@ -353,8 +371,9 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, path: str | Non
             [batch.column(0).take(picked), batch.column(2).take(picked), batch.column(3).take(picked),
              pa.array(scores[keep]), pa.array(hashes, pa.string())],
             names=["doc_id", "start", "stop", "score", "value_sha256"])
-    return map_batches(found.drop("label"), run, f"doc_id {ids}, start int, stop int, score double, value_sha256 string",
+    kept = map_batches(found.drop("label"), run, f"doc_id {ids}, start int, stop int, score double, value_sha256 string",
                        rows=4096, sent=send(docs.sparkSession, model))
+    return kept.withColumn("held_out", held_out())
 
 
 def redact(docs: DataFrame, model: Model, path: str | None = "source", threshold: float = 0.5,
