@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,29 @@ def test_forward_equals_plain_sum():
     assert np.isfinite(lattice_lm.word_logs(own, own.scores, [b"x" * 5_000])).all()
 
 
+@pytest.mark.parametrize("tile", [16, 100, 1 << 14])
+def test_long_words_equal_short_ones(tile):
+    own, rng = lattice_lm.pieces(None), random.Random(5)
+    word = "".join(rng.choices(["th", "er", "ing", "an", "q", "é", "日"], k=200)).encode()
+    long = lattice_lm.LongWord(own, own.scores, word, tile)
+    letters = next(iter(lattice_lm.lattices([word])))[1]
+    arcs = []
+    reach = lattice_lm.forward(own, own.scores, letters, arcs)
+    assert np.allclose(long.forward(), reach[:, 0], atol=1e-8) and math.isclose(long.backward()[0], reach[-1, 0], abs_tol=1e-7)
+    monkey, lattice_lm.LONG = lattice_lm.LONG, 10 ** 9
+    want = lattice_lm.expected(own, own.scores, [word], np.array([3.0]))
+    lattice_lm.LONG = monkey
+    assert np.allclose(long.expected(len(own.scores)) * 3, want, atol=1e-6)
+    assert np.allclose(lattice_lm.expected(own, own.scores, [b"short", word], np.array([0.0, 3.0])), want, atol=1e-6)
+
+
+def test_a_word_of_200000_letters_is_fast(spark):
+    docs = documents(spark, ["some words " * 30, "abcdefghij" * 20_000, "some " + "x" * 100_000 + " more"])
+    start = time.time()
+    rows = lattice_lm.score(docs, F.lit(True)).collect()
+    assert len(rows) == 3 and all(math.isfinite(r["score"]) for r in rows) and time.time() - start < 60
+
+
 def test_expectation_raises_the_likelihood():
     own, rng = lattice_lm.pieces(None), random.Random(2)
     words = ["".join(rng.choices(["th", "er", "ing", "an"], k=rng.randint(1, 4))).encode() for _ in range(80)]

@@ -3,7 +3,8 @@
 The pieces are those of an existing vocabulary; its order of merges gives the first scores, and expectation
 maximisation over the lattices of all training words turns them into log probabilities. A text is its words, each led
 by a space, and one end. Segmentations never cross words, so the probability of a text is the product over its words,
-and the log-space forward recursion runs once for every distinct word of the corpus, many words of one length at a time.
+and the log-space forward recursion runs once for every distinct word of the corpus, many words of one length at a time;
+a long word is computed alone, in tiles of positions.
 Every single byte is a piece, so every text has a probability.
 
 Corpus counts: documents are spread over blocks of bounded size by a hash. A block counts its distinct words; the
@@ -39,6 +40,8 @@ PRIOR = 2000.0
 SMOOTHING = 0.1
 #: Lattice positions computed at a time.
 BATCH_CELLS = 400_000
+#: Words of more bytes are computed alone, tile by tile.
+LONG = 400
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -101,6 +104,99 @@ def pieces(path: str | None) -> Pieces:
     return cache["pieces", path]
 
 
+class LongWord:
+    """Forward and backward recursions of one long word, tile by tile of its positions.
+
+    ``weights[i, d]`` is the probability of the piece of d + 1 bytes that ends at position i (0: there is none); no piece is
+    longer than the trie is deep, so a tile needs the few positions before it only. Values are kept in range by powers that
+    are taken out and counted as logs.
+    """
+
+    def __init__(self, own: Pieces, logs: np.ndarray, word: bytes, tile: int = 1 << 14) -> None:
+        self.own, self.probability, self.tile = own, np.exp(logs), tile
+        self.letters = np.frombuffer(b" " + word, dtype=np.uint8).astype(np.int32)
+        self.length = len(self.letters)
+
+    def arcs(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and weights by end position start + 1 .. stop and length, (positions, longest); piece -1 for none."""
+        own, depth = self.own, self.own.longest
+        first = max(0, start - depth + 1)
+        begins = np.arange(first, stop)
+        node = np.ones(len(begins), dtype=np.int32)
+        pieces_at = np.full((stop - start, depth), -1, dtype=np.int32)
+        for d in range(depth):
+            inside = begins + d < stop
+            begins, node = begins[inside], node[inside]
+            node = own.next[node * 256 + self.letters[begins + d]]
+            alive = node > 0
+            begins, node = begins[alive], node[alive]
+            if not len(begins):
+                break
+            ends = begins + d  # the piece ends after this letter
+            here = ends >= start
+            pieces_at[ends[here] - start, d] = own.piece[node[here]]
+        return pieces_at, np.where(pieces_at >= 0, self.probability[pieces_at], 0.0)
+
+    def forward(self) -> np.ndarray:
+        """Log probabilities of reaching every position."""
+        depth, out = self.own.longest, np.empty(self.length + 1)
+        out[0], taken = 0.0, 0.0
+        before = np.zeros(depth)
+        before[-1] = 1.0
+        for start in range(0, self.length, self.tile):
+            stop = min(self.length, start + self.tile)
+            weights = np.ascontiguousarray(self.arcs(start, stop)[1][:, ::-1])
+            row = np.concatenate([before, np.empty(stop - start)])
+            for k in range(stop - start):
+                row[depth + k] = value = weights[k] @ row[k:depth + k]
+                if value < 1e-100:
+                    row[k + 1:depth + k + 1] /= value
+                    taken += math.log(value)
+                    value = 1.0
+                out[start + k + 1] = math.log(value) + taken
+            before = row[-depth:]
+        return out
+
+    def backward(self) -> np.ndarray:
+        """Log probabilities of reaching the end from every position."""
+        depth, out = self.own.longest, np.empty(self.length + 1)
+        out[-1], taken = 0.0, 0.0
+        after = np.zeros(depth)
+        after[0] = 1.0
+        for stop in range(self.length, 0, -self.tile):
+            start = max(0, stop - self.tile)
+            # by begin position: the piece of d + 1 bytes from b ends at b + d + 1
+            far = min(self.length, stop + depth)
+            ends = self.arcs(start, far)[1]
+            weights = np.zeros((stop - start, depth))
+            for d in range(depth):
+                n = max(0, min(stop, far - d) - start)
+                weights[:n, d] = ends[d:d + n, d]
+            row = np.concatenate([np.empty(stop - start), after])
+            for k in range(stop - start - 1, -1, -1):
+                row[k] = value = weights[k] @ row[k + 1:k + 1 + depth]
+                if value < 1e-100:
+                    row[k:k + depth] /= value
+                    taken += math.log(value)
+                    value = 1.0
+                out[start + k] = math.log(value) + taken
+            after = row[:depth].copy()
+        return out
+
+    def expected(self, size: int) -> np.ndarray:
+        """Expected uses of every piece."""
+        reach, rest = self.forward(), self.backward()
+        total, out = reach[-1], np.zeros(size)
+        for start in range(0, self.length, self.tile):
+            stop = min(self.length, start + self.tile)
+            found, weights = self.arcs(start, stop)
+            at, d = np.nonzero(found >= 0)
+            ends = start + at + 1
+            share = weights[at, d] * np.exp(reach[ends - d - 1] + rest[ends] - total)
+            out += np.bincount(found[at, d], weights=share, minlength=size)
+        return out
+
+
 def lattices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, bytes) of words of one length, led by a space, in batches of bounded size."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -142,6 +238,12 @@ def forward(own: Pieces, logs: np.ndarray, letters: np.ndarray, arcs: list | Non
 def expected(own: Pieces, logs: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Expected uses of every piece in the lattices of words that occur ``counts`` times."""
     out = np.zeros(len(logs))
+    long = [k for k, w in enumerate(words) if len(w) > LONG]
+    for k in long:
+        out += LongWord(own, logs, words[k]).expected(len(logs)) * counts[k]
+    if long:
+        counts = np.delete(counts, long)
+        words = [w for w in words if len(w) <= LONG]
     for places, letters in lattices(words):
         arcs: list = []
         reach = forward(own, logs, letters, arcs)
@@ -159,8 +261,14 @@ def expected(own: Pieces, logs: np.ndarray, words: list[bytes], counts: np.ndarr
 def word_logs(own: Pieces, logs: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Natural log of each word's marginal probability."""
     out = np.zeros(len(words))
-    for places, letters in lattices(words):
-        out[places] = forward(own, logs, letters)[-1]
+    short = []
+    for k, w in enumerate(words):
+        if len(w) > LONG:
+            out[k] = LongWord(own, logs, w).forward()[-1]
+        else:
+            short.append(k)
+    for places, letters in lattices([words[k] for k in short]):
+        out[np.array(short)[places]] = forward(own, logs, letters)[-1]
     return out
 
 
