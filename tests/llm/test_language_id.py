@@ -43,6 +43,41 @@ def test_windows_cover_the_whole_text():
     assert model.predict(["ab" * 200 + "cd" * 5000])[0] == ["b"]
 
 
+def test_large_alphabets_keep_all_letters():
+    """Two languages over the same thousands of letters in other orders, and one over a few hundred."""
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    pairs = {name: [rng.choice(letters) + rng.choice(letters) for _ in range(400)] for name in ("ja", "zh")}
+    pairs["ko"] = [chr(0xAC00 + rng.randrange(500)) for _ in range(200)]
+    text = lambda name, n: "".join(rng.choices(pairs[name], k=n))
+    model = language_id.fit({name: [text(name, 300) for _ in range(12)] for name in pairs}, 20_000)
+    assert len(set(model.letters[[ord(c) for own in pairs.values() for w in own for c in w]].tolist())) > 900
+    for name in pairs:
+        assert model.predict([text(name, 60) for _ in range(20)])[0] == [name] * 20
+
+
+def test_steps_equal_the_automaton():
+    rng = random.Random(8)
+    for k in (2, 20, 500):
+        automaton = language_id.suffix_automaton([rng.randrange(1, k + 1) for _ in range(2000)])
+        steps = language_id.Steps(8)
+        steps.place([3, 5], k + 2)
+        root = steps.add(automaton, k + 2)
+        numbers, todo = {0: root}, [0]
+        while todo:
+            state = todo.pop()
+            for symbol in range(1, k + 1):
+                cell = int(steps.packed[numbers[state] + symbol])
+                assert (cell >> 32 == numbers[state]) == (symbol in automaton[state])
+                if symbol in automaton[state]:
+                    to = automaton[state][symbol]
+                    if to not in numbers:
+                        numbers[to] = cell & 0xFFFFFFFF
+                        todo.append(to)
+                    assert numbers[to] == cell & 0xFFFFFFFF
+        assert len(set(numbers.values())) == len(automaton)
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(7)
     names = [rng.choice(list(WORDS)) for _ in range(300)]

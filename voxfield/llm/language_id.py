@@ -4,11 +4,13 @@ For every language a suffix automaton is built of labelled text. A text is parse
 that occur in that text; the language whose phrases need the fewest bits (phrases times the logarithm of the reference
 length, which makes references of different lengths comparable) wins.
 
-The automata are one table of (state, symbol) in which a step that the automaton lacks leads on from the root and counts
-a phrase, so a whole batch of texts is parsed in all languages at once, one symbol of every window a step. A text is
-parsed in windows of ``WINDOW`` symbols, each from the root; all of it is parsed.
+The automata are packed into one sparse table: the step of a state by a symbol stands at the place state + symbol, marked
+with its state, and states are numbered so that no two steps meet. A step that is not there leads on from the root and
+counts a phrase, so a whole batch of texts is parsed in all languages at once, one symbol of every window a step. A text
+is parsed in windows of ``WINDOW`` symbols, each from the root; all of it is parsed.
 
-Symbols are lower-cased letters; a run of other characters is one space. The references are bounded by
+Symbols are lower-cased letters, every letter of the labelled text its own one, whatever the size of the alphabet; letters
+that no labelled text has are one symbol, and a run of other characters is one space. The references are bounded by
 ``REFERENCE_CHARS`` for a language and ``ALL_CHARS`` together, taken from a sample chosen by a hash of the ids.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without labelled text every text is
@@ -65,11 +67,52 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return following
 
 
+class Steps:
+    """The steps of several automata in one array; a state's number is the place from which its symbols count."""
+
+    def __init__(self, room: int = 1 << 16) -> None:
+        self.packed = np.full(room, -1, dtype=np.int64)
+        self.numbers: set[int] = set()
+        #: Where the search for a state with so many symbols goes on; holes are left to states with fewer.
+        self.next: dict[int, int] = {}
+
+    def _grow(self, room: int) -> None:
+        if room > len(self.packed):
+            self.packed = np.concatenate([self.packed, np.full(max(room, 2 * len(self.packed)) - len(self.packed), -1, np.int64)])
+
+    def place(self, symbols: list[int], room: int) -> int:
+        """A number for a state with these symbols (ascending); ``room`` is above every symbol."""
+        least = symbols[0] if symbols else 0
+        slot = max(self.next.get(len(symbols), 0), least)
+        while True:
+            number = slot - least
+            self._grow(number + room + 1)
+            if number not in self.numbers and all(self.packed[number + s] < 0 for s in symbols):
+                break
+            slot += 1
+        self.numbers.add(number)
+        for s in symbols:
+            self.packed[number + s] = number << 32
+        self.next[len(symbols)] = slot
+        return number
+
+    def add(self, automaton: list[dict[int, int]], room: int) -> int:
+        """Pack an automaton, states of many symbols first; returns the number of its root."""
+        order = sorted(range(len(automaton)), key=lambda k: -len(automaton[k]))
+        numbers = [0] * len(automaton)
+        for k in order:
+            numbers[k] = self.place(sorted(automaton[k]), room)
+        for k, following in enumerate(automaton):
+            for symbol, to in following.items():
+                self.packed[numbers[k] + symbol] |= numbers[to]
+        return numbers[0]
+
+
 def letter_table(alphabet: list[str]) -> np.ndarray:
     """Symbol of every code point: 0 for no letter, then the alphabet, then one for all other letters."""
     codes = {c: k + 1 for k, c in enumerate(alphabet)}
     other = len(alphabet) + 1
-    table = np.zeros(0x110000, dtype=np.uint8)
+    table = np.zeros(0x110000, dtype=np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
@@ -82,7 +125,7 @@ def letter_table(alphabet: list[str]) -> np.ndarray:
 class Model:
     languages: list[str]
     letters: np.ndarray
-    #: For (state, symbol) four times the next state's row, plus the phrases that the step closes.
+    #: At state + symbol: the state, times 2 ** 32, plus the next state.
     steps: np.ndarray
     roots: np.ndarray
     symbols: int
@@ -108,19 +151,34 @@ class Model:
         sizes = np.diff(bounds)
         windows = -(-sizes // WINDOW)
         first = np.concatenate([[0], np.cumsum(windows)])
-        rest = self.symbols - 1  # a symbol that changes nothing
-        laid = np.full((int(first[-1]), WINDOW), rest, dtype=np.uint8)
         within = np.arange(len(codes)) - np.repeat(bounds[:-1], sizes)
+        laid = np.zeros((int(first[-1]), WINDOW), dtype=np.int32)
         laid.ravel()[np.repeat(first[:-1], sizes) * WINDOW + within] = codes
-        laid = np.ascontiguousarray(laid.T)
+        lengths = np.minimum(WINDOW, np.repeat(sizes, windows) - WINDOW * (np.arange(first[-1]) - np.repeat(first[:-1], windows)))
+        order = np.argsort(-lengths, kind="stable")  # at every step the windows that go on are the first ones
+        active = np.searchsorted(-lengths[order], -np.arange(WINDOW), side="left")
+        laid = np.ascontiguousarray(laid[order].T)
         count = len(self.languages)
-        state = np.repeat(self.roots[:, None], laid.shape[1], axis=1)
+        roots = self.roots[:, None].astype(np.int64)
+        state = np.repeat(roots, laid.shape[1], axis=1)
         closed = np.zeros((count, laid.shape[1]), dtype=np.int32)
-        for column in laid:
-            step = self.steps.take(state + column)
-            closed += step & 3
-            state = step >> 2
-        closed += state != self.roots[:, None]
+        for column, n in zip(laid, active.tolist()):
+            if not n:
+                break
+            here, symbol = state[:, :n], column[:n]
+            step = self.steps.take(here + symbol)
+            lost = np.flatnonzero(step >> 32 != here)
+            step &= 0xFFFFFFFF
+            if len(lost):  # the phrase ends; the symbol begins the next one, or is one if the reference lacks it
+                language, at = np.divmod(lost, n)
+                root = self.roots[language]
+                again = self.steps.take(root + symbol[at])
+                known = again >> 32 == root
+                closed[language, at] += (here.ravel()[lost] != root).astype(np.int32) + ~known
+                step.ravel()[lost] = np.where(known, again & 0xFFFFFFFF, root)
+            state[:, :n] = step
+        closed += state != roots
+        closed[:, order] = closed.copy()
         out = np.zeros((len(texts), count), dtype=np.int64)
         some = np.flatnonzero(windows)
         if len(some):
@@ -150,11 +208,10 @@ def fit(samples: dict[str, list[str]], reference_chars: int = REFERENCE_CHARS) -
             for c in t.lower():
                 if c in counts:
                     counts[c] += 1
-    alphabet = sorted(sorted(seen, key=lambda c: (-counts[c], c))[:250])
-    model = Model(languages, letter_table(alphabet), np.zeros(0, np.int32), np.zeros(0, np.int32), len(alphabet) + 3,
-                  np.zeros(0))
+    alphabet = sorted(seen, key=lambda c: (-counts[c], c))  # frequent letters have near numbers
+    model = Model(languages, letter_table(alphabet), np.zeros(0, np.int64), np.zeros(0, np.int64), len(alphabet) + 2, np.zeros(0))
     most = max(1000, min(reference_chars, ALL_CHARS // max(1, len(languages))))
-    tables, roots, bits, row = [], [], [], 0
+    steps, roots, bits = Steps(), [], []
     for name in languages:
         codes, bounds, _ = model.coded(samples[name])
         parts = sorted(((k, codes[s:min(s + EXTRACT, b)]) for a, b in zip(bounds, bounds[1:])
@@ -162,24 +219,11 @@ def fit(samples: dict[str, list[str]], reference_chars: int = REFERENCE_CHARS) -
         text: list[int] = []
         for _, part in parts:
             text += part.tolist()[:most - len(text)]
-        automaton = suffix_automaton(text)
-        width, root = model.symbols, row * model.symbols
-        start = np.full(width, root << 2 | 1, dtype=np.int32)  # a symbol that the reference lacks is a phrase
-        for symbol, to in automaton[0].items():
-            start[symbol] = (row + to) * width << 2
-        table = np.repeat((start + 1)[None, :], len(automaton), axis=0)
-        for state, following in enumerate(automaton):
-            for symbol, to in following.items():
-                table[state, symbol] = (row + to) * width << 2
-        table[0] = start
-        table[:, width - 1] = (row + np.arange(len(automaton))) * width << 2
-        tables.append(table)
-        roots.append(root)
+        roots.append(steps.add(suffix_automaton(text), model.symbols))
         bits.append(np.log2(max(2, len(text))))
-        row += len(automaton)
     if languages:
-        model.steps = np.concatenate(tables).ravel()
-        model.roots, model.phrase_bits = np.array(roots, dtype=np.int32), np.array(bits)
+        steps._grow(max(steps.numbers) + model.symbols + 1)
+        model.steps, model.roots, model.phrase_bits = steps.packed, np.array(roots, dtype=np.int64), np.array(bits)
     return model
 
 
