@@ -11,7 +11,10 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.store import materialize
+
 SLICE_ROWS = 256
+SLICE_BYTES = 32 << 20
 #: Every ASCII byte that is neither a letter nor a digit becomes a space.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -25,11 +28,17 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_PLAIN).split() if text else []
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the Python objects of few texts exist at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches by rows and by bytes, so that the Python objects of few texts exist at a time."""
     for batch in batches:
+        texts = [k for k, kind in enumerate(batch.schema.types) if pa.types.is_string(kind) or pa.types.is_binary(kind)]
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            part = batch.slice(start, rows)
+            if part.nbytes > most_bytes and texts:
+                widest = max(texts, key=lambda k: part.column(k).nbytes)
+                yield from slices_of(part, widest, most_bytes)
+            else:
+                yield part
 
 
 def slices_of(batch: pa.RecordBatch, column: int, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
@@ -72,6 +81,27 @@ def map_batches(df: DataFrame, fn: Callable[..., pa.RecordBatch | None], schema:
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the filter of ``among``: 64 of each cell.
+MOST_CELLS = 1 << 20
+
+
+def among(df: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """``df`` without most rows whose key isn't in ``others`` (a stored table), before anything is shuffled.
+
+    Keys set bits in a table of at most ``MOST_CELLS`` * 64 bits (8 MB), which a scalar subquery carries into the scan. The
+    join that follows decides; with more keys than bits this leaves all rows and costs a lookup.
+    """
+    cells = 1 << min(MOST_CELLS.bit_length() - 1, max(4, (others.count() // 4).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(64 * cells))
+    bits = others.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("id")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    filled = others.sparkSession.range(cells).join(bits, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")).alias("c"))
+    table = filled.agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["b"]).alias("bits"))
+    cell = F.get(F.col("_bits"), F.shiftright(place, 6).cast("int"))
+    hit = F.getbit(cell, place.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return df.withColumn("_bits", materialize(table, "key-bits").scalar()).filter(hit).drop("_bits")
+
+
 def bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))

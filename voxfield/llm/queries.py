@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (conversation_trie, decontamination, imatch, language_id, lattice_lm, packing, periodic_runs, pii,
                quality_rules, secrets, simhash, token_counts, toxicity)
+from ..functions.store import materialize
 from .common import bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after its repeated lines are edited out."""
     docs = table(spark, sf_dir, "documents")
-    return token_counts.recount(docs, token_counts.repeated_lines(docs)).drop("text")
+    trees = materialize(token_counts.build(docs), "token-trees")
+    return token_counts.recount(docs, token_counts.repeated_lines(docs), trees=trees, texts=False)
 
 
 @query("op3_secret_scan")

@@ -22,7 +22,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices_of
+from ..functions.store import materialize
+from .common import among, slices_of
 from .tokens import Encoder, encoder
 
 SEGMENT = 64
@@ -151,53 +152,67 @@ def leaves(texts: list[str | None], coder: Encoder) -> list[tuple[list[int], lis
 
 
 def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, leaf_chars, leaf_tokens): the tree of every document."""
+    """(doc_id, row, n_tokens, leaf_chars, leaf_tokens): the tree of every document; ``row`` is a hash of its text."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         coder = encoder(vocabulary)
         for batch in batches:
-            for part in slices_of(batch, 1):
-                trees = leaves(part.column(1).to_pylist(), coder)
+            for part in slices_of(batch, 2):
+                trees = leaves(part.column(2).to_pylist(), coder)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([sum(t) for _, t in trees], pa.int64()),
+                    [part.column(0), part.column(1), pa.array([sum(t) for _, t in trees], pa.int64()),
                      pa.array([c for c, _ in trees], pa.list_(pa.int32())),
                      pa.array([t for _, t in trees], pa.list_(pa.int32()))],
-                    names=["doc_id", "n_tokens", "leaf_chars", "leaf_tokens"])
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {ids}, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
+                    names=["doc_id", "row", "n_tokens", "leaf_chars", "leaf_tokens"])
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(
+        run, f"doc_id {ids}, row bigint, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
 
 
-def recount(docs: DataFrame, edits: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def recount(docs: DataFrame, edits: DataFrame, vocabulary: str | None = None, trees: DataFrame | None = None,
+            texts: bool = True) -> DataFrame:
     """(doc_id, n_tokens, n_edits, n_tokens_after, n_encoded, text): every document after its edits.
 
-    ``n_encoded`` counts the tokens that the edits made anew. The edits of a document travel to its text in one array,
-    ordered by ``seq``.
+    ``trees`` is a stored table that ``build`` made of ``docs``. Only documents with edits are read again: they meet their
+    tree and their edits (in one array, ordered by ``seq``), and what the edits touch is encoded; ``n_encoded`` counts
+    those tokens. All other documents keep their stored count. Without ``texts`` there is no ``text`` in the result.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
+    trees = materialize(build(docs, vocabulary), "token-trees") if trees is None else trees
     one = F.struct(*(F.col(c).cast("bigint").alias(c) for c in ("seq", "start", "stop")), F.col("replacement"))
-    lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).cast(_edit).alias("_edits"))
-    joined = docs.select("doc_id", "text").hint("merge").join(lists, "doc_id", "left")  # any number of edits
+    lists = edits.filter("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).cast(_edit).alias("_edits"))
+    lists = materialize(lists, "edits")
+    edited = among(docs.select("doc_id", "text"), "doc_id", lists).withColumn("row", F.xxhash64("text")).join(lists, "doc_id")
+    joined = edited.join(among(trees, "doc_id", lists).dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).select(
+        "doc_id", "text", "_edits", "leaf_chars", "leaf_tokens")
 
     def run(batches):
         coder = encoder(vocabulary)
         for batch in batches:
             for part in slices_of(batch, 1):
-                texts = part.column(1).to_pylist()
-                trees = leaves(texts, coder)
                 rows = []
-                for text, tree, own in zip(texts, trees, part.column(2).to_pylist()):
-                    document, before = Document(text or "", *tree), sum(tree[1])
-                    for e in own or ():
+                for text, own, characters, tokens in zip(*(part.column(k).to_pylist() for k in range(1, 5))):
+                    document = Document(text or "", characters, tokens)
+                    for e in own:
                         document.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "", coder)
-                    rows.append((before, len(own or ()), document.tree.tokens, document.encoded,
-                                 document.text if own else text))
+                    rows.append((sum(tokens), len(own), document.tree.tokens, document.encoded, document.text))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))],
                     names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded", "text"])
-    return joined.mapInArrow(
+    changed = joined.mapInArrow(
         run, f"doc_id {ids}, n_tokens bigint, n_edits int, n_tokens_after bigint, n_encoded bigint, text string")
+    counted = trees.select("doc_id", "row", "n_tokens").join(lists.select("doc_id"), "doc_id", "left_anti")
+    if texts:
+        others = docs.select("doc_id", "text").join(lists.select("doc_id"), "doc_id", "left_anti").select(
+            F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), "text")
+        counted = others.join(counted.dropDuplicates(["doc_id", "row"]), F.col("_id").eqNullSafe(F.col("doc_id"))
+                              & (F.col("_row") == F.col("row"))).select("doc_id", "n_tokens", "text")
+    else:
+        changed = changed.drop("text")
+    same = counted.select("doc_id", "n_tokens", F.lit(0).alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"),
+                          F.lit(0).cast("bigint").alias("n_encoded"), *(["text"] if texts else []))
+    return changed.unionByName(same)
 
 
 def line_edits(text: str | None) -> list[tuple[int, int]]:
