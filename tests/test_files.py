@@ -2,16 +2,18 @@
 
 import json
 import os
+import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tests.toys import FOLDING, PLANAR, SLIDING
 from voxfield.operators import convergence as C, grid as V, specs as X, survey as S
 from voxfield.sources import tables as A
 from voxfield.sources.descriptions import scan_descriptions
 from voxfield.streaming import jobs as L
+from voxfield.streaming.snapshots import KeyedTable
 
 XML = """<?xml version="1.0"?>
 <robot name="{name}">
@@ -160,8 +162,7 @@ def test_series_stream_follows_the_log(spark, tmp_path):
     assert [r.smooth for r in out.orderBy("step").collect()] == [1.0, 1.5, 2.0, 3.0, 4.0, 5.0]
 
 
-def test_survey_stream_compacts_its_updates(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(L, "COMPACT_EVERY", 2)
+def test_survey_stream_keeps_bounded_snapshots(spark, tmp_path):
     rows = [("v", i, float(i % 4), float(i % 3), 0.0, (i * 37 % 101) / 101, i % 5 / 4) for i in range(60)]
     samples = spark.createDataFrame(rows, "variant_id string, sample_id bigint, x double, y double, z double, g_man double, g_self double")
     full = samples.selectExpr("*", "0.5D AS g_lim", "0.5D AS g_iso", "0.5D AS g_sigma", "cast(sample_id % 64 as int) AS sphere_bin")
@@ -176,4 +177,37 @@ def test_survey_stream_compacts_its_updates(spark, tmp_path, monkeypatch):
     got = out.select(want[0].__fields__).orderBy("cell_idx").collect()
     close = lambda a, b: all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:]))
     assert len(got) == len(want) == 12 and all(map(close, got, want))
-    assert sorted(os.listdir(f"{path}/compact")) == ["upto=1", "upto=3"]
+    assert sorted(n for n in os.listdir(f"{path}/manifest") if n[0] == "b") == ["batch=3", "batch=4"]
+    assert {n[:8] for n in os.listdir(f"{path}/data")} == {"version="} and len(os.listdir(f"{path}/data")) <= 3
+
+
+def test_keyed_table_over_many_batches(spark, tmp_path):
+    """Ten batches, one of them repeated after the next had begun; files stay bounded."""
+    schema = T.StructType.fromDDL("k bigint, n bigint")
+    table = KeyedTable(spark, f"{tmp_path}/sums", schema, ["k"], {"n": F.sum("n")}, buckets=4)
+    newest = KeyedTable(spark, f"{tmp_path}/last", schema, ["k"], buckets=4)
+    rng, sums, last = random.Random(4), {}, {}
+    for batch in range(10):
+        rows = {rng.randrange(9): rng.randrange(100) for _ in range(4)}
+        updates = spark.createDataFrame(list(rows.items()), schema)
+        for _ in range(1 + (batch == 6)):
+            table.merge(updates, batch)
+            newest.merge(updates, batch)
+        for k, n in rows.items():
+            sums[k], last[k] = sums.get(k, 0) + n, n
+    assert {r.k: r.n for r in table.read().collect()} == sums and {r.k: r.n for r in newest.read().collect()} == last
+    folders = [d for d, _, _ in os.walk(f"{tmp_path}/sums/data") if "bucket=" in d]
+    assert len(folders) <= 8 and len(os.listdir(f"{tmp_path}/sums/manifest")) <= 4
+
+
+def test_heat_monitor_with_a_hot_key(spark, tmp_path):
+    """Half of the samples lie outside the grid, most others in one cell; three batches equal one pass."""
+    rows = [("v", None if i % 2 else i // 2 % 40 // 39, i, i % 3 != 0, (i * 7919 % 1009) / 1009) for i in range(1, 3001)]
+    events = spark.createDataFrame(rows, "variant_id string, cell_idx bigint, sample_id bigint, passed boolean, g_man double")
+    source, path, offsets = (str(tmp_path / n) for n in ("source", "state", "offsets"))
+    for low, high in ((1, 900), (901, 2100), (2101, 3000)):
+        events.filter(F.col("sample_id").between(low, high)).write.mode("append").parquet(source)
+        out = L.heat_monitor(spark.readStream.schema(events.schema).parquet(source), path, offsets, 200, 100)
+    want = C.update_heat(events, C.significant_events(events), 200, 100)
+    assert sorted((r.checkpoint, r.heat, r.late) for r in out.collect()) == sorted((r.checkpoint, r.heat, 0) for r in want.collect())
+    assert L._heat_tables(spark, path)["cells"].read().count() == 3

@@ -1,20 +1,20 @@
 """The incremental behaviours as Structured Streaming queries.
 
-Each batch writes its own folder, named by the batch id, so that a batch repeated after a failure replaces its output.
+Results and state are keyed tables that batches merge into (``snapshots``); the metrics tail writes a folder for each
+batch, named by the batch id. A batch repeated after a failure gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.store import materialize
+from ..functions.store import materialize, scratch
 from ..operators import convergence as C, evaluation as J
 from ..operators.grid import assign_cells
 from ..operators.survey import CELL, survey_cells
+from .snapshots import KeyedTable
 
 
 def _run(stream: DataFrame, each, checkpoint: str, mode: str) -> None:
@@ -23,38 +23,11 @@ def _run(stream: DataFrame, each, checkpoint: str, mode: str) -> None:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-COMPACT_EVERY = 8
-
-
-def _batch_writer(path: str, keys: list[str] | None = None):
-    """Write each batch to its own folder. With ``keys`` every ``COMPACT_EVERY`` batches the last update of each key is
-    written as one folder more, and what it covers is not read again."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/updates/batch={batch_id}")
-        if keys is not None and batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            merged = _updates(batch.sparkSession, path, keys, batch_id)
-            merged.write.mode("overwrite").parquet(f"{path}/compact/upto={batch_id}")
-    return write
-
-
-def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Last update of every key of an update-mode output."""
-    values = [c for c in df.columns if c not in (*keys, "batch")]
-    best = F.max_by(F.struct(*values), F.col("batch")).alias("_v")
-    return (df.groupBy(*keys).agg(best) if keys else df.agg(best)).select(*keys, "_v.*")
-
-
-def _updates(spark, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
-    """Last update of every key, from the newest compacted folder before ``upto`` and the batches after it."""
-    rows = spark.read.parquet(f"{path}/updates").withColumn("batch", F.col("batch").cast("bigint"))
-    if upto is not None:
-        rows = rows.filter(F.col("batch") <= upto)
-    newest = rows.agg(F.max("batch")).first()[0]  # folder names only
-    done = (newest + (upto is None)) // COMPACT_EVERY * COMPACT_EVERY - 1  # compacted before this batch
-    if done >= 0:
-        old = spark.read.parquet(f"{path}/compact/upto={done}").withColumn("batch", F.lit(-1).cast("bigint"))
-        rows = rows.filter(F.col("batch") > done).unionByName(old)
-    return latest(rows, keys)
+def _keep(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run an update-mode stream into a keyed table, in which new rows replace old ones, and read the table."""
+    table = KeyedTable(stream.sparkSession, path, stream.schema, keys)
+    _run(stream, table.merge, checkpoint, "update")
+    return table.read()
 
 
 def survey_stream(samples: DataFrame, grids: DataFrame, score: Callable[[DataFrame], DataFrame], path: str,
@@ -63,9 +36,7 @@ def survey_stream(samples: DataFrame, grids: DataFrame, score: Callable[[DataFra
 
     ``score`` adds the per-sample indicators to the points that lie in a cell.
     """
-    stream = survey_cells(score(assign_cells(samples, grids)))
-    _run(stream, _batch_writer(path, CELL), checkpoint, "update")
-    return _updates(samples.sparkSession, path, CELL)
+    return _keep(survey_cells(score(assign_cells(samples, grids))), path, checkpoint, CELL)
 
 
 def metrics_stream(predictions: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -78,8 +49,7 @@ def metrics_stream(predictions: DataFrame, path: str, checkpoint: str) -> DataFr
     sums = predictions.groupBy().agg(
         *J.classification_counts(), F.sum(F.abs(err) * mask).alias("sum_abs"), F.sum(err * err * mask).alias("sum_sq"),
         F.sum(mask).alias("sum_w"))
-    _run(sums, _batch_writer(path), checkpoint, "update")
-    return J.regression_metrics(J.classification_metrics(latest(predictions.sparkSession.read.parquet(f"{path}/updates"), [])))
+    return J.regression_metrics(J.classification_metrics(_keep(sums, path, checkpoint, [])))
 
 
 def windowed_metrics_stream(predictions: DataFrame, path: str, checkpoint: str, time: str = "ts",
@@ -88,8 +58,7 @@ def windowed_metrics_stream(predictions: DataFrame, path: str, checkpoint: str,
     counts = (predictions.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"))
               .agg(*J.classification_counts()))
     counts = counts.select(F.col("w.start").alias("window_start"), "tp", "tn", "fp", "fn")
-    _run(counts, _batch_writer(path), checkpoint, "update")
-    return J.classification_metrics(latest(predictions.sparkSession.read.parquet(f"{path}/updates"), ["window_start"]))
+    return J.classification_metrics(_keep(counts, path, checkpoint, ["window_start"]))
 
 
 def series_stream(points: DataFrame, path: str, checkpoint: str, window: int) -> DataFrame:
@@ -128,80 +97,56 @@ def series_stream(points: DataFrame, path: str, checkpoint: str, window: int) ->
     return smooth.join(newest, [*keys, "step", "value", "batch"]).drop("batch")
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Kinds of rows that leave the state: the last sample of a cell in a batch, a significant sample, a late one.
-SEEN, SIGNIFICANT, LATE = 0, 1, 2
-
-
-class CellMaximum(StatefulProcessor):
-    """State of one (variant, cell): its largest g_man so far and the last sample processed."""
-
-    def __init__(self, improvement: float):
-        self.improvement = improvement
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("best", "best double, last_id bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.state.get() if self.state.exists() else (None, None)
-        best, last = known
-        out = []
-        frame = pd.concat(list(rows)).sort_values("sample_id")
-        for sample, passed, value in zip(frame["sample_id"], frame["passed"], frame["g_man"]):
-            if last is not None and sample <= last:
-                out.append((key[0], int(sample), LATE))
-                continue
-            last = int(sample)
-            if key[1] is not None and not pd.isna(key[1]) and passed and not pd.isna(value):
-                if best is None or value > best * (1 + self.improvement):
-                    out.append((key[0], last, SIGNIFICANT))
-                best = float(value) if best is None else max(best, float(value))
-        out.append((key[0], last, SEEN))
-        self.state.update((best, last))
-        yield pd.DataFrame(out, columns=["variant_id", "sample_id", "kind"])
-
-    def close(self) -> None:
-        pass
+def _heat_tables(spark, path: str) -> dict[str, KeyedTable]:
+    cell, marks = "variant_id string, cell_idx bigint, best double, last bigint", "variant_id string, checkpoint bigint, hits bigint"
+    schema = lambda text: T.StructType.fromDDL(text)
+    return {
+        "cells": KeyedTable(spark, f"{path}/cells", schema(cell), CELL, {"best": F.max("best"), "last": F.max("last")}),
+        "hits": KeyedTable(spark, f"{path}/hits", schema(marks), ["variant_id", "checkpoint"], {"hits": F.sum("hits")}),
+        "progress": KeyedTable(spark, f"{path}/progress", schema("variant_id string, last_id bigint, late bigint"), ["variant_id"],
+                               {"last_id": F.max("last_id"), "late": F.sum("late")})}
 
 
 def heat_monitor(events: DataFrame, path: str, checkpoint: str, window: int, every: int,
                  improvement: float = 0.01) -> DataFrame:
     """Update heat of ordered sample streams, one row per variant and checkpoint reached.
 
-    The running maxima live in Spark's state store, keyed by (variant, cell), so a hot variant spreads over its cells.
-    A batch adds its hits to the few checkpoints that they belong to; sums over the batches give the heat, and nothing
-    old is rewritten. A sample that is not after the last one of its cell is late: it is counted and left out.
+    The state is a keyed table of the largest g_man and the last sample of each (variant, cell); samples outside the grid
+    only have a last one. A batch finds its running maxima by a blocked scan that starts from the state, so a cell or
+    variant that holds most of a batch spreads over blocks of samples, and its update is one row for each cell. Hits are
+    added to the few checkpoints that they belong to. A sample that is not after the last one of its cell is late: it is
+    counted and left out; of samples with equal numbers in a batch the largest stays.
     """
-    spark = events.sparkSession
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKS)
+    spark, tables = events.sparkSession, _heat_tables(events.sparkSession, path)
     mark = F.lit(every).cast("bigint")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(batch, "flagged-samples")
-        first, last = F.ceil(F.col("sample_id") / mark), F.floor((F.col("sample_id") + F.lit(window - 1)) / mark)
-        hits = (rows.filter(F.col("kind") == SIGNIFICANT)
-                .withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last))))
-                .groupBy("variant_id", (F.col("k") * mark).alias("checkpoint")).agg(F.count(F.lit(1)).alias("hits")))
-        hits.write.mode("overwrite").parquet(f"{path}/hits/batch={batch_id}")
-        rows.groupBy("variant_id").agg(
-            F.max(F.when(F.col("kind") == SEEN, F.col("sample_id"))).alias("last_id"),
-            F.count_if(F.col("kind") == LATE).alias("late")).write.mode("overwrite").parquet(f"{path}/progress/batch={batch_id}")
     named = events.select("variant_id", F.col("cell_idx").cast("bigint").alias("cell_idx"),
                           F.col("sample_id").cast("bigint").alias("sample_id"), "passed", F.col("g_man").cast("double").alias("g_man"))
-    flagged = named.groupBy("variant_id", "cell_idx").transformWithStateInPandas(
-        CellMaximum(improvement), "variant_id string, sample_id bigint, kind int", "Append", "None")
-    try:
-        _run(flagged, each, checkpoint, "append")
-    finally:
-        spark.conf.set(provider, before)
-
-    hits = (spark.read.schema("variant_id string, checkpoint bigint, hits bigint, batch bigint").parquet(f"{path}/hits")
-            .groupBy("variant_id", "checkpoint").agg(F.sum("hits").alias("hits")))
-    progress = (spark.read.schema("variant_id string, last_id bigint, late bigint, batch bigint").parquet(f"{path}/progress")
-                .groupBy("variant_id").agg(F.max("last_id").alias("last_id"), F.sum("late").alias("late")))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):
+            known = tables["cells"].read(batch_id)
+            once = batch.groupBy(*CELL, "sample_id").agg(F.max(F.struct("passed", "g_man")).alias("s"), F.count(F.lit(1)).alias("n"))
+            old = known.select(F.col("variant_id").alias("_v"), F.col("cell_idx").alias("_c"), "last")
+            seen = once.join(old, F.col("variant_id").eqNullSafe(F.col("_v")) & F.col("cell_idx").eqNullSafe(F.col("_c")), "left")
+            seen = materialize(seen.select(*CELL, "sample_id", "s.passed", "s.g_man", "n", F.coalesce(
+                F.col("sample_id") <= F.col("last"), F.lit(False)).alias("late")), "heat-samples")
+            fresh = seen.filter("not late")
+            scored = fresh.filter(F.col("g_man").isNotNull() & ~F.isnan("g_man"))
+            flagged = C.significant_events(scored, improvement, known.filter("best is not null")).filter("significant")
+            first, last = F.ceil(F.col("sample_id") / mark), F.floor((F.col("sample_id") + F.lit(window - 1)) / mark)
+            hits = (flagged.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last))))
+                    .groupBy("variant_id", (F.col("k") * mark).alias("checkpoint")).agg(F.count(F.lit(1)).alias("hits")))
+            progress = seen.groupBy("variant_id").agg(
+                F.max(F.when(~F.col("late"), F.col("sample_id"))).alias("last_id"),
+                F.sum(F.when(F.col("late"), F.col("n")).otherwise(F.col("n") - 1)).alias("late"))
+            inside = F.col("cell_idx").isNotNull() & F.col("passed") & ~F.isnan("g_man")
+            cells = fresh.groupBy(*CELL).agg(F.max(F.when(inside, F.col("g_man"))).alias("best"), F.max("sample_id").alias("last"))
+            for name, updates in (("hits", hits), ("progress", progress), ("cells", cells)):
+                tables[name].merge(updates, batch_id)
+    _run(named, each, checkpoint, "append")
+
+    progress = tables["progress"].read()
     marks = progress.select("variant_id", "late", F.explode(F.when(F.col("last_id") >= every, F.sequence(
         mark, F.col("last_id"), mark))).alias("checkpoint"))
-    return marks.join(hits, ["variant_id", "checkpoint"], "left").select(
+    return marks.join(tables["hits"].read(), ["variant_id", "checkpoint"], "left").select(
         "variant_id", "checkpoint", "late", (F.coalesce("hits", F.lit(0)) / F.least(F.lit(window), F.col("checkpoint"))).alias("heat"))
