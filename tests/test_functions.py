@@ -170,3 +170,18 @@ def test_a_wrong_bracket_is_widened(spark, monkeypatch, method):
     got = exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, method, small_group=100).first()
     kind = "linear" if method == "linear" else "inverted_cdf"
     assert np.allclose([got.p10, got.p50, got.p99], np.quantile(values, [0.1, 0.5, 0.99], method=kind))
+
+
+def test_singular_values_by_rotations(spark):
+    """One-sided Jacobi against NumPy: wide, square, narrow, rank-deficient, repeated and empty matrices."""
+    rng = np.random.default_rng(2)
+    matrices = [rng.normal(size=(3, n)) for n in (1, 2, 3, 5, 9)] + [np.eye(3) * 2, np.zeros((3, 4)), np.ones((3, 4)),
+                                                                     np.outer([1, 2, 3], [1, 1, 2, 5]), np.diag([1e-6, 1.0, 1e3])]
+    frame = spark.createDataFrame([(k, m.astype(float).tolist()) for k, m in enumerate(matrices)] + [(99, [[], [], []])], "k int, m array<array<double>>")
+    got = {r.k: r.s for r in frame.select("k", G.singular_values(F.col("m"), 3).alias("s")).collect()}
+    assert got.pop(99) == []
+    for k, m in enumerate(matrices):
+        assert np.allclose(got[k], np.linalg.svd(m, compute_uv=False), atol=1e-9)
+    six = rng.normal(size=(6, 7))
+    rows = spark.createDataFrame([(six.tolist(),)], "m array<array<double>>").select(G.singular_values(F.col("m"), 6).alias("s")).first().s
+    assert np.allclose(rows, np.linalg.svd(six, compute_uv=False), atol=1e-9)

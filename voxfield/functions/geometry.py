@@ -69,6 +69,44 @@ def smallest_singular(sigmas: Column, k: float = 0.1) -> Column:
     return saturate(F.array_min(sigmas), k if k > 0 else 0.1)
 
 
+def _rotated(rows: Column, pair: Column) -> Column:
+    """The matrix after the rotation that makes two of its rows orthogonal."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+    p, q = pair["p"], pair["q"]
+
+    def turn(m: Column) -> Column:
+        zeta = (m["qq"] - m["pp"]) / (2.0 * m["pq"])
+        tangent = F.when(zeta < 0, -1.0).otherwise(1.0) / (F.abs(zeta) + F.sqrt(1.0 + zeta * zeta))
+        return F.when(F.abs(m["pq"]) > 1e-300, tangent).otherwise(0.0)
+
+    def apply(r: Column) -> Column:
+        return F.transform(rows, lambda row, i: F.when(i == p, F.zip_with(
+            r["a"], r["b"], lambda x, y: r["c"] * x - r["s"] * y)).when(i == q, F.zip_with(
+                r["a"], r["b"], lambda x, y: r["s"] * x + r["c"] * y)).otherwise(row))
+    both = F.struct(F.get(rows, p).alias("a"), F.get(rows, q).alias("b"))
+    sums = lambda ab: F.struct(ab["a"].alias("a"), ab["b"].alias("b"), product(ab["a"], ab["a"]).alias("pp"),
+                               product(ab["b"], ab["b"]).alias("qq"), product(ab["a"], ab["b"]).alias("pq"))
+    tangents = lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), turn(m).alias("t"))
+    turned = lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), (1.0 / F.sqrt(1.0 + m["t"] * m["t"])).alias("c"),
+                                (m["t"] / F.sqrt(1.0 + m["t"] * m["t"])).alias("s"))
+    return let(both, lambda ab: let(sums(ab), lambda m: let(tangents(m), lambda t: let(turned(t), apply))))
+
+
+def singular_values(rows: Column, n_rows: int, sweeps: int = 8) -> Column:
+    """Singular values, largest first, of a matrix given as an array of ``n_rows`` arrays, by one-sided Jacobi rotations.
+
+    Each step makes two rows orthogonal; after a few sweeps over all pairs their lengths are the singular values. A matrix
+    with fewer columns than rows has as many values as columns.
+    """
+    pairs = [(p, q) for p in range(n_rows) for q in range(p + 1, n_rows)] * sweeps
+    steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in pairs])
+    matrix = "array<array<double>>"
+    done = F.aggregate(steps, rows.cast(matrix), lambda m, pair: _rotated(m, pair).cast(matrix))
+    norms = F.transform(done, lambda row: F.sqrt(F.aggregate(row, F.lit(0.0), lambda t, v: t + v * v)))
+    return F.slice(F.sort_array(norms, asc=False), 1, F.least(F.lit(n_rows), F.size(F.get(rows, F.lit(0)))))
+
+
 def isotropy(sigmas: Column) -> Column:
     """Smallest over largest singular value; 0 when any value is not finite or there is none."""
     ok = (F.size(sigmas) > 0) & F.forall(sigmas, finite) & (F.array_max(sigmas) > 0)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import geometry as G
 from ..functions.store import materialize, new_path
-from ..operators import collision as D, features as I, kernel as P, sampling as H, specs as X
+from ..operators import collision as D, features as I, grid as V, kernel as P, sampling as H, specs as X
 from ..sources import descriptions as XML, tables as A
 from . import bindings as B, sql as Q
-from .pipelines import survey_specs
+from .pipelines import stopped_samples, survey_specs
 from .registry import query, r6, rounded
 
 
@@ -474,9 +474,51 @@ def manipulability(spark, sf_dir):
     return rounded(posed(spark, sf_dir).select("variant_id", "sample_id", g_man.alias("g_man")), "g_man", digits=5)
 
 
-@query("d10_sigma_from_poses")
+#: One-sided Jacobi rotations of the three linear rows: eight sweeps, each step turns the first two rows and moves the third
+#: to the front, so that all pairs take turns.
+SWEEPS = 8
+VALUES = JAC + """,
+lin AS (SELECT e.variant_id, e.sample_id, coalesce(list(j0 ORDER BY k) FILTER (used), []) AS a, coalesce(list(j1 ORDER BY k) FILTER (used), []) AS b,
+    coalesce(list(j2 ORDER BY k) FILTER (used), []) AS c
+  FROM ends e LEFT JOIN (SELECT *, j0*j0 + j1*j1 + j2*j2 + j3*j3 + j4*j4 + j5*j5 > 1e-12 AS used FROM col) USING (variant_id, sample_id)
+  GROUP BY e.variant_id, e.sample_id),
+jacobi AS (SELECT 0 AS step, * FROM lin UNION ALL
+  SELECT step + 1, variant_id, sample_id, c AS a, list_transform(list_zip(a, b), lambda z: cs * z[1] - sn * z[2]) AS b,
+    list_transform(list_zip(a, b), lambda z: sn * z[1] + cs * z[2]) AS c
+  FROM (SELECT *, 1 / sqrt(1 + t * t) AS cs, t / sqrt(1 + t * t) AS sn FROM (
+    SELECT *, CASE WHEN abs(pq) > 1e-300 THEN (CASE WHEN zeta < 0 THEN -1 ELSE 1 END) / (abs(zeta) + sqrt(1 + zeta * zeta)) ELSE 0 END AS t FROM (
+      SELECT *, (qq - pp) / (2 * pq) AS zeta FROM (
+        SELECT *, coalesce(list_sum(list_transform(a, lambda x: x * x)), 0) AS pp, coalesce(list_sum(list_transform(b, lambda x: x * x)), 0) AS qq,
+          coalesce(list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])), 0) AS pq
+        FROM jacobi WHERE step < """ + str(3 * SWEEPS) + """)))) ),
+sv AS (SELECT variant_id, sample_id, list_slice(list_reverse_sort(list_transform([a, b, c], lambda r: sqrt(coalesce(list_sum(list_transform(r, lambda x: x * x)), 0)))), 1,
+    least(3, len(a))) AS s FROM jacobi WHERE step = """ + str(3 * SWEEPS) + ")"
+
+
+def linear_values(poses):
+    """Singular values of the linear rows of each sample's Jacobian, without its zero columns."""
+    dof = F.size("q")
+    entry = lambda i, k: F.get("jacobian", dof * i + k)
+    columns = F.filter(F.when(dof > 0, F.sequence(F.lit(0), dof - 1)).otherwise(F.array().cast("array<int>")), lambda k: sum(
+        (entry(i, k) * entry(i, k) for i in range(6)), F.lit(0.0)) > P.ZERO_COLUMN ** 2)
+    rows = poses.withColumn("_used", columns)
+    row = lambda i: F.transform("_used", lambda k: entry(i, k))
+    matrix = F.array(*[row(i) for i in range(3)])
+    return rows.select("variant_id", "sample_id", G.singular_values(matrix, 3, SWEEPS).alias("sigmas"))
+
+
+@query("d9_singular_values", recursive(f"SELECT variant_id, sample_id, len(s)::INTEGER AS n, {', '.join(Q.r6(f's[{i}]', f's{i}') for i in (1, 2, 3))} FROM sv", VALUES))
+def singular_values(spark, sf_dir):
+    """By rotations in Spark expressions; no chain of the part table has more than five moving joints."""
+    poses = P.pose_samples(P.sample_blocks(chain_rows(spark, sf_dir), N_SAMPLES, SAMPLE_SEED), with_jacobian=True)
+    out = linear_values(poses)
+    return rounded(out.select("variant_id", "sample_id", F.size("sigmas").alias("n"), *[
+        F.get("sigmas", F.lit(i - 1)).alias(f"s{i}") for i in (1, 2, 3)]), "s1", "s2", "s3")
+
+
+@query("d10_sigma_from_poses", recursive(f"""SELECT variant_id, sample_id, {Q.r6('CASE WHEN s[-1] > 0 THEN s[-1] / (s[-1] + 0.1) ELSE 0 END', 'g_sigma')},
+  {Q.r6('CASE WHEN s[1] > 0 THEN s[-1] / s[1] ELSE 0 END', 'g_iso')} FROM sv""", VALUES))
 def sigma_from_poses(spark, sf_dir):
-    """Rows only: singular values have no closed SQL form."""
     out = posed(spark, sf_dir).select("variant_id", "sample_id", G.smallest_singular(F.col("sigmas")).alias("g_sigma"),
                                       G.isotropy(F.col("sigmas")).alias("g_iso"))
     return rounded(out, "g_sigma", "g_iso")
@@ -607,6 +649,44 @@ def survey_from_specs(spark, sf_dir):
         r6(F.max("g_man")).alias("best_man"), r6(F.max("g_margin")).alias("best_margin"))
 
 
+# The survey with early stop: every part chain, drawn in rounds.
+BUDGET, ROUND_WINDOW, ROUND_EVERY, ROUND_TARGET, ROUND_RATE, REACH = 48, 12, 4, 0.02, 0.5, 3
+
+
+def _budget(sql: str) -> str:
+    return sql.replace(f"range(1, {N_SAMPLES + 1})", f"range(1, {BUDGET + 1})")
+
+
+@query("f4_survey_rounds", _budget(recursive(f"""
+SELECT ev.variant_id, max(stop_at) AS stop_at, count(*) AS attempts, count(*) FILTER (passed) AS passes,
+  count(DISTINCT cell_idx) FILTER (passed) AS valid_cells, round(max(g_man) FILTER (passed), 5) + 0.0::DOUBLE AS best
+FROM ev LEFT JOIN stops USING (variant_id) WHERE stop_at IS NULL OR sample_id <= stop_at GROUP BY ev.variant_id""", JAC + ALL_PAIRS + f""",
+ev AS (SELECT e.variant_id, e.sample_id, floor(p0 + {REACH})::BIGINT * {4 * REACH * REACH} + floor(p1 + {REACH})::BIGINT * {2 * REACH} + floor(p2 + {REACH})::BIGINT AS cell_idx,
+    coalesce(clearance > 0, false) AS passed, round(CASE WHEN d > 1e-16 THEN sqrt(d) / (sqrt(d) + 1) ELSE 0 END, 5) + 0.0::DOUBLE AS g_man
+  FROM ends e JOIN det USING (variant_id, sample_id) LEFT JOIN (SELECT variant_id, sample_id, min(dist) AS clearance FROM gap GROUP BY ALL) USING (variant_id, sample_id)
+  WHERE least(p0, p1, p2) >= -{REACH} AND greatest(p0, p1, p2) < {REACH}),
+flagged AS (SELECT *, best_before IS NULL AS is_new, best_before IS NOT NULL AND g_man > best_before * 1.01::DOUBLE AS is_better FROM (
+  SELECT *, max(g_man) OVER (PARTITION BY variant_id, cell_idx ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM ev WHERE passed)),
+marks AS (SELECT variant_id, sample_id AS checkpoint FROM ev WHERE passed AND sample_id % {ROUND_EVERY} = 0 AND sample_id >= {ROUND_WINDOW}),
+stops AS (SELECT variant_id, min(checkpoint) AS stop_at FROM (
+  SELECT m.variant_id, m.checkpoint, count(*) FILTER (is_new) AS valid_cells,
+    count(*) FILTER ((is_new OR is_better) AND f.sample_id > m.checkpoint - {ROUND_WINDOW}) / {ROUND_WINDOW}::DOUBLE AS heat
+  FROM marks m JOIN flagged f ON f.variant_id = m.variant_id AND f.sample_id <= m.checkpoint GROUP BY ALL)
+  WHERE valid_cells / {8 * REACH ** 3}::DOUBLE >= {ROUND_TARGET} AND heat < {ROUND_RATE} GROUP BY variant_id)""")))
+def survey_rounds(spark, sf_dir):
+    """Samples of every part chain up to its stop point; a chain that has stopped draws no further rounds."""
+    chains = chain_rows(spark, sf_dir)
+    low, high = (-REACH,) * 3, (REACH,) * 3
+    grids = materialize(V.build_grid(V.manual_bounds(chains.select("variant_id"), low, high), 1.0), "grids")
+    kept = stopped_samples(chains, grids, pairs(spark, sf_dir), BUDGET, SAMPLE_SEED, ROUND_TARGET, ROUND_WINDOW, ROUND_EVERY, 0.01,
+                           ROUND_RATE, with_stops=True, digits=5)
+    passed = F.col("g_self") > 0
+    out = kept.groupBy("variant_id").agg(
+        F.max("stop_at").alias("stop_at"), F.count(F.lit(1)).alias("attempts"), F.count_if(passed).alias("passes"),
+        F.count_distinct(F.when(passed, F.col("cell_idx"))).alias("valid_cells"), F.max(F.when(passed, F.col("g_man"))).alias("best"))
+    return rounded(out, "best", digits=5)
+
+
 # Sources and sinks.
 
 @query("a1_spec_scan", Q.with_(PARTS, f"""

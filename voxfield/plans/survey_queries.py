@@ -9,6 +9,7 @@ from ..functions.store import materialize
 from ..operators import convergence as C, grid as V, survey as S
 from ..schemas import LABELS
 from . import bindings as B, sql as Q
+from .pipelines import rounds
 from .registry import query, r6, rounded
 
 BOUND_COLUMNS = [f"{n}_{a}" for n in ("bmin", "bmax") for a in V.AXES]
@@ -332,6 +333,24 @@ def stop_points(spark, sf_dir):
     return stop_table(spark, sf_dir)
 
 
+@query("f4_stops_by_rounds", Q.with_(TO_MARKS, "SELECT variant_id, stop_at FROM stops"))
+def stops_by_rounds(spark, sf_dir):
+    """Stop points from rounds that double; each round reads its own samples and the state of those before."""
+    events, totals = B.ordered_events(spark, sf_dir), materialize(cell_totals(spark, sf_dir), "totals")
+    longest = events.agg(F.max("sample_id")).first()[0]
+    state, stops = None, None
+    for first, count in rounds(longest, WINDOW):
+        part = events.filter(F.col("sample_id").between(first, first + count - 1))
+        if stops is not None:
+            part = part.join(stops, "variant_id", "left_anti")
+        state = C.merge_round(state, part, WINDOW, EVERY, 0.01)
+        found = C.state_stops(state, totals, first + count - 1, TARGET, WINDOW, RATE)
+        if stops is not None:
+            found = found.join(stops.select("variant_id"), "variant_id", "left_anti").unionByName(stops)
+        stops = materialize(found, "stops")
+    return stops
+
+
 @query("f4_survey_prefix", Q.with_(TO_MARKS, f"""
 SELECT variant_id, cell_idx, count(*) AS attempts, count(*) FILTER (passed) AS passes, {Q.r6('max(g_man) FILTER (passed)', 'best')}
 FROM ev LEFT JOIN stops USING (variant_id) WHERE stop_at IS NULL OR sample_id <= stop_at GROUP BY variant_id, cell_idx"""))
