@@ -19,6 +19,16 @@ def uniform(*parts) -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
+def stream(*parts) -> Column:
+    """A 60-bit number for a stream of draws; its parts are hashed once, not for every draw."""
+    return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("bigint")
+
+
+def draw(key: Column, *numbers: Column) -> Column:
+    """Uniform in [0, 1) with 53 bits for whole numbers in the stream of a key: one 64-bit hash."""
+    return F.shiftrightunsigned(F.xxhash64(key, *[n.cast("bigint") for n in numbers]), 11) / F.lit(9007199254740992.0)
+
+
 def uniform_between(low, high, *parts) -> Column:
     return F.lit(low) + uniform(*parts) * (F.lit(high) - F.lit(low))
 

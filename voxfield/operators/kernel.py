@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import SPHERE_BINS, sphere_points
-from ..functions.rng import uniform
+from ..functions.rng import draw, stream
 from .features import link_walk
 from .specs import SPEC_RADIUS_SCALE, actuated_order, first_of
 
@@ -62,13 +62,12 @@ def sample_blocks(chain_rows: DataFrame, n_samples: int, seed: int, block: int =
     """
     parts = int(chain_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = first + n_samples - 1
-    blocks = (chain_rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // block))))
+    blocks = (chain_rows.withColumn("_stream", stream(seed, F.col("variant_id"))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // block))))
               .repartition(parts, "variant_id", "_b"))
     ids = F.sequence(F.lit(first) + F.col("_b") * block, F.least(F.lit(last), F.lit(first - 1) + (F.col("_b") + 1) * block))
-    draw = lambda s: F.transform("limits", lambda lim, j: lim["lo"] + uniform(
-        seed, F.col("variant_id"), s, j) * (lim["hi"] - lim["lo"]))
+    one = lambda s: F.transform("limits", lambda lim, j: lim["lo"] + draw(F.col("_stream"), s, j) * (lim["hi"] - lim["lo"]))
     return blocks.withColumn("sample_ids", F.transform(ids, lambda s: s.cast("bigint"))).withColumn(
-        "qs", F.transform("sample_ids", draw)).drop("_b")
+        "qs", F.transform("sample_ids", one)).drop("_b", "_stream")
 
 
 def _euler(rpy: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.joins import lookup_join
-from ..functions.rng import block_digits, hash_block, hash_key, uniform
+from ..functions.rng import block_digits, draw, hash_block, hash_key, stream, uniform
 from ..functions.scan import BLOCK_ROWS, ordered_row_numbers, row_numbers, running
 from ..functions.store import materialize
 
@@ -16,9 +16,8 @@ def sample_joints(rows: DataFrame, limits: str, seed: int) -> DataFrame:
     ``rows``: variant_id, sample_id and the array ``limits`` of struct<lo, hi>. The draw depends on
     (seed, variant, sample, joint) only.
     """
-    draw = F.transform(limits, lambda lim, j: lim["lo"] + uniform(
-        seed, F.col("variant_id"), F.col("sample_id"), j) * (lim["hi"] - lim["lo"]))
-    return rows.withColumn("q", draw)
+    q = F.transform(limits, lambda lim, j: lim["lo"] + draw(F.col("_stream"), F.col("sample_id"), j) * (lim["hi"] - lim["lo"]))
+    return rows.withColumn("_stream", stream(seed, F.col("variant_id"))).withColumn("q", q).drop("_stream")
 
 
 def stratified_split(variants: DataFrame, stratum: str, test_ratio: float = 0.1, val_ratio: float = 0.1,

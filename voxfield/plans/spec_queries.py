@@ -383,9 +383,12 @@ def posed(spark, sf_dir):
     return B.stored_once(spark, sf_dir, "poses", build)
 
 
+_HASHED, _DRAWN = Q.draw(["_stream", "s", "k"])
+_SAMPLES = f"""(SELECT *, s AS sample_id FROM (SELECT num.*, {Q.stream(f"'{SAMPLE_SEED}'", 'variant_id')} AS _stream FROM num),
+      unnest(range(1, {N_SAMPLES + 1})) t(s))"""
 JOINTS_Q = f"""
-jq AS (SELECT num.*, s AS sample_id, CASE WHEN moves THEN lo + (('0x' || substr(md5('{SAMPLE_SEED}:' || variant_id || ':' || s || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) * (hi - lo) ELSE 0 END AS q
-  FROM num, unnest(range(1, {N_SAMPLES + 1})) t(s))"""
+jq AS MATERIALIZED (SELECT * EXCLUDE (_stream, s, {', '.join(_HASHED)}), CASE WHEN moves THEN lo + {_DRAWN} * (hi - lo) ELSE 0 END AS q
+  FROM {Q.with_columns(_SAMPLES, _HASHED)})"""
 
 
 @query("c1_joint_samples", Q.with_(PARTS + "," + JOINTS_Q, f"SELECT variant_id, sample_id, k::INTEGER AS joint, {Q.r6('q')} FROM jq WHERE moves"))

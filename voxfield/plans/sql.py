@@ -106,6 +106,40 @@ flagged AS (
   SELECT *, best_before IS NULL AS is_new, best_before IS NOT NULL AND g_man > best_before * 1.01::DOUBLE AS is_better FROM seen)"""
 
 
+#: The primes of XXH64 and the numbers of its arithmetic, which wraps at 2 ** 64.
+_P = {1: 11400714785074694791, 2: 14029467366897019727, 3: 1609587929392839161, 4: 9650029242287828579, 5: 2870177450012600261}
+
+
+def draw(numbers: list[str], seed: int = 42) -> tuple[dict[str, str], str]:
+    """(columns, uniform): the 64-bit hash of whole numbers >= 0 as columns that build on each other, and the draw from it."""
+    wrap = lambda e: f"(({e}) % 18446744073709551616::UHUGEINT)"
+    big = lambda n: f"{n}::UHUGEINT"
+    either = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+    turn = lambda e, n: f"({wrap(f'{e} * {big(1 << n)}')} + {e} // {big(1 << 64 - n)})"
+    columns, h = {}, big(seed)
+    for k, number in enumerate(numbers):
+        steps = [("a", wrap(f"({number})::UHUGEINT * {big(_P[2])}")), ("b", turn(f"_a{k}", 31)), ("c", wrap(f"_b{k} * {big(_P[1])}")),
+                 ("d", either(wrap(f"{h} + {big(_P[5] + 8)}"), f"_c{k}")), ("e", turn(f"_d{k}", 27)),
+                 ("f", wrap(f"{wrap(f'_e{k} * {big(_P[1])}')} + {big(_P[4])}")), ("g", either(f"_f{k}", f"_f{k} // {big(1 << 33)}")),
+                 ("h", wrap(f"_g{k} * {big(_P[2])}")), ("i", either(f"_h{k}", f"_h{k} // {big(1 << 29)}")),
+                 ("j", wrap(f"_i{k} * {big(_P[3])}")), ("k", either(f"_j{k}", f"_j{k} // {big(1 << 32)}"))]
+        columns |= {f"_{name}{k}": e for name, e in steps}
+        h = f"_k{k}"
+    return columns, f"(({h} // {big(1 << 11)})::DOUBLE / 9007199254740992.0::DOUBLE)"
+
+
+def with_columns(rows: str, columns: dict[str, str]) -> str:
+    """``rows`` with columns that build on each other, each in a select of its own, so that none is computed twice."""
+    for name, expression in columns.items():
+        rows = f"(SELECT *, {expression} AS {name} FROM {rows})"
+    return rows
+
+
+def stream(*parts: str) -> str:
+    """The number of a stream of draws, from SQL text expressions."""
+    return f"""('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 15))::BIGINT"""
+
+
 def r6(expr: str, alias: str | None = None) -> str:
     return f"round({expr}, 6) + 0.0::DOUBLE AS {alias or expr}"
 
