@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.store import materialize, scratch
 from . import simhash
-from .common import map_batches
+from .common import among, map_batches
 
 SHINGLE = 5
 WORDS = 8
@@ -202,7 +202,8 @@ def clusters(classes: DataFrame) -> DataFrame:
     """(class, cluster) of the classes (class, keys) that share a key with another one, directly or by others."""
     banded = classes.select("class", F.explode("keys").alias("key"))
     first = banded.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    links = banded.join(materialize(first, "near-copy-keys"), "key").filter("class <> first")
+    first = materialize(first, "near-copy-keys")
+    links = among(banded, "key", first).join(first, "key").filter("class <> first")
     roots = simhash.components(links.select(F.col("class").alias("a"), F.col("first").alias("b")))  # a root has no row
     return roots.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(
         roots.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct())
@@ -211,6 +212,7 @@ def clusters(classes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, cluster, bits, set, weight) of the wanted classes, whose texts ``doc_id`` and ``row`` tell."""
     here = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), "text")
+    here = among(here, "_row", wanted.select(F.col("row").alias("_row")))
     texts = here.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col("row"))).select(
         "class", "cluster", "bits", "text")
 
