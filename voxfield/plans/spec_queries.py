@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import geometry as G
-from ..functions.store import materialize, new_path
+from ..functions.store import listed, materialize, new_path
 from ..operators import collision as D, features as I, grid as V, kernel as P, sampling as H, specs as X
 from ..sources import descriptions as XML, tables as A
 from . import bindings as B, sql as Q
@@ -702,14 +702,20 @@ def spec_scan(spark, sf_dir):
     return specs.select("meta.variant_id", "meta.family", F.size("chain.links").cast("bigint").alias("n_links"), r6(total).alias("total"))
 
 
-@query("a2_file_selection", "SELECT p_brand AS family, count(*) AS n FROM part WHERE p_brand <> 'Brand#11' AND p_brand LIKE '%1' GROUP BY p_brand")
+@query("a2_file_selection", "SELECT p_brand AS family, count(*) AS n FROM part WHERE p_brand LIKE '%1' OR p_brand LIKE '%5' GROUP BY p_brand")
 def file_selection(spark, sf_dir):
-    path = new_path(spark, "specs-by-family")
-    base_specs(spark, sf_dir).withColumn("f", F.translate("meta.family", "#", "-")).write.partitionBy("f").json(path)
-    specs = A.scan_specs(spark, path, glob="part-*.json", exclude=("none.json",), pattern=r"^part-.*\.json$", one_per_file=False)
-    family = F.translate(F.regexp_extract("file_path", r"/f=([^/]+)/", 1), "-", "#")
-    picked = specs.select(family.alias("family")).filter((F.col("family") != "Brand#11") & F.col("family").endswith("1"))
-    return picked.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    """Four folders of spec files: the glob leaves out the compressed ones, the exclusion those of one folder by name, the
+    pattern those that are no JSON by name."""
+    path = new_path(spark, "spec-files")
+    specs = base_specs(spark, sf_dir)
+    ending = F.col("meta.family").substr(-1, 1)
+    specs.filter(ending.isin("1", "5")).write.json(f"{path}/kept")
+    specs.filter(ending == "2").write.option("compression", "gzip").json(f"{path}/packed")
+    specs.filter(ending == "3").write.json(f"{path}/listed")
+    specs.filter(ending == "4").select(F.to_json(F.struct("*"))).write.text(f"{path}/notes")
+    names = tuple(n for n in listed(spark, f"{path}/listed") if n.endswith(".json"))
+    specs = A.scan_specs(spark, path, glob="*.{json,txt}", exclude=names, pattern=r"\.json$", one_per_file=False)
+    return specs.groupBy(F.col("meta.family").alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _xml(spark, sf_dir):
