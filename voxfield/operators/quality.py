@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.geometry import finite
 from ..functions.joins import lookup_join
@@ -100,9 +100,31 @@ def audit(manifest: DataFrame, cells: DataFrame, required: list[str] = REQUIRED)
                       F.when(~lost, F.col("valid_ratio_recomputed")).alias("valid_ratio_recomputed"))
 
 
+def _totals() -> list[Column]:
+    return [F.count(F.lit(1)).alias("num_records"), F.sum(F.size("errors")).alias("total_errors"),
+            F.sum(F.size("warnings")).alias("total_warnings")]
+
+
 def audit_totals(report: DataFrame) -> DataFrame:
-    return report.agg(F.count(F.lit(1)).alias("num_records"), F.sum(F.size("errors")).alias("total_errors"),
-                      F.sum(F.size("warnings")).alias("total_warnings"))
+    return report.agg(*_totals())
+
+
+def write_audit(report: DataFrame, path: str) -> DataFrame:
+    """Write the report; its totals are observed by the plan that writes it, so nothing is read again for them."""
+    seen = Observation("audit")
+    report.observe(seen, *_totals()).write.mode("overwrite").parquet(path)
+    names = ("num_records", "total_errors", "total_warnings")
+    return report.sparkSession.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+def map_checks(cells: DataFrame) -> list[Column]:
+    """Counts of what the audit looks for in the cells of a map."""
+    indicators = [c for c in cells.columns if c.startswith("g_")]
+    return [
+        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("g_ws") > 0.5).alias("valid"),
+        F.count_if(F.col("cx").isNull() | F.col("cy").isNull() | F.col("cz").isNull()).alias("bad_centres"),
+        F.count_if(~F.abs(F.round("g_ws", 6)).isin(0.0, 1.0)).alias("not_binary"),
+        *[F.count_if(F.col(c).isNotNull() & ~finite(F.col(c))).alias(f"inf_{c}") for c in indicators]]
 
 
 def label_conflicts(labels: DataFrame, cells: DataFrame, tolerance: float = 1e-5) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.store import materialize
+from ..functions.store import materialize, new_path
 from ..operators import evaluation as J, features as I, quality as A, sampling as H, stats as T
 from ..schemas import AUDIT_LABELS, LABELS
+from ..sources.tables import write_cells
 from . import bindings as B, sql as Q
 from .registry import query, r6, rounded
 from .survey_queries import grids
@@ -307,6 +308,23 @@ def audit_totals(spark, sf_dir):
     return A.audit_totals(audit_report(spark, sf_dir))
 
 
+@query("g4_observed_totals", Q.with_(AUDIT_SQL, """
+SELECT count(*) AS num_records, sum(len(errors))::BIGINT AS total_errors, sum(len(warnings))::BIGINT AS total_warnings FROM report"""))
+def observed_totals(spark, sf_dir):
+    """The totals as a side result of writing the report."""
+    return A.write_audit(audit_report(spark, sf_dir), new_path(spark, "audit"))
+
+
+@query("g4_observed_map", Q.with_(Q.TO_FILLED, """
+SELECT count(*) AS cells, count(*) FILTER (g_ws > 0.5) AS valid, 0::BIGINT AS bad_centres, count(*) FILTER (g_ws NOT IN (0, 1)) AS not_binary FROM filled"""))
+def observed_map(spark, sf_dir):
+    """What the audit counts in the cells, as a side result of writing the map."""
+    cells = B.cells(spark, sf_dir)
+    names = ("cells", "valid", "bad_centres", "not_binary")
+    seen = write_cells(cells, new_path(spark, "checked-map"), checks=A.map_checks(cells))
+    return spark.createDataFrame([tuple(seen[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 @query("g5_label_conflicts", Q.with_(Q.TO_FILLED, """
 SELECT variant_id, cell_idx, g_ws + 0.25::DOUBLE AS label_g_ws, g_ws AS map_g_ws FROM filled WHERE sample_counts = 1 AND attempts = 2"""))
 def label_conflicts(spark, sf_dir):

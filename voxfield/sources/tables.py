@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.joins import lookup_join
@@ -25,10 +25,17 @@ def scan_specs(spark: SparkSession, root: str, glob: str = "*.json", exclude: tu
     return specs
 
 
-def write_cells(cells: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Maps by family, rows of a variant together, in as many files as the data needs."""
-    (cells.repartitionByRange("family", "variant_id", "cell_idx").sortWithinPartitions("family", "variant_id", "cell_idx")
-     .write.mode(mode).partitionBy("family").parquet(path))
+def write_cells(cells: DataFrame, path: str, mode: str = "overwrite", checks: list[Column] | None = None) -> dict[str, int]:
+    """Maps by family, rows of a variant together, in as many files as the data needs.
+
+    ``checks`` are aggregates over the cells; they are observed by the writing pass, behind its shuffle, and returned.
+    """
+    rows = (cells.repartitionByRange("family", "variant_id", "cell_idx").sortWithinPartitions("family", "variant_id", "cell_idx"))
+    seen = Observation("cells")
+    if checks:
+        rows = rows.observe(seen, *checks)
+    rows.write.partitionBy("family").mode(mode).parquet(path)
+    return dict(seen.get) if checks else {}
 
 
 def scan_cells(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
