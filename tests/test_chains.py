@@ -228,6 +228,47 @@ def test_kernel_stages_agree(spark, chains):
     assert np.allclose(ends.loc[whole.index, ["x", "y", "z"]], whole[["x", "y", "z"]])
 
 
+def renamed(doc, name, **joint_values):
+    """A spec of the same shape under another name, with values replaced in every joint."""
+    joints = [j | joint_values for j in doc["chain"]["joints"]]
+    return doc | {"meta": doc["meta"] | {"variant_id": name}, "chain": doc["chain"] | {"joints": joints}}
+
+
+def test_blocks_of_one_shape_are_walked_together(spark):
+    docs = [renamed(doc, f"{kind}{k}", origin_xyz=[0.1 * k, 0.2, 0.3], origin_rpy=[0.05 * k, 0.1, 0.2], axis=[0.0, 0.1 * k, 0.0])
+            for k in range(20) for kind, doc in (("fold", FOLDING), ("slide", SLIDING))]
+    chain_rows = P.chains(spark.createDataFrame(docs, SPEC))
+    blocks = P.sample_blocks(chain_rows, 10, 3).select(*P.BLOCK)
+    batch = blocks.toArrow().combine_chunks().to_batches()[0]
+    passes = list(P._passes(batch))
+    assert batch.num_rows == 40 and len(passes) == 2 and sum(len(of) for _, _, of, _ in passes) == 400
+    chains = {r.variant_id: r.asDict(recursive=True) for r in chain_rows.collect()}
+    rows = P.pose_samples(blocks, with_jacobian=True).collect()
+    assert len(rows) == 400
+    for r in rows:
+        position, _, jacobian = poses(chains[r.variant_id], [r.q])
+        assert np.allclose(np.array([r.link_x, r.link_y, r.link_z]).T, position[0]) and np.allclose(r.jacobian, jacobian.ravel())
+
+
+def test_chains_of_one_shape_keep_their_own_pairs_and_grids(spark):
+    docs = [renamed(FOLDING, f"fold{k}", origin_xyz=[0.2 + 0.1 * k, 0.0, 0.05]) for k in range(3)]
+    chain_rows = P.chains(spark.createDataFrame(docs, SPEC))
+    number = F.substring("variant_id", 5, 1).cast("int")
+    pairs = D.segment_pairs(D.segments(chain_rows)).withColumn("pairs", F.slice("pairs", F.lit(1), number))
+    box = F.struct(*[v.alias(n) for a in "xyz" for n, v in (
+        (f"bmin_{a}", -0.1 - 0.2 * number), (f"res_{a}", F.lit(0.2)), (f"n{a}", 1 + 2 * number))])
+    blocks = P.sample_blocks(chain_rows, 60, 5).join(pairs, "variant_id")
+    posed = P.pose_samples(blocks)
+    plain = D.clearance(P.link_points(posed).drop("clearance"), pairs).toPandas().set_index(["variant_id", "sample_id"])
+    whole = posed.toPandas().set_index(["variant_id", "sample_id"]).loc[plain.index]
+    assert np.allclose(whole.clearance, plain.clearance, equal_nan=True)
+    assert whole.clearance.isna().sum() == 60 and (whole.clearance > 0).any()
+    half = whole.index.get_level_values(0).str[-1].astype(int).to_numpy() * 0.2 + 0.1
+    inside = whole[((whole[["x", "y", "z"]].abs().to_numpy()) < half[:, None]).all(axis=1)]
+    staged = P.pose_samples(blocks.withColumn("grid", box)).toPandas().set_index(["variant_id", "sample_id"])
+    assert sorted(staged.index) == sorted(inside.index) and 0 < len(staged) < 180
+
+
 def test_many_variants_have_their_own_ids_and_draws(spark):
     out = X.expand_variants(spark.createDataFrame([PLANAR], SPEC), 10_001, 1).select(
         "meta.variant_id", F.col("morphology.length_scale").cast("string").alias("s"))
