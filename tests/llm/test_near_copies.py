@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from voxfield.functions.store import materialize
 from voxfield.llm import near_copies, simhash
 
 from .helpers import documents, empty, odd
@@ -59,6 +60,20 @@ def test_stage_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
 
+def test_keys_are_not_stored_again_with_the_classes(spark, monkeypatch):
+    stored = {}
+
+    def noted(df, name, **options):
+        stored[name] = df.columns
+        return materialize(df, name, **options)
+    monkeypatch.setattr(near_copies, "materialize", noted)
+    texts = corpus(random.Random(2), families=3)
+    label, _ = plain_components(texts + texts[:9])
+    got = near_copies.near_copies(documents(spark, texts + texts[:9]))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(label))
+    assert [n for n, columns in stored.items() if "keys" in columns] == ["near-copy-prints"]
+
+
 def test_odd_tables(spark):
     docs = odd(spark)
     kept = near_copies.keep_one(docs)

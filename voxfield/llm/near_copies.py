@@ -198,10 +198,14 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": node[linked], "b": node[label[linked]]})
 
 
-def clusters(classes: DataFrame) -> DataFrame:
-    """(class, cluster) of the classes (class, keys) that share a key with another one, directly or by others."""
-    banded = classes.select("class", F.explode("keys").alias("key"))
-    first = banded.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+def clusters(rows: DataFrame) -> DataFrame:
+    """(class, cluster) of the classes that share a key with another one, directly or by others.
+
+    Copies may repeat a row (class, keys); only its class counts.
+    """
+    banded = rows.select("class", F.explode("keys").alias("key"))
+    ends = banded.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
+    first = ends.filter("first <> last").drop("last")
     first = materialize(first, "near-copy-keys")
     links = among(banded, "key", first).join(first, "key").filter("class <> first")
     roots = simhash.components(links.select(F.col("class").alias("a"), F.col("first").alias("b")))  # a root has no row
@@ -225,9 +229,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(texts, run, "class bigint, cluster bigint, bits binary, set binary, weight bigint").dropDuplicates(["class"])
 
 
-def links(docs: DataFrame, classes: DataFrame, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Spanning edges (a, b) of all similar classes (class, doc_id, row, bits, keys)."""
-    wanted = materialize(classes.select("class", "doc_id", "row", "bits").join(clusters(classes), "class"), "near-copy-rows")
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Spanning edges (a, b) of all similar classes (class, doc_id, row, bits); their keys are those of ``rows``."""
+    wanted = materialize(classes.join(clusters(rows), "class"), "near-copy-rows")
     members = materialize(_sets(docs, wanted), "near-copy-sets")
     schema, columns = "a bigint, b bigint", ["cluster", "known", "class", "bits", "set"]
 
@@ -270,9 +274,9 @@ def near_copies(docs: DataFrame, group: int = GROUP, group_bytes: int = GROUP_BY
     with scratch(docs.sparkSession):
         rows = materialize(_digests(docs), "near-copy-prints")
         place = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))
-        classes = materialize(rows.groupBy("class").agg(place.alias("p"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-                              .select("class", "p.doc_id", "p.row", "bits", "keys"), "near-copy-classes")
-        roots = simhash.components(links(docs, classes, group, group_bytes))
+        classes = materialize(rows.groupBy("class").agg(place.alias("p"), F.first("bits").alias("bits"))
+                              .select("class", "p.doc_id", "p.row", "bits"), "near-copy-classes")
+        roots = simhash.components(links(docs, rows, classes, group, group_bytes))
         linked = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
             "root", F.coalesce("root", "class"))
         named = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
