@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from voxfield.llm import toxicity
 
@@ -73,3 +75,23 @@ def test_odd_tables(spark):
         assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
         assert toxicity.keep_clean(docs, model).columns == docs.columns
     assert toxicity.score(empty(spark), toxicity.train(empty(spark), none)).count() == 0
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    texts, toxic, lang = corpus(n=400)
+    docs, marks = documents(spark, texts, lang), labels(spark, [(k, 0, t) for k, t in enumerate(toxic)])
+    rows = toxicity._labelled(docs, marks, 7)
+    trained = rows.filter("not held").count()
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    monkeypatch.setattr(toxicity, "EPOCHS", (6, 6))
+    found = rows.select("toxic", "words", F.floor(F.col("place") * 4).alias("shard")).repartition(4, "shard").sortWithinPartitions("shard")
+    pieces = [(shard, len(coded)) for part in found.rdd.glom().collect() for shard, _, coded in toxicity._pieces(
+        [pa.RecordBatch.from_pylist([r.asDict() for r in part])] if part else [])]
+    assert sum(n for _, n in pieces) == rows.count() == len(texts) and max(n for _, n in pieces) <= 100
+    model = toxicity.train(docs, marks)
+    letters = toxicity._letter_sums(rows)
+    assert {k: v.sum() for k, v in letters.items()} == {
+        k: toxicity.letters([t for t, x in zip(texts, lang) if x == k]).sum() for k in set(lang)}
+    assert sum(r["n"] for r in toxicity._check_counts(rows.filter("held"), model)) == len(texts) - trained
+    scores = model.scores(texts)
+    assert np.mean((scores >= 0.5) == np.array(toxic)) > 0.95
