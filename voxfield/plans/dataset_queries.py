@@ -137,17 +137,17 @@ steps AS (SELECT DISTINCT family::VARCHAR AS family, l_orderkey // 64 AS step FR
   JOIN sup ON sup.variant_id = s_name)"""
 
 
-def drawn_bitmaps(spark, sf_dir):
+def drawn(spark, sf_dir):
     lines, suppliers = B.table(spark, sf_dir, "lineitem"), B.table(spark, sf_dir, "supplier")
     draws = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
         F.col("s_name").alias("variant_id"), F.floor(F.col("l_orderkey") / 64).alias("step"))
     variants = supplier_variants(spark, sf_dir).withColumn("family", F.col("family").cast("string"))
-    return T.seen_bitmaps(variants, draws), variants
+    return variants, draws
 
 
 @query("e13_seen_by_family", Q.with_(SUPPLIERS + DRAWN_STEPS, "SELECT family, count(*) AS seen_variants FROM firsts GROUP BY family"))
 def seen_by_family(spark, sf_dir):
-    return T.seen_by_family(drawn_bitmaps(spark, sf_dir)[0])
+    return T.seen_by_family(T.first_draws(*drawn(spark, sf_dir)))
 
 
 @query("e13_coverage_over_steps", Q.with_(SUPPLIERS + DRAWN_STEPS, f"""
@@ -155,8 +155,8 @@ SELECT s.family, s.step, count(f.variant_id) AS seen_variants, {Q.r6('count(f.va
 FROM steps s JOIN (SELECT family::VARCHAR AS family, count(*) AS n FROM sup GROUP BY 1) USING (family)
 LEFT JOIN firsts f ON f.family = s.family AND f.step <= s.step GROUP BY s.family, s.step"""))
 def coverage_over_steps(spark, sf_dir):
-    bitmaps, variants = drawn_bitmaps(spark, sf_dir)
-    return rounded(T.coverage_over_steps(materialize(bitmaps, "seen-bitmaps"), variants), "coverage")
+    variants, draws = drawn(spark, sf_dir)
+    return rounded(T.coverage_over_steps(T.first_draws(variants, draws), variants, draws), "coverage")
 
 
 @query("k6_smallest_largest", Q.with_(SUPPLIERS, """
