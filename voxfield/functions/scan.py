@@ -32,16 +32,17 @@ def row_numbers(df: DataFrame, keys: list[str], order: list, out: str, block: Co
             .drop(BLOCK, "_offset"))
 
 
-def ordered_row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def ordered_row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Row numbers for any sortable order with one shuffle: range-partition, sort, number inside the partition.
 
     The rows are stored with their place before it is used, as a recomputed range partitioning may choose other
-    limits. What remains is a small table: where each group starts in each partition and how many rows came before.
+    limits. What remains is a small table: where each group starts in each partition and how many rows came before. The
+    columns of ``drop`` are only for the order and aren't stored.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order]
     placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    rows = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    rows = materialize(placed.withColumn("_place", F.monotonically_increasing_id()).drop(*drop), "ordered")
     rows = rows.withColumn(BLOCK, F.shiftright("_place", PLACE_BITS))
     totals = rows.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
     starts = materialize(_before(totals, keys, F.col("_n"), F.sum, "_offset").drop("_n"), "starts")

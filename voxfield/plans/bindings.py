@@ -44,17 +44,24 @@ def joint_limits(bound: float, dof: int) -> Column:
     return F.array(*[one] * dof)
 
 
+#: What samples are derived from.
+LINE_COLUMNS = [*LINE_ORDER, "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
+
+
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_samples(spread(table(spark, sf_dir, "lineitem").select(
-        *LINE_ORDER, "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")))
+    return line_samples(spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)))
 
 
 def line_samples(lineitem: DataFrame) -> DataFrame:
     """Line items as samples: position, joint vector, clearance, singular values and orientation."""
+    return _samples(lineitem.withColumn("variant_id", variant_of_line()), LINE_ORDER)
+
+
+def _samples(lines: DataFrame, keep: list[str]) -> DataFrame:
     a, b, c = F.col("l_partkey") % 7 - 3, F.col("l_suppkey") % 7 - 3, F.col("l_partkey") % 5 - 2
-    lines = lineitem.withColumn("_norm", F.sqrt((a * a + b * b + c * c + 1).cast("double")))
+    lines = lines.withColumn("_norm", F.sqrt((a * a + b * b + c * c + 1).cast("double")))
     return lines.select(
-        variant_of_line().alias("variant_id"), F.col("l_returnflag").alias("family"), *LINE_ORDER,
+        "variant_id", F.col("l_returnflag").alias("family"), *keep,
         F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"),
         F.round(F.col("l_tax") * 100).alias("z"),
         F.array(F.col("l_discount") * 10 - 0.5, F.col("l_tax") * 10 - 0.4).alias("q"),
@@ -79,11 +86,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with their position in the variant's stream."""
-    def build():
-        raw = line_samples(table(spark, sf_dir, "lineitem"))
-        return with_indicators(ordered_row_numbers(raw, ["variant_id"], LINE_ORDER, "sample_id").drop(*LINE_ORDER))
-    return stored_once(spark, sf_dir, "ordered-samples", build)
+    """Samples with their position in the variant's stream.
+
+    Only the columns of the line items are ordered and stored, once; readers derive the sample columns that they use.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "ordered-samples")
+    if key not in _stored:
+        lines = table(spark, sf_dir, "lineitem").select(variant_of_line().alias("variant_id"), *[c for c in LINE_COLUMNS if c != "l_linestatus"])
+        numbered = ordered_row_numbers(lines, ["variant_id"], LINE_ORDER, "sample_id", drop=("l_orderkey", "l_linenumber"))
+        _stored[key] = with_indicators(_samples(numbered, ["sample_id"]))
+    return _stored[key]
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
