@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from tests.toys import FOLDING, PLANAR, SLIDING
 from voxfield.operators import convergence as C, grid as V, specs as X, survey as S
+from voxfield.plans import QUERIES
 from voxfield.sources import tables as A
 from voxfield.sources.descriptions import scan_descriptions
 from voxfield.streaming import jobs as L
@@ -71,6 +72,20 @@ def test_an_end_that_is_not_connected_leaves_the_base_only(spark):
     assert (out.base_link, out.ee_link, out.path) == ("a", "b", ["a"])
 
 
+def test_branched_paths_read_the_joints_once(spark):
+    """The last joint with a parent leads to a link; cycles end. Every step is one expression over the joints."""
+    made = {"twice": [("a", "b"), ("b", "d"), ("c", "d"), ("a", "c")], "cycle": [("a", "b"), ("c", "d"), ("d", "c"), ("d", "e")],
+            "orphan": [("a", "b"), (None, "b"), ("", "b")], "none": []}
+    rows = [(g, [(f"j{i}", p, c) for i, (p, c) in enumerate(js)]) for g, js in made.items()]
+    df = spark.createDataFrame(rows, "g string, joints array<struct<name:string,parent:string,child:string>>")
+    walked = X.main_chain(X.chain_path(X.detect_ends(df.withColumn("links", F.transform("joints", lambda j: F.struct(j["parent"].alias("name")))))))
+    got = {r["g"]: (r["path"], [j["name"] for j in r["chain_joints"]]) for r in walked.collect()}
+    assert got == {"twice": (["a", "c", "d"], ["j3", "j2"]), "cycle": (["a"], []), "orphan": (["a", "b"], ["j0"])}
+    for plan in (walked, QUERIES["b6_branched_chain"](spark, "/root/testdata/sf0.001")):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("aggregate(sequence(") == 1 and text.count(".child = element_at(") == 1
+
+
 def test_specs_by_glob_exclusion_and_pattern(spark, tmp_path):
     for doc, name in ((PLANAR, "a_base.json"), (FOLDING, "a_v1.json"), (SLIDING, "b_v1.json")):
         folder = tmp_path / "specs" / name[0]

@@ -66,12 +66,15 @@ def detect_ends(df: DataFrame) -> DataFrame:
 
 
 def chain_path(df: DataFrame) -> DataFrame:
-    """path: links from base to end; only the base when the end does not lead back to it."""
+    """path: links from base to end; only the base when the end does not lead back to it.
+
+    Each step reads the joints once, in one expression: Spark evaluates a lambda's expression wherever it is written.
+    """
     def climb(path: Column, _: Column) -> Column:
         head = F.element_at(path, 1)
-        above = F.filter("joints", lambda j: (j["child"] == head) & (F.coalesce(j["parent"], F.lit("")) != ""))
-        parent = F.get(above, F.size(above) - 1)["parent"]
-        return F.when((head == F.col("base_link")) | parent.isNull(), path).otherwise(F.concat(F.array(parent), path))
+        leads = lambda j: (j["child"] == head) & (F.coalesce(j["parent"], F.lit("")) != "")
+        parent = F.aggregate("joints", F.lit(None).cast("string"), lambda last, j: F.when(leads(j), j["parent"]).otherwise(last))
+        return F.when(head == F.col("base_link"), path).otherwise(F.concat(F.filter(F.array(parent), lambda v: v.isNotNull()), path))
     start = F.array(F.col("ee_link"))
     path = F.aggregate(F.sequence(F.lit(1), F.size("joints") + 1), start, climb)
     return (df.withColumn("path", path)
@@ -83,7 +86,7 @@ def main_chain(df: DataFrame) -> DataFrame:
     """Keep the joints with both ends on the path, in path order of their parent."""
     on_path = F.filter("joints", lambda j: F.coalesce(
         F.array_contains("path", j["parent"]) & F.array_contains("path", j["child"]), F.lit(False)))
-    keyed = F.array_sort(F.transform(on_path, lambda j, i: F.struct(
+    keyed = F.sort_array(F.transform(on_path, lambda j, i: F.struct(
         F.array_position("path", j["parent"]).alias("at"), i.alias("i"), j.alias("j"))))
     return df.withColumn("chain_joints", F.transform(keyed, lambda s: s["j"]))
 

@@ -154,7 +154,7 @@ def branched(spark, sf_dir):
     first = F.col("l_partkey") % 5
     name = lambda at: F.concat(F.lit("n"), at.cast("string"))
     joint = F.struct(*B.LINE_ORDER[1:], name(first).alias("parent"), name(first + 1 + F.col("l_suppkey") % 3).alias("child"))
-    rows = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.array_sort(F.collect_list(joint)).alias("joints"))
+    rows = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.sort_array(F.collect_list(joint)).alias("joints"))
     rows = rows.withColumn("joints", F.transform("joints", lambda j, i: F.struct(
         F.concat(F.lit("j"), (i + 1).cast("string")).alias("name"), j["parent"].alias("parent"), j["child"].alias("child"))))
     return X.detect_ends(rows.withColumn("links", F.transform("joints", lambda j: F.struct(j["parent"].alias("name")))))
@@ -175,7 +175,7 @@ SELECT e.g, (row_number() OVER (PARTITION BY e.g ORDER BY p.place, e.i) - 1)::IN
 FROM edge e JOIN road p ON p.g = e.g AND p.link = e.parent JOIN road c ON c.g = e.g AND c.link = e.child""")
 def branched_chain(spark, sf_dir):
     out = X.main_chain(X.chain_path(branched(spark, sf_dir)))
-    return out.select("g", F.posexplode("chain_joints").alias("pos", "j")).select("g", "pos", F.col("j.name").alias("name"))
+    return X.exploded(out, "chain_joints", ["g"]).select("g", "pos", "name")
 
 
 @query("b6_main_chain", Q.with_(PARTS, "SELECT variant_id, (j - 1)::INTEGER AS pos, name, parent, child FROM dj"))
