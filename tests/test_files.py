@@ -177,6 +177,26 @@ def test_series_stream_follows_the_log(spark, tmp_path):
     assert [r.smooth for r in out.orderBy("step").collect()] == [1.0, 1.5, 2.0, 3.0, 4.0, 5.0]
 
 
+def test_series_stream_smooths_late_steps_only_where_they_count(spark, tmp_path):
+    """Ranges of two series in no order, with gaps, overlaps and equal points; the rest isn't smoothed again."""
+    schema = "phase string, step int, series string, value double"
+    row = lambda i, s="a", k=0: ("t", i, s, float((i * 37 + k) % 11))
+    batches = [[row(i) for i in range(200, 260)], [row(i) for i in [*range(100, 120), *range(400, 440)]] + [row(i, "b") for i in range(9)],
+               [row(i) for i in range(300, 330)], [row(i) for i in (*range(1, 9), 210, 212, 212)], [row(i) for i in range(440, 450)] + [row(3, "b")],
+               [row(216), row(216), row(217, k=1)], [row(264), row(120)], [row(i) for i in range(500, 900)], [row(498), row(499, "b")]]
+    source, path, offsets = (str(tmp_path / n) for n in ("source", "out", "offsets"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        out = L.series_stream(spark.readStream.schema(schema).parquet(source), path, offsets, 4)
+    want = []
+    for series in "ab":
+        points = sorted((r[1], r[3]) for rows in batches for r in rows if r[2] == series)
+        want += [(series, *p, round(sum(v for _, v in points[max(0, k - 3):k + 1]) / len(points[max(0, k - 3):k + 1]), 9)) for k, p in enumerate(points)]
+    assert sorted((r["series"], r["step"], r["value"], round(r["smooth"], 9)) for r in out.collect()) == sorted(want)
+    again = spark.read.parquet(f"{path}/smooth").count() - len(want)
+    assert again < 200  # 180, those between or just after late steps; late series as a whole make 1260
+
+
 def test_survey_stream_keeps_bounded_snapshots(spark, tmp_path):
     rows = [("v", i, float(i % 4), float(i % 3), 0.0, (i * 37 % 101) / 101, i % 5 / 4) for i in range(60)]
     samples = spark.createDataFrame(rows, "variant_id string, sample_id bigint, x double, y double, z double, g_man double, g_self double")

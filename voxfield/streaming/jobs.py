@@ -61,36 +61,72 @@ def windowed_metrics_stream(predictions: DataFrame, path: str, checkpoint: str,
     return J.classification_metrics(_keep(counts, path, checkpoint, ["window_start"]))
 
 
+POINT = "phase string, step int, series string, value double"
+SERIES = ["phase", "series"]
+RISING, FALLING = F.asc, F.desc
+
+
+def _nearest(rows: DataFrame, order: Callable, count: int) -> DataFrame:
+    """The first ``count`` points of each series in rising or falling order, equal ones with the last of them."""
+    rank = F.rank().over(Window.partitionBy(*SERIES).orderBy(order("step"), order("value")))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank")
+
+
+def _touched(late: DataFrame, path: str, batch_id: int, count: int) -> DataFrame:
+    """Stored points of ``late`` series (with the steps of their new points, ``_first`` to ``_until``) around the new ones.
+
+    Those from ``_first`` on whose smoothed values may change, and as ``_old`` ones the ``count`` points before. Of a batch
+    whose steps of the series lie on one side of the new ones its edge points on that side will do; others are read.
+    """
+    spark, columns = late.sparkSession, [f.split(" ")[0] for f in POINT.split(", ")]
+    stored = lambda name, more: spark.read.schema(f"{POINT}{more}, batch bigint").parquet(f"{path}/{name}").filter(F.col("batch") < batch_id)
+    edges = stored("edges", ", at_end boolean, low int, high int").join(late, SERIES)
+    apart = (F.col("high") < F.col("_first")) | (F.col("low") > F.col("_until"))
+    mixed = materialize(edges.filter(~apart).select(*SERIES, "batch").distinct(), "mixed-batches")
+    batches = [r[0] for r in mixed.select("batch").distinct().collect()]
+    read = stored("points", "").filter(F.col("batch").isin(batches)).join(mixed, [*SERIES, "batch"], "left_semi")
+    near = edges.filter(apart & (F.col("at_end") == (F.col("high") < F.col("_first"))))
+    rows = materialize(near.select(*columns).unionByName(read.select(*columns)), "around-late").join(late, SERIES)
+    before = _nearest(rows.filter(F.col("step") < F.col("_first")), FALLING, count)
+    after = _nearest(rows.filter(F.col("step") > F.col("_until")), RISING, count)
+    again = rows.filter(F.col("step").between(F.col("_first"), F.col("_until"))).unionByName(after)
+    return again.withColumn("_old", F.lit(False)).unionByName(before.withColumn("_old", F.lit(True))).select(*columns, "_old")
+
+
 def series_stream(points: DataFrame, path: str, checkpoint: str, window: int) -> DataFrame:
     """Tail of a metrics log: each batch adds its points and the smoothed values that they change.
 
     ``points``: phase, step, series, value. Between batches the last ``window`` - 1 points of each series are kept, all
-    that points in order need. A series that gets a step at or before its kept tail is smoothed again from its stored
-    points; series in order are not read again.
+    that points in order need. Where a series gets a step at or before its kept tail, the stored points between its new
+    ones and ``window`` - 1 after them are smoothed again; the rest of the series is not.
     """
-    spark, keys = points.sparkSession, ["phase", "series"]
-    schema = "phase string, step int, series string, value double"
+    spark, keys, count = points.sparkSession, SERIES, max(2, window) - 1
+    columns = [f.split(" ") for f in POINT.split(", ")]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = materialize(batch.select(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in schema.split(", ")]), "points")
+        new = materialize(batch.select(*[F.col(name).cast(kind) for name, kind in columns]), "points")
         new.write.mode("overwrite").parquet(f"{path}/points/batch={batch_id}")
-        tail = spark.createDataFrame([], schema)
+        span = materialize(new.groupBy(*keys).agg(F.min("step").alias("_first"), F.max("step").alias("_until")), "spans")
+        edges = _nearest(new, RISING, count).withColumn("at_end", F.lit(False)).unionByName(
+            _nearest(new, FALLING, count).withColumn("at_end", F.lit(True)))
+        edges = edges.join(span, keys).withColumnsRenamed({"_first": "low", "_until": "high"})
+        edges.write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
+        newest = spark.read.schema(edges.schema).parquet(f"{path}/edges/batch={batch_id}").filter("at_end").drop("at_end", "low", "high")
+        tail = spark.createDataFrame([], POINT)
         if batch_id:
-            tail = spark.read.schema(schema).parquet(f"{path}/tail/batch={batch_id - 1}")
-        begins = new.groupBy(*keys).agg(F.min("step").alias("_first"))
+            tail = spark.read.schema(POINT).parquet(f"{path}/tail/batch={batch_id - 1}")
         ends = tail.groupBy(*keys).agg(F.max("step").alias("_last"))
-        late = materialize(begins.join(ends, keys).filter(F.col("_first") <= F.col("_last")).select(*keys), "late-series")
+        late = materialize(span.join(ends, keys).filter(F.col("_first") <= F.col("_last")).drop("_last"), "late-series")
         ordered = new.withColumn("_old", F.lit(False)).unionByName(tail.withColumn("_old", F.lit(True)))
-        rows = ordered.join(late, keys, "left_anti")
+        rows = ordered
         if not late.isEmpty():
-            seen = spark.read.schema(schema + ", batch bigint").parquet(f"{path}/points").filter(F.col("batch") <= batch_id)
-            again = seen.drop("batch").join(late, keys, "left_semi").withColumn("_old", F.lit(False))
-            rows = rows.unionByName(again)
-        smooth = materialize(C.smoothed_series(rows, keys, "step", "value", window, "smooth"), "smooth")
+            rows = ordered.join(late, keys, "left_anti").unionByName(
+                new.join(late, keys, "left_semi").withColumn("_old", F.lit(False))).unionByName(_touched(late, path, batch_id, count))
+        smooth = C.smoothed_series(rows, keys, "step", "value", window, "smooth")
         smooth.filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(f"{path}/smooth/batch={batch_id}")
         back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("step"), F.desc("value")))
-        kept = smooth.withColumn("_back", back).filter(F.col("_back") < max(2, window))
-        kept.select(*[f.split(" ")[0] for f in schema.split(", ")]).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+        kept = tail.unionByName(newest).withColumn("_back", back).filter(F.col("_back") <= count)
+        kept.select(*[name for name, _ in columns]).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
     _run(points, each, checkpoint, "append")
     smooth = spark.read.parquet(f"{path}/smooth")
     newest = smooth.groupBy(*keys, "step", "value").agg(F.max("batch").alias("batch"))
