@@ -1,11 +1,14 @@
+import contextlib
 import glob
+import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxfield.functions.store import shared_folder
-from voxfield.operators import stats as T
-from voxfield.plans import QUERIES, bindings as B
+from voxfield.operators import kernel as P, specs as X, stats as T
+from voxfield.plans import QUERIES, bindings as B, spec_queries as S
 
 
 @pytest.fixture
@@ -60,3 +63,26 @@ def test_coverage_needs_one_row_for_a_variant(spark):
     rows = {(r["family"], r["step"]): (r["seen_variants"], round(r["coverage"], 6)) for r in T.coverage_over_steps(firsts, variants, draws).collect()}
     assert rows == {("x", None): (1, 0.333333), ("x", 3): (3, 1.0), ("x", 5): (3, 1.0), ("x", 7): (3, 1.0),
                     **{("y", s): (1, 0.333333) for s in range(9, 210)}}
+
+
+def test_chain_places_and_texts(spark):
+    names = spark.createDataFrame([(["a", "b", "a"], "b", "z"), (["a"], None, "a"), ([], "a", "a"), (None, "a", "a"), (["a", None], "a", "c")],
+                                  "names array<string>, u string, v string")
+    found = [r[0] for r in names.select(X.places("names", F.col("u"), F.col("v"))).collect()]
+    assert found == [[1, -1], [None, 0], [-1, -1], [None, None], [0, -1]]
+    joints = [("j1", "c", "d", 1), ("j2", "b", "c", 2), ("j3", "b", "x", 3), ("j4", None, "b", 4), ("j5", "b", "a", 5), ("j6", "a", None, 6)]
+    chain = spark.createDataFrame([(["a", "b", "c", "d"], joints)], "path array<string>, joints array<struct<name string, parent string, child string, i int>>")
+    assert [j["name"] for j in X.main_chain(chain).first()["chain_joints"]] == ["j2", "j5", "j1"]
+    milli = spark.createDataFrame([(v,) for v in (0, 7, -7, 250, -300, 1999, -2499, None)], "v long").select(S._milli(F.col("v"))).collect()
+    assert [r[0] for r in milli] == ["0.000", "0.007", "-0.007", "0.250", "-0.300", "1.999", "-2.499", None]
+
+
+def test_chain_names_are_not_looked_up_by_struct_field(spark, tmp_path):
+    """Such a lookup reads the field's type again for every element."""
+    parts = spark.createDataFrame([(p, f"brand{p % 3}", p % 9) for p in range(40)], "p_partkey long, p_brand string, p_size int")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    specs = X.assemble_specs(S.descriptions(spark, str(tmp_path)))
+    for rows in specs, P.chains(specs):
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            rows.explain(True)
+        assert not re.search(r"array_(contains|position)\(\w+#\d+, lambda \w+#\d+\.", text.getvalue().split("== Optimized Logical Plan ==")[1])

@@ -92,7 +92,7 @@ def _prepared(specs: DataFrame) -> DataFrame:
     df = df.withColumn("_names", F.transform("_links", lambda l: l["name"]))
     known = lambda name: F.array_contains(F.col("_names"), name)
     df = df.withColumn("_joints", F.filter("joints", lambda j: F.coalesce(
-        known(j["parent_link"]) & known(j["child_link"]), F.lit(False))))
+        F.forall(F.array(j["parent_link"], j["child_link"]), known), F.lit(False))))
     roots = F.array_except("_names", F.transform("_joints", lambda j: j["child_link"]))
     base = (F.when(F.coalesce(known(F.col("base_link")), F.lit(False)), F.col("base_link"))
             .otherwise(F.coalesce(F.get(roots, F.lit(0)), F.get("_names", F.lit(0)))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.geometry import SPHERE_BINS, sphere_points
 from ..functions.rng import draw, stream
 from .features import link_walk
-from .specs import SPEC_RADIUS_SCALE, actuated_order, first_of
+from .specs import SPEC_RADIUS_SCALE, actuated_order, first_of, places
 
 BLOCK_SAMPLES = 512
 DEFAULT_RADIUS = 0.02
@@ -60,13 +60,12 @@ def chains(specs: DataFrame) -> DataFrame:
         F.col("meta.ee_link").alias("ee_link"), "ordered",
         F.transform("ordered", lambda j: j["name"]).alias("actuated_joint_names"))
     df = link_walk(flat).withColumn("_order", F.transform("_walk", lambda w: w["name"]))
-    at = lambda name: (F.array_position("_order", name) - 1).cast("int")
-    used = F.filter("_joints", lambda j: F.array_contains("_order", j["child_link"]) & F.array_contains("_order", j["parent_link"]))
-    steps = F.array_sort(F.transform(used, lambda j: F.struct(
-        at(j["child_link"]).alias("child"), at(j["parent_link"]).alias("parent"),
-        (F.array_position("actuated_joint_names", j["name"]) - 1).cast("int").alias("axis_no"),
-        F.when(j["type"].isin("revolute", "continuous"), 1).when(j["type"] == "prismatic", 2).otherwise(0).alias("kind"),
-        j["origin_xyz"].alias("xyz"), j["origin_rpy"].alias("rpy"), j["axis"].alias("axis"))))
+    placed = F.transform("_joints", lambda j: F.struct(places("_order", j["child_link"], j["parent_link"]).alias("at"), j.alias("j")))
+    used = F.filter(placed, lambda s: (s["at"][0] >= 0) & (s["at"][1] >= 0))
+    kind = lambda j: F.when(j["type"].isin("revolute", "continuous"), 1).when(j["type"] == "prismatic", 2).otherwise(0)
+    steps = F.sort_array(F.transform(used, lambda s: F.struct(
+        s["at"][0].alias("child"), s["at"][1].alias("parent"), places("actuated_joint_names", s["j"]["name"])[0].alias("axis_no"),
+        kind(s["j"]).alias("kind"), *[s["j"][f].alias(n) for f, n in (("origin_xyz", "xyz"), ("origin_rpy", "rpy"), ("axis", "axis"))])))
     radius = lambda name: first_of(F.filter("_links", lambda l: l["name"] == name))["radius"]
     end = F.array_position("_order", F.col("ee_link"))
     return df.select(

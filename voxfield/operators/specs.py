@@ -25,6 +25,14 @@ def first_of(items: Column) -> Column:
     return F.get(items, F.lit(0))
 
 
+def places(names: str | Column, *of: Column) -> Column:
+    """Places (from 0) of values in an array of names, -1 where it lacks one, null for a null value.
+
+    As one small array: Spark looks up a lambda's variable much faster than the field of a struct.
+    """
+    return F.transform(F.array(*of), lambda n: (F.array_position(names, n) - 1).cast("int"))
+
+
 def identity(df: DataFrame, meta: str = "meta", path: str = "file_path") -> DataFrame:
     """family (default unknown), variant_id (default file stem) and dof (default -1)."""
     filled = lambda name: F.nullif(F.trim(F.col(f"{meta}.{name}")), F.lit(""))
@@ -84,10 +92,9 @@ def chain_path(df: DataFrame) -> DataFrame:
 
 def main_chain(df: DataFrame) -> DataFrame:
     """Keep the joints with both ends on the path, in path order of their parent."""
-    on_path = F.filter("joints", lambda j: F.coalesce(
-        F.array_contains("path", j["parent"]) & F.array_contains("path", j["child"]), F.lit(False)))
-    keyed = F.sort_array(F.transform(on_path, lambda j, i: F.struct(
-        F.array_position("path", j["parent"]).alias("at"), i.alias("i"), j.alias("j"))))
+    placed = F.transform("joints", lambda j, i: F.struct(places("path", j["parent"], j["child"]).alias("at"), i.alias("i"), j.alias("j")))
+    on_path = F.filter(placed, lambda s: (s["at"][0] >= 0) & (s["at"][1] >= 0))
+    keyed = F.sort_array(F.transform(on_path, lambda s: F.struct(s["at"][0].alias("at"), s["i"].alias("i"), s["j"].alias("j"))))
     return df.withColumn("chain_joints", F.transform(keyed, lambda s: s["j"]))
 
 
@@ -134,8 +141,7 @@ def joint_records(df: DataFrame, limit_policy: str = "spec") -> DataFrame:
 
 def link_lengths(df: DataFrame) -> DataFrame:
     """lengths: (name, length) of the path links from the joint leading to each, below 1e-8 taken as 0."""
-    incoming = lambda name: F.filter("records", lambda r: r["child_link"] == name)
-    length = lambda name: norm(F.get(incoming(name), F.size(incoming(name)) - 1)["origin_xyz"])
+    length = lambda name: norm(F.try_element_at(F.filter("records", lambda r: r["child_link"] == name), F.lit(-1))["origin_xyz"])
     lengths = F.transform("path", lambda n: F.struct(n.alias("name"), F.coalesce(length(n), F.lit(0.0)).alias("raw")))
     return df.withColumn("lengths", F.transform(lengths, lambda s: F.struct(
         s["name"].alias("name"), F.when(s["raw"] <= 1e-8, F.lit(0.0)).otherwise(s["raw"]).alias("length"))))
@@ -210,10 +216,8 @@ def assemble_specs(descriptions: DataFrame) -> DataFrame:
     df = walked(descriptions)
     moving = F.transform(F.filter("records", lambda r: r["is_actuated"]), lambda r: r["name"])
     df = df.withColumn("_moving", moving).withColumn("_names", F.transform("link_list", lambda l: l["name"]))
-    at = lambda name: (F.array_position("_names", name) - 1).cast("int")
-    edges = F.transform(F.filter("records", lambda r: F.array_contains("_names", r["parent_link"])
-                                 & F.array_contains("_names", r["child_link"])),
-                        lambda r: F.array(at(r["parent_link"]), at(r["child_link"])))
+    ends = F.transform("records", lambda r: places("_names", r["parent_link"], r["child_link"]))
+    edges = F.filter(ends, lambda e: (e[0] >= 0) & (e[1] >= 0))
     none = F.lit(None).cast("string")
     fill = lambda v: F.transform("_moving", lambda _: F.lit(v))
     return df.select(

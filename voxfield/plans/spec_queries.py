@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from ..functions import geometry as G
@@ -15,9 +17,7 @@ from .registry import query, r6, rounded
 
 def _milli(v: Column) -> Column:
     """Thousandths as decimal text."""
-    size = F.abs(v)
-    return F.concat(F.when(v < 0, "-").otherwise(""), (size / 1000).cast("bigint").cast("string"), F.lit("."),
-                    F.lpad((size % 1000).cast("string"), 3, "0"))
+    return (v.cast("decimal(9,0)") * F.lit(Decimal("0.001"))).cast("string")
 
 
 def descriptions(spark, sf_dir):
