@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.toys import FOLDING, PLANAR, SLIDING, joint, spec
+from voxfield.functions.store import listed, shared_folder
 from voxfield.operators import collision as D, features as I, kernel as P, specs as X
-from voxfield.plans.pipelines import run_survey, survey_specs
+from voxfield.plans import spec_queries
+from voxfield.plans.pipelines import run_survey, summarised_survey, survey_specs
 from voxfield.schemas import SPEC
 
 
@@ -294,3 +296,28 @@ def test_survey_stops_at_the_stop_point(spark):
     early = survey_specs(specs, 2000, 1.0, bounds_samples=500, target_coverage=0.01, window=200, every=100,
                          min_rate=0.5).agg(F.sum("attempts")).first()[0]
     assert early < full
+
+
+def _kept(spark):
+    return {name.rpartition("-")[0] + name[-8:] for name in listed(spark, f"{shared_folder(spark)}/voxfield")}
+
+
+def test_batches_of_the_survey_give_one_survey_and_keep_the_summaries_only(spark):
+    specs = spark.createDataFrame([FOLDING | {"meta": FOLDING["meta"] | {"variant_id": f"fold{k % 9}"}} for k in range(10)] + [PLANAR], SPEC)
+    summary = lambda maps: maps.groupBy("variant_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("a"), F.sum("g_ws").alias("g"), F.round(F.max("g_margin"), 9).alias("m"))
+    want = sorted(summary(survey_specs(specs, 60, 0.5, bounds_samples=40)).collect())
+    before, key = _kept(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    out = summarised_survey(specs, summary, 60, 0.5, batch_samples=400, bounds_samples=40)
+    assert {name[:-8] for name in _kept(spark) - before} == {"survey-summary"} and spark.conf.get(key, None) == setting
+    assert len(_kept(spark) - before) == 2 and sorted(out.collect()) == want and len(want) == 10
+
+
+def test_survey_from_specs_leaves_no_samples_or_maps(spark, tmp_path):
+    parts = [(k, f"Brand#{k % 3}", k % 5) for k in range(1, 13)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    before = _kept(spark)
+    out = spec_queries.survey_from_specs(spark, str(tmp_path)).collect()
+    assert {r.variant_id for r in out} == {f"part_{k}" for k, _, _ in parts} and all(r.attempts <= 64 for r in out)
+    assert {name[:-8] for name in _kept(spark) - before} == {"base-specs", "survey-summary"}
