@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxfield.functions.kernels import gaussian_pass
+from voxfield.functions.store import listed, shared_folder
 from voxfield.operators import (convergence as C, evaluation as J, fields as K, grid as V, quality as A, sampling as H, stats as T,
                                 survey as S)
 
@@ -27,6 +28,46 @@ def test_distance_transform_equals_brute_force(spark):
     assert np.allclose(got.distance, want) and np.allclose(got.g_margin, want / want.max())
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_distance_transform_of_the_valid_cells_alone(spark, copies):
+    shape, res = (7, 5, 6), (1.0, 0.5, 2.0)
+    df, _ = dense(spark, shape, np.random.default_rng(0).random(np.prod(shape)) < 0.8, res)
+    full, _ = dense(spark, (2, 3, 2), np.full(12, True), res, "full")
+    df = df.unionByName(full)
+    sides = spark.createDataFrame([("v", *shape, *res, copies), ("full", 2, 3, 2, *res, copies)], "variant_id string, nx int, ny int, nz int, "
+                                  "res_x double, res_y double, res_z double, copies int")
+    valid = df.filter("valid").select("variant_id", "ix", "iy", "iz", "valid")
+    rows = lambda out: sorted(tuple(r) for r in out.select("variant_id", "ix", "iy", "iz", F.round("distance", 9), F.round("g_margin", 9)).collect())
+    want = S.boundary_distance(df.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(copies))))).join(valid, ["variant_id", "ix", "iy", "iz"])
+    assert rows(S.boundary_distance(valid, sides)) == rows(want) and want.count() == copies * valid.count()
+
+
+def test_a_map_writes_touched_cells_only(spark):
+    """One of 60 cells passes in a, none of 12 in b; c has two families and so four rows a cell."""
+    grids = spark.createDataFrame([(v, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, nx, 2, nz) for v, nx, nz in (("a", 5, 6), ("b", 2, 3), ("c", 1, 1))],
+                                  "variant_id string, bmin_x double, bmin_y double, bmin_z double, res_x double, res_y double, res_z double, "
+                                  "nx int, ny int, nz int")
+    rows = [("a", 1, 2.5, 1.5, 3.5, 0.5), ("a", 2, 2.2, 1.2, 3.2, 0.0), ("a", 3, 4.5, 0.5, 0.5, 0.0), ("b", 1, 0.5, 0.5, 0.5, 0.0),
+            ("b", 2, 9.0, 0.5, 0.5, 1.0), ("c", 1, 0.5, 0.5, 0.5, 1.0)]
+    samples = spark.createDataFrame([(*r, [float(r[1])], 0.5, 0.25, 0.5, 0.5, 3) for r in rows], "variant_id string, sample_id bigint, x double, y double, "
+                                    "z double, g_self double, q array<double>, g_lim double, g_man double, g_iso double, g_sigma double, sphere_bin int")
+    families = spark.createDataFrame([("a", "f"), ("c", "g"), ("c", "h")], "variant_id string, family string")
+    before = set(listed(spark, f"{shared_folder(spark)}/voxfield"))
+    out = S.build_map(samples, 1.0, grids=grids, families=families)
+    new = {n.rpartition("-")[0]: n for n in set(listed(spark, f"{shared_folder(spark)}/voxfield")) - before}
+    assert spark.read.parquet(f"{shared_folder(spark)}/voxfield/{new['touched']}").count() == 4 and "dense-map" not in new
+    rows = out.toPandas()
+    assert rows.groupby("variant_id").cell_idx.agg(["size", "nunique", "max"]).to_numpy().tolist() == [[60, 60, 59], [12, 12, 11], [8, 2, 1]]
+    assert (rows.cell_idx == (rows.ix * 2 + rows.iy) * rows.variant_id.map({"a": 6, "b": 3, "c": 1}) + rows.iz).all()
+    hit = rows[rows.attempts > 0].sort_values("g_margin", ascending=False).drop_duplicates(["variant_id", "cell_idx"]).sort_values(["variant_id", "cell_idx"])
+    assert list(zip(hit.variant_id, hit.cell_idx, hit.attempts, hit.sample_counts, hit.g_margin, hit.cx)) == [
+        ("a", 33, 2, 1, 1.0, 2.5), ("a", 48, 1, 0, 0.0, 4.5), ("b", 0, 1, 0, 0.0, 0.5), ("c", 0, 1, 1, 1.0, 0.5)]
+    assert hit.q_star.tolist()[0].tolist() == [1.0] and hit.q_star.isna().tolist() == [False, True, True, False]
+    rest = rows[rows.attempts == 0]
+    assert (rest[[c for c in rows if c.startswith("g_")]] == 0).all().all() and rest.q_star.isna().all()
+    assert rows.groupby("variant_id").family.apply(lambda f: sorted(f.dropna().unique())).tolist() == [["f"], [], ["g", "h"]]
+
+
 @pytest.mark.parametrize("state", [True, False])
 def test_distance_transform_of_uniform_maps_is_zero(spark, state):
     df, _ = dense(spark, (3, 3, 3), np.full(27, state))
